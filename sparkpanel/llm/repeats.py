@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from . import session
 from .suffixes import deep_shallow
 
 U = np.uint64
@@ -235,28 +236,41 @@ def _not_null(ddl: str, *names: str):
     return T.StructType([T.StructField(f.name, f.dataType, f.name not in names) for f in schema])
 
 
+def _crowded_runs(contents: DataFrame, rule: Rule) -> DataFrame:
+    """What _decide finds, window by window: equal windows meet as counts that each task has summed before."""
+    rows = contents.mapInArrow(_window_rows(rule), "x int, w1 long, w2 long, u1 long, u2 long, n long, doc_id long")
+    total = F.min("doc_id") if rule.earlier else F.sum("n")
+    again = rows.groupBy("w1", "w2").agg(total.alias("total"))
+    hit = rows.join(again, ["w1", "w2"]).where("total < doc_id" if rule.earlier else "total > 1")
+    return hit.groupBy("u1", "u2").agg(F.sort_array(F.collect_set("x")).alias("lo")).select("u1", "u2", "lo", F.col("lo").alias("hi"))
+
+
 def repeated_spans(docs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
     """Token spans [a, b) that windows repeated under the rule cover, one list per document that has any.
 
     docs: doc_id, text; packed: packed_texts of the same. Returns doc_id, a array<int>, b array<int>; spans of a
     document may overlap and come in no order.
     """
-    occ = docs.where("doc_id is not null").mapInArrow(_unit_rows(rule), _not_null("doc_id long, first int, last int, echo boolean, anchor long, u1 long, u2 long", "doc_id", "u1", "u2", "anchor"))
-    distinct = occ.groupBy("u1", "u2").agg(F.min("anchor").alias("anchor"), F.max("echo").alias("echo"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("owner"))
+    every = docs.where("doc_id is not null").mapInArrow(_unit_rows(rule), _not_null("doc_id long, first int, last int, echo boolean, anchor long, u1 long, u2 long", "doc_id", "u1", "u2", "anchor"))
+    met = every.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("n"), F.max("echo").alias("echoes")).where("n > 1" if rule.earlier else "n > 1 or echoes")
+    occ = session.written(every.join(met.select("met"), F.col("anchor") == F.col("met"), "leftsemi"))
+    distinct = session.written(occ.groupBy("u1", "u2").agg(F.min("anchor").alias("anchor"), F.max("echo").alias("echo"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("owner")))
     counts = F.count(F.lit(1)).alias("kinds")
     shared = distinct.groupBy(F.col("anchor").alias("shared")).agg(counts, F.min("n").alias("least"), F.max("echo").alias("echoes"))
     shared = shared.where("kinds > 1" if rule.earlier else "least = 1 and (kinds > 1 or echoes)").select("shared", "kinds")
+    shared = session.written(shared)
     unlike = distinct.join(shared, F.col("anchor") == F.col("shared"))
     item = F.struct("anchor", "u1", "u2", "n", "kinds", F.col("owner.first").alias("first"), F.col("owner.last").alias("last"))
     owners = unlike.groupBy(F.col("owner.doc_id").alias("doc_id")).agg(F.collect_list(item).alias("units"))
     contents = owners.join(packed, "doc_id").mapInArrow(_contents(rule), "anchor long, u1 long, u2 long, n long, kinds long, doc_id long, content binary")
-    calm = contents.where(F.col("kinds") <= rule.crowd)
-    small = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_decide(rule), "u1 long, u2 long, lo array<int>, hi array<int>")
-    rows = contents.where(F.col("kinds") > rule.crowd).mapInArrow(_window_rows(rule), "x int, w1 long, w2 long, u1 long, u2 long, n long, doc_id long")
-    total = F.min("doc_id") if rule.earlier else F.sum("n")
-    again = rows.groupBy("w1", "w2").agg(total.alias("total"))
-    crowded = rows.join(again, ["w1", "w2"]).where("total < doc_id" if rule.earlier else "total > 1").groupBy("u1", "u2").agg(F.sort_array(F.collect_set("x")).alias("lo")).select("u1", "u2", "lo", F.col("lo").alias("hi"))
-    runs = small.unionByName(crowded).withColumnsRenamed({"u1": "r1", "u2": "r2"})
+    crowds = not shared.where(F.col("kinds") > rule.crowd).isEmpty()
+    if crowds:
+        contents = session.written(contents)
+    calm = contents.where(F.col("kinds") <= rule.crowd) if crowds else contents
+    runs = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_decide(rule), "u1 long, u2 long, lo array<int>, hi array<int>")
+    if crowds:
+        runs = runs.unionByName(_crowded_runs(contents.where(F.col("kinds") > rule.crowd), rule))
+    runs = session.written(runs).withColumnsRenamed({"u1": "r1", "u2": "r2"})
     marked = distinct.join(runs, (F.col("u1") == F.col("r1")) & (F.col("u2") == F.col("r2")), "left").where("n > 1 or lo is not null")
     marked = marked.select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), F.col("owner.doc_id").alias("owner_id"), "n", "lo", "hi")
     hit = occ.join(marked, (F.col("u1") == F.col("m1")) & (F.col("u2") == F.col("m2")))
