@@ -73,7 +73,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 21):
+def blocks(offsets: np.ndarray, most: int = 1 << 20):
     """Runs of rows with at most so many bytes together; a longer row is a run of its own."""
     at, n = 0, len(offsets) - 1
     while at < n:

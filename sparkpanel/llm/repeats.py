@@ -141,9 +141,9 @@ def repeated_windows(rule: Rule, anchor: np.ndarray, weight: np.ndarray, content
     if not len(unit):
         return out
     bucket = np.unique(anchor[unit], return_inverse=True)[1]
-    size, base, end = rule.size, at[unit] + position, at[unit] + lengths[unit]
+    size, base, end = rule.size, (at[unit] + position).astype(np.int32), at[unit] + lengths[unit]
     tokens = raw.reshape(-1, size) if size > 1 else raw[:, None]
-    step = np.arange(rule.window)
+    step = np.arange(rule.window, dtype=np.int32)
     places = base[:, None] + step
     right = np.where((places < end[:, None])[..., None], tokens[np.minimum(places, len(tokens) - 1)], 0).astype(np.uint8).reshape(len(unit), -1)
     places = base[:, None] - 1 - step[: max(reach - 1, 1)]
@@ -173,7 +173,7 @@ def repeated_windows(rule: Rule, anchor: np.ndarray, weight: np.ndarray, content
     return out
 
 
-def _decide(rule: Rule, most: int = 8 << 20):
+def _decide(rule: Rule, most: int = 2 << 20):
     """Runs repeated_windows over whole anchors; input is sorted by anchor within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
