@@ -45,7 +45,10 @@ def boilerplate(docs: DataFrame, sites: int = SITES, band: float = BAND) -> Data
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with their text cut, and n_lines and n_removed (long). docs: doc_id, text, source and any other columns."""
+    """docs with their text cut, and n_lines and n_removed (long).
+
+    docs: doc_id, text, source and any other columns; columns of the two new names are replaced.
+    """
     session.prepare(docs.sparkSession)
     keys = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
     found = boilerplate(keys, sites).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "keeper")
