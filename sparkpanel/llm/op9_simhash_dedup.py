@@ -90,7 +90,20 @@ def _linked(reach: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFrame:
+def _bounded(dealt: DataFrame, shard: int) -> DataFrame:
+    """dealt, with shards that came out more than twice too large (balls that no vantage point splits) dealt anew.
+
+    Their fingerprints go to blocks by hash, and every pair of blocks becomes a shard of its own: still exact, and no
+    task holds more than about two blocks.
+    """
+    large = dealt.groupBy(F.col("leaf").alias("large")).count().where(F.col("count") > 2 * shard)
+    joined = dealt.join(large, F.col("leaf") == F.col("large"), "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / shard), F.lit(1)))
+    joined = joined.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.when(F.col("blocks") > 1, F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("leaf"))
+    return joined.select(pair.alias("leaf"), "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2, shard: int = SHARD) -> DataFrame:
     """doc_id, fp (long: the fingerprint's 64 bits), component_id (least doc_id reachable over links, itself included).
 
     docs: doc_id, text. Two documents link if the fingerprints of their shingles of so many words differ in at most
@@ -103,11 +116,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFram
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], dtype=np.int64).view(U)
-    depth = int(np.ceil(np.log2(max(1, n / SHARD)) * 1.5))  # a half more levels, for what goes to both sides
+    depth = int(np.ceil(np.log2(max(1, n / shard)) * 1.5))  # a half more levels, for what goes to both sides
     tree = vptree.grow(sample, reach, depth)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     dealt = nodes.select("fp").mapInArrow(_dealt(tree, reach), "leaf long, fp long")
-    edges = dealt.repartition("leaf").sortWithinPartitions("leaf", "fp").mapInArrow(_linked(reach), "u long, v long")
+    shards = _bounded(dealt, shard)
+    edges = shards.repartition("leaf").sortWithinPartitions("leaf", "fp").mapInArrow(_linked(reach), "u long, v long")
     roots = components(edges)
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
