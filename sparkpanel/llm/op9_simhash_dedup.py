@@ -25,7 +25,7 @@ from .repeats import _not_null
 
 U = np.uint64
 SAMPLE = 8192  # fingerprints that shape the tree above the shards
-SHARD = 16_384  # fingerprints that a shard should have
+SHARD = 65_536  # fingerprints that a shard should have
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2, shard: int
     depth = int(np.ceil(np.log2(max(1, n / shard)) * 1.5))  # a half more levels, for what goes to both sides
     tree = vptree.grow(sample, reach, depth)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    dealt = nodes.select("fp").mapInArrow(_dealt(tree, reach), "leaf long, fp long")
+    dealt = session.written(nodes.select("fp").mapInArrow(_dealt(tree, reach), "leaf long, fp long"))
     shards = _bounded(dealt, shard)
     edges = shards.repartition("leaf").sortWithinPartitions("leaf", "fp").mapInArrow(_linked(reach), "u long, v long")
     roots = components(edges)
