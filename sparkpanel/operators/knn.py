@@ -102,7 +102,7 @@ def _sharded(queries: DataFrame, bank: DataFrame, features: list[str], targets:
     def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("__key", kind="stable")
         if not len(q) or not len(b):
-            return pd.DataFrame({"__id": [], "__key": [], "__d": [], "__y": []})
+            return pd.DataFrame({"__id": np.zeros(0, dtype=np.int64), "__key": np.zeros(0, dtype=object), "__d": np.zeros(0), "__y": np.zeros(0, dtype=object)})
         place, distance = nearest(np.stack(q["__x"].to_list()), np.stack(b["__b"].to_list()), k)
         ids = np.repeat(q["__id"].to_numpy(), place.shape[1])
         flat = place.ravel()

@@ -31,11 +31,11 @@ def marker_metrics(rows: DataFrame, groups: list[str], scales: DataFrame, truth:
         "mae",
         (F.col("mae") / F.col("scale")).alias("normalized_mae"),
         "null_mae",
-        F.when(F.col("null_mae") > 0, 1 - F.col("mae") / F.col("null_mae")).alias("skill"),
+        F.when(F.col("null_mae") > 0, 1 - F.try_divide("mae", "null_mae")).alias("skill"),
         "spearman",
         observed.alias("observed_iqr"),
         predicted.alias("predicted_iqr"),
-        F.when(observed > 0, predicted / observed).alias("range_retention"),
+        F.when(observed > 0, F.try_divide(predicted, observed)).alias("range_retention"),
         (F.abs(p[1] - t[1]) / F.col("scale")).alias("normalized_median_error"),
         (F.abs(p[3] - t[3]) / F.col("scale")).alias("normalized_q90_error"),
     )
@@ -57,7 +57,7 @@ def class_counts(matrix: DataFrame, groups: list[str], classes: list[str], label
 
 
 def _share(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(0.0)
+    return F.when(b > 0, F.try_divide(a, b)).otherwise(0.0)
 
 
 def label_metrics(rows: DataFrame, groups: list[str], classes: list[str], scores: DataFrame | None = None, variant: str = "biology", subsets: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ def spearman(rows: DataFrame, groups: list[str], left: str, right: str, name: st
     """groups, name: null where either side is constant."""
     ranked = rows.select(*groups, left, right).withColumn("__l", average_rank(left, groups)).withColumn("__r", average_rank(right, groups))
     varies = (F.min(left) < F.max(left)) & (F.min(right) < F.max(right))
-    return ranked.groupBy(*groups).agg(F.when(varies, F.corr("__l", "__r")).alias(name))
+    return ranked.groupBy(*groups).agg(F.when(varies, F.try_divide(F.covar_pop("__l", "__r"), F.stddev_pop("__l") * F.stddev_pop("__r"))).alias(name))
 
 
 def auc(rows: DataFrame, groups: list[str], score: str, outcome: str, name: str = "auc") -> DataFrame:
@@ -24,7 +24,7 @@ def auc(rows: DataFrame, groups: list[str], score: str, outcome: str, name: str
     ranked = rows.withColumn("__r", average_rank(score, groups))
     positive = F.sum(F.col(outcome).cast("double"))
     total = F.count(F.lit(1))
-    area = (F.sum(F.col("__r") * F.col(outcome)) - positive * (positive + 1) / 2) / (positive * (total - positive))
+    area = F.try_divide(F.sum(F.col("__r") * F.col(outcome)) - positive * (positive + 1) / 2, positive * (total - positive))
     return ranked.groupBy(*groups).agg(F.when((positive > 0) & (positive < total), area).alias(name))
 
 

@@ -37,7 +37,7 @@ def paired_effects(rows: DataFrame, ids: list[str], metrics: list[str], base: st
     sized = joined.groupBy(*groups).agg(F.countDistinct("patient").alias("n_patients"))
     means = whole.groupBy(*groups).agg(F.avg("base_value").alias("base_mean"), F.avg("value").alias("panel_mean"), F.avg("upper_value").alias("upper_mean"), F.avg("delta").alias("delta_mean"))
     gap = F.col("upper_mean") - F.col("base_mean")
-    out = _null_safe(sized, means, groups).withColumn("gap_rescue_fraction", F.when(F.abs(gap) > CLOSE, F.col("delta_mean") / gap))
+    out = _null_safe(sized, means, groups).withColumn("gap_rescue_fraction", F.when(F.abs(gap) > CLOSE, F.try_divide(F.col("delta_mean"), gap)))
     if replicates is None:
         return out
     cis = intervals(whole.withColumnRenamed("metric", "measure"), [g if g != "metric" else "measure" for g in groups], ["delta"], replicates, seed).drop("metric").withColumnsRenamed({"measure": "metric", "ci_lower": "delta_ci_lower", "ci_upper": "delta_ci_upper"})
@@ -70,7 +70,7 @@ def retention(rows: DataFrame, methods: list[str], metrics: list[str], groups: l
     whole = triples.where("true_value is not null and null_value is not null and method_value is not null")
     means = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_patients"), *(F.avg(f"{r}_value").alias(f"{r}_mean") for r in value))
     gap = F.col("true_mean") - F.col("null_mean")
-    return means.withColumn("retention", F.when(F.abs(gap) > CLOSE, (F.col("method_mean") - F.col("null_mean")) / gap))
+    return means.withColumn("retention", F.when(F.abs(gap) > CLOSE, F.try_divide(F.col("method_mean") - F.col("null_mean"), gap)))
 
 
 def completed(runs: DataFrame) -> DataFrame:
