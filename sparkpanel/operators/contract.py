@@ -243,7 +243,7 @@ class LockedScales(NamedTuple):
 
 def locked_scales(values, markers, fold: int, fit_role: str, patient_digest: str, manifest_digest: str) -> LockedScales:
     values, markers = tuple(map(float, values)), tuple(markers)
-    if fit_role != "outer_train_target":
+    if fit_role != "outer_training_target":
         raise ContractError("scales are fitted on the outer training target")
     if not values or len(values) != len(markers) or len(set(markers)) != len(markers) or not all(0 < v < float("inf") for v in values) or not all(isinstance(m, str) and m.strip() for m in markers):
         raise ContractError("scales are finite, positive, and named once each")

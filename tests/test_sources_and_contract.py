@@ -148,8 +148,8 @@ def test_methods(spark):
     rows = contract.method_violation_rows(spark.createDataFrame([(n,) for n in names], "method string"), contract.method_table(spark), True)
     assert sorted(f"{r.method}:{r.reason}" for r in rows.collect()) == contract.method_violations(names, True)
     with pytest.raises(contract.ContractError):
-        contract.locked_scales([1.0, float("nan")], ["a", "b"], 0, "outer_train_target", "a" * 64, "b" * 64)
-    assert contract.locked_scales([1, 2], ["a", "b"], 0, "outer_train_target", "a" * 64, "b" * 64).values == (1.0, 2.0)
+        contract.locked_scales([1.0, float("nan")], ["a", "b"], 0, "outer_training_target", "a" * 64, "b" * 64)
+    assert contract.locked_scales([1, 2], ["a", "b"], 0, "outer_training_target", "a" * 64, "b" * 64).values == (1.0, 2.0)
 
 
 def bundle():
