@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import session
-from .ranks import ranked
+from .ranks import ranked, salts_for
 
 BLOCK = 32  # documents
 PARTS = 1000  # target weights are held to a share of 1 / PARTS
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts:
     held = integer_weights({s: max(shares.get(s, 0), floor) for s in names}, parts) if names else {}
     rows = [(s, p.first[s], p.count[s], p.start, p.period, held[s], p.slots[s]) for p in phases({s: -(-counts[s] // block) for s in names}, held) for s in p.first if p.count[s]]
     plan = docs.sparkSession.createDataFrame(rows, "__source string, __first long, __count long, __start long, __period long, __weight long, __slots array<long>")
-    placed = ranked(docs, "source", [F.xxhash64("doc_id"), "doc_id"], ["doc_id"], rank="__rank")
+    placed = ranked(docs, "source", [F.xxhash64("doc_id"), "doc_id"], ["doc_id"], rank="__rank", salts=salts_for(max(counts.values(), default=0)))
     placed = placed.withColumn("block", F.floor(F.col("__rank") / block))
     in_phase = F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__first") + F.col("__count"))
     j = F.col("block") - F.col("__first")

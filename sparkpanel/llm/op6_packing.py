@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import session
-from .ranks import SALTS, ranked
+from .ranks import ranked, salts_for
 
 CAPACITY = 2048
 CHUNK = 10_000  # slots that one row of the plan is spread to
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0
     slot = spark.createDataFrame(plan(counts, capacity), "length long, rank long, n long, sequence_id long, offset long")
     slot = slot.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).select("length", (F.col("rank") + F.col("chunk") * CHUNK).alias("rank"), F.least(F.lit(CHUNK), F.col("n") - F.col("chunk") * CHUNK).alias("n"), (F.col("sequence_id") + F.col("chunk") * CHUNK).alias("sequence_id"), "offset")
     slot = slot.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(F.col("length").alias("slot_length"), (F.col("rank") + F.col("i")).alias("slot_rank"), (F.col("sequence_id") + F.col("i")).alias("sequence_id"), "offset")
-    placed = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece", "ids_crc32"], salts=max(SALTS, session.partitions(spark)))
+    placed = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece", "ids_crc32"], salts=salts_for(max(counts.values(), default=0)))
     return placed.join(slot, (F.col("length") == F.col("slot_length")) & (F.col("rank") == F.col("slot_rank"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -7,6 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 64
+SHARE = 20_000  # rows of a group that one salt should have
+
+
+def salts_for(rows: int) -> int:
+    """Salts that keep a task's share of a group bounded, whatever the number of rows."""
+    return max(SALTS, -(-rows // SHARE))
 
 
 def ranked(rows: DataFrame, group: str, order: list[str | Column], salt_by: list[str], rank: str = "rank", salts: int = SALTS) -> DataFrame:
