@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpanel.operators import models, persistence, screen, splits
+from sparkpanel.operators import models, percentiles, persistence, quantiles, screen, splits
 from sparkpanel.plans import probe, runs
 
 
@@ -112,3 +112,21 @@ def test_cross_panel_run(spark, cohort):
     found = runs.cross_panel(source, target, roles, runs.CrossPanel(["CD3"], ["CD4"], ["SIGNAL"], least=5, epochs=3))
     base, gated = (found[k].first() for k in ("baseline", "gated"))
     assert base.n_patients == 1 and 0 < gated.patient_first_w1 < 2 and found["gates"].count() == 1
+
+
+def test_large_quantiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BUCKETS", 8)
+    rng = np.random.default_rng(9)
+    data = {"a": rng.normal(size=3000) ** 3, "b": np.r_[np.full(500, 2.5), 1e9, -1e9], "c": np.array([7.0]), None: rng.integers(0, 4, 100) * 1.0}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("a", float("nan"))]
+    frame = spark.createDataFrame(rows, "g string, x double")
+    grid = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {r.g: r.quantiles for r in quantiles.large_quantiles(frame, ["g"], "x", grid).collect()}
+    for k, vs in data.items():
+        assert got[k] == pytest.approx(np.quantile(vs, grid), rel=1e-12, abs=1e-12)
+    some = frame.where("g = 'a'").withColumnsRenamed({"g": "marker", "x": "value"})
+    one, two = (percentiles.knots(some, ["marker"], n=33, large=large).first() for large in (False, True))
+    assert one.knots == pytest.approx(two.knots) and one.probabilities == pytest.approx(two.probabilities)
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(quantiles, "GROUPS", 2)
+        quantiles.large_quantiles(frame, ["g"], "x", grid)
