@@ -47,6 +47,7 @@ NO_TEXT_NAMES = frozenset(
     " breadcrumb breadcrumbs sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus respond"
     " reply replies discussion footer foot masthead login signin search pagination pager toolbar copyright legal disclaimer hidden skip".split()
 )
+NO_TEXT_STARTS = ("advert", "cookie", "newsletter", "sidebar", "breadcrumb", "sponsor", "footer", "navbar", "navigation")
 HEADER_NAMES = frozenset(("header", "topbar", "head"))
 TEXT_NAMES = frozenset("article post entry story content main body text".split())
 CLOSES = {  # an element that begins ends open ones of these kinds, up to the barrier
@@ -67,7 +68,9 @@ LINKS = frozenset(("a",))
 class Page:
     """Nodes as parallel lists, in document order; segments of text with their node and block."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, strict: int = 2):
+        """strict: 2 heeds what classes and ids name, 1 only where they do not name text as well, 0 not at all."""
+        self.strict = strict
         self.tag, self.parent = ["html"], [-1]
         self.dead, self.linked, self.in_article = [False], [False], [False]
         self.segments: list[tuple[int, int, str]] = []
@@ -136,14 +139,15 @@ class Page:
             elif here in barrier:
                 return
 
-    @staticmethod
-    def other(attributes: str, in_article: bool) -> bool:
+    def other(self, attributes: str, in_article: bool) -> bool:
         """Whether the attributes name something other than the article."""
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
                 parts = {x.lower() for x in NAME_PART.findall(value)}
-                if parts & NO_TEXT_NAMES or (parts & HEADER_NAMES and not parts & TEXT_NAMES and not in_article):
+                if not self.strict or (self.strict == 1 and parts & TEXT_NAMES):
+                    continue
+                if parts & NO_TEXT_NAMES or any(x.startswith(NO_TEXT_STARTS) for x in parts) or (parts & HEADER_NAMES and not parts & TEXT_NAMES and not in_article):
                     return True
             elif key == "role" and value.lower() in NO_TEXT_ROLES:
                 return True
@@ -223,9 +227,18 @@ class Page:
         return "\n".join(out)
 
 
+def main_text(html: str | None) -> str:
+    """The page's text. Where names of classes and ids would leave nothing (a wrapper named after its side bar, say), they
+    are heeded less."""
+    for strict in (2, 1, 0):
+        if text := Page(html, strict).text() if html else "":
+            return text
+    return ""
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(h).text() if h else "" for h in batch.column("html").to_pylist()]
+        texts = [main_text(h) for h in batch.column("html").to_pylist()]
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 

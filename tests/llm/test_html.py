@@ -20,11 +20,13 @@ TEXT = ("Lorem ipsum dolor sit amet. " * 8).strip()
         ("<body><article><p><b>Bold line.<br><p>" + TEXT + "</p></article>", "Bold line.\n" + TEXT),
         ("<body><header><h1>Site</h1></header><main><header><h2>Own</h2></header>" + P + "<form><p>mail</p></form></main></body>", "Own\n" + TEXT),
         ("<body><div id=menu><ul><li><a href=a>A</a><li><a href=b>B</a></ul></div><div class=content><h2>Q</h2>" + P * 3 + "<ul><li>one<li>two</ul></div></body>", "Q\n" + "\n".join([TEXT] * 3) + "\none\ntwo"),
+        ("<body><div class='content-sidebar-wrap'><div class=content>" + P + P + "</div><div class=sidebar>" + P + "</div></div></body>", TEXT + "\n" + TEXT),
+        ("<body><div class=advertBox>" + P + "</div><div class=mainText>" + P + "</div><section id=userComments><article>" + P + "</article></section></body>", TEXT),
         ("<body><p hidden>no</p><p style='display: none'>no</p>" + P + "</body>", TEXT),
     ],
 )
 def test_text(html, text):
-    assert (op7.Page(html).text() if html else "") == text
+    assert op7.main_text(html) == text
 
 
 def test_densities_prefer_text_to_links():
