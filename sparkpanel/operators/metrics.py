@@ -12,7 +12,7 @@ from .ranks import auc, average_precision, least_on_grid, quintiles, spearman
 def marker_metrics(rows: DataFrame, groups: list[str], scales: DataFrame, truth: str = "truth", prediction: str = "prediction", null: str = "null_prediction") -> DataFrame:
     """Per groups (which include marker): errors, skill against the null prediction, rank correlation, dynamic range.
 
-    scales: marker, scale. Skill is null where the null prediction is perfect, retention where the truth has no range.
+    scales: marker (and any other of groups), scale. Skill is null where the null prediction is perfect, retention where the truth has no range.
     """
     quarter = F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75, 0.9)))
     per = rows.groupBy(*groups).agg(
@@ -22,7 +22,7 @@ def marker_metrics(rows: DataFrame, groups: list[str], scales: DataFrame, truth:
         F.percentile(truth, quarter).alias("__t"),
         F.percentile(prediction, quarter).alias("__p"),
     )
-    joined = per.join(spearman(rows, groups, truth, prediction), groups).join(F.broadcast(scales), "marker")
+    joined = per.join(spearman(rows, groups, truth, prediction), groups).join(F.broadcast(scales), [c for c in scales.columns if c != "scale"])
     t, p = F.col("__t"), F.col("__p")
     observed, predicted = t[2] - t[0], p[2] - p[0]
     return joined.select(
