@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkpanel.llm import op1_line_dedup, op2_mixing, op6_packing, op8_quality, op9_simhash_dedup, session
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-WORDS, REACH = 5, 3  # shingles and bits of the near-duplicate stage
+WORDS, REACH, SIMILAR = 5, 6, 0.8  # shingles, bits and verified Jaccard similarity of the near-duplicate stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of least id."""
     docs = docs.select(*COLUMNS)
-    found = op9_simhash_dedup.near_duplicates(docs, words=WORDS, reach=REACH)
+    found = op9_simhash_dedup.near_copies(docs, words=WORDS, reach=REACH, least=SIMILAR)
     first = session.written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct())
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, F.col("doc_id") == F.col("__first"), "leftsemi")
     return one.unionByName(docs.where("doc_id is null"))

@@ -57,13 +57,16 @@ def route(tree: tuple | None, points: np.ndarray, reach: int):
         stack += [(node[2], at[left], 2 * number), (node[3], at[right], 2 * number + 1)]
 
 
-def _block_links(points: np.ndarray, reach: int, label: np.ndarray, at: np.ndarray, rows: int = 512) -> None:
-    """Compares all points of a block and joins labels; at: their places in label."""
+def _block_links(points: np.ndarray, reach: int, label: np.ndarray, at: np.ndarray, rows: int = 256, columns: int = 4096) -> None:
+    """Compares all points of a block and joins labels, tile by tile (a tile stays in cache); at: their places in label."""
     for a in range(0, len(points), rows):
-        near = distance(points[a : a + rows, None], points[None, a:]) <= reach
-        i, j = np.nonzero(near)
+        found = []
+        for b in range(a, len(points), columns):
+            i, j = np.nonzero(distance(points[a : a + rows, None], points[None, b : b + columns]) <= reach)
+            found.append((a + i, b + j))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         keep = j > i
-        i, j = at[a + i[keep]], at[a + j[keep]]
+        i, j = at[i[keep]], at[j[keep]]
         if not len(i):
             continue
         while True:  # least label along links, until nothing moves

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as pipeline
-from sparkpanel.llm import op1_line_dedup, op2_mixing
+from sparkpanel.llm import op1_line_dedup, op2_mixing, op9_simhash_dedup
 from tests.llm.conftest import DOCS, words
 
 
@@ -74,3 +74,32 @@ def test_line_stage_updates_n_chars(spark):
     rows = [(k, f"same line\nown {k}", "en", f"s{k}", 17) for k in range(op1_line_dedup.SITES + 2)]
     got = pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert {r.doc_id: r.n_chars for r in got if r.doc_id} == {k: len(f"own {k}") for k in range(1, len(rows))}
+
+
+def test_near_copies_by_jaccard(spark, tmp_path):
+    """Near copies of similarity 0.8 and more (five words) go, however far their fingerprints are apart; others stay."""
+    rng = random.Random(23)
+    texts = {}
+    for k in range(60):
+        base = words(rng, 150).split()
+        texts[10 * k] = " ".join(base)
+        for j in range(1, 4):
+            other = list(base)
+            for at in rng.sample(range(150), j):
+                other[at] = f"changed{rng.randint(0, 10**9)}"
+            texts[10 * k + j] = " ".join(other)
+        texts[10 * k + 5] = " ".join(base[:105] + words(rng, 45).split())
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and a // 10 == b // 10]
+    alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], DOCS)
+    found = {r.doc_id: r.component_id for r in op9_simhash_dedup.near_copies(frame, pipeline.WORDS, pipeline.REACH, 0.8, block=3).collect()}
+    linked = {(a, b) for a, b in pairs if found[a] == found[b]}
+    root = {k: k for k in texts}
+    for _ in range(5):
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(alike) > 150 and len(linked & alike) >= 0.99 * len(alike)
+    assert all(root[a] == root[b] for a, b in linked)  # only chains of verified pairs
+    left = {r.doc_id for r in pipeline.near_duplicates(spark, frame, "").select("doc_id").collect()}
+    assert left == {k for k in texts if found[k] == k}
