@@ -8,7 +8,9 @@ as empty; an empty table gives no pieces; columns other than those of documents
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkpanel.llm import op1_line_dedup, op2_mixing, op6_packing, op8_quality, op9_simhash_dedup, session
@@ -39,17 +41,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one.unionByName(docs.where("doc_id is null"))
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict | None = None) -> DataFrame:
     """The same documents, in the order of the mix: files in order hold rows in order."""
-    mixed = op2_mixing.mix(docs.select(*COLUMNS))
+    mixed = op2_mixing.mix(docs.select(*COLUMNS), weights)
     return mixed.repartitionByRange(session.partitions(spark), "slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS)
 
 
+def positions(docs: DataFrame) -> DataFrame:
+    """docs with __position: their places, from 0, in the order of files and rows (of partitions, if they are in no files)."""
+    try:
+        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+        numbered = docs.select("*", F.struct(part, F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        numbered.schema  # resolves the columns
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        numbered = docs.select("*", F.shiftright(at, 33).alias("__file"), at.bitwiseAND((1 << 33) - 1).alias("__row"))
+    sizes = numbered.groupBy(F.col("__file").alias("__of")).count()
+    before = sizes.select("__of", (F.sum("count").over(W.orderBy("__of")) - F.col("count")).alias("__before"))  # a row a file
+    return numbered.join(F.broadcast(before), F.col("__file") == F.col("__of")).withColumn("__position", F.col("__before") + F.col("__row")).drop("__file", "__row", "__of", "__before")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, in sequences of at most 2048 tokens."""
+    """Pieces of all documents, in sequences of at most 2048 tokens that follow the order of the mix."""
     import public_tokenizers
 
-    return op6_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return op6_packing.pack(positions(docs), public_tokenizers.path("byte_bpe_50k.json"), position="__position")
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixing), ("packing", packing)]

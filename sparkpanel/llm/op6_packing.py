@@ -49,18 +49,18 @@ def encoder(path: str):
 
 
 def _cut(path: str, capacity: int, end: int):
-    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", "position")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_to_numpy
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, text, position in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "position")), strict=True):
                 ids = np.append(encode(text or "", disallowed_special=()), end).astype("<u4")
                 first = len(ids) if len(ids) <= capacity else len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
-                rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+                rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), position) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=list(names))
 
     return run
@@ -113,22 +113,38 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, position: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     docs: doc_id, text. A document is its ids and the end id; only documents longer than capacity are cut, into
-    pieces of that length of which the first may be shorter.
+    pieces of that length of which the first may be shorter. position: a column that numbers the documents from 0 in
+    the order in which they are to come; pieces of a length then take their slots, and sequences their numbers (by the
+    piece at offset 0, the longest), in that order.
     """
     spark = docs.sparkSession
     session.prepare(spark)
-    pieces = session.id_and_text(docs).mapInArrow(_cut(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    at = F.col(position) if position else F.lit(None)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), at.cast("long").alias("position"))
+    pieces = texts.mapInArrow(_cut(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, position long")
     pieces = session.written(pieces)
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     slot = spark.createDataFrame(plan(counts, capacity), "length long, rank long, n long, sequence_id long, offset long")
     slot = slot.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).select("length", (F.col("rank") + F.col("chunk") * CHUNK).alias("rank"), F.least(F.lit(CHUNK), F.col("n") - F.col("chunk") * CHUNK).alias("n"), (F.col("sequence_id") + F.col("chunk") * CHUNK).alias("sequence_id"), "offset")
     slot = slot.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(F.col("length").alias("slot_length"), (F.col("rank") + F.col("i")).alias("slot_rank"), (F.col("sequence_id") + F.col("i")).alias("sequence_id"), "offset")
-    placed = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece", "ids_crc32"], salts=salts_for(max(counts.values(), default=0)))
-    return placed.join(slot, (F.col("length") == F.col("slot_length")) & (F.col("rank") == F.col("slot_rank"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    salts, order, dealt = salts_for(max(counts.values(), default=0)), ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece", "ids_crc32"]
+    if position:
+        salts = salts_for(sum(counts.values()))
+        documents = (pieces.agg(F.max("position")).first()[0] or 0) + 1
+        order, dealt = ["position", "piece"], F.floor(F.col("position") * salts / documents)
+    placed = ranked(pieces, "length", order, dealt, salts=salts)
+    placed = placed.join(slot, (F.col("length") == F.col("slot_length")) & (F.col("rank") == F.col("slot_rank"))).drop("rank")
+    if not position:
+        return placed.select(*columns)
+    placed = session.written(placed.select(*columns, "position"))
+    firsts = placed.where("offset = 0").select(F.lit(0).alias("all"), F.col("sequence_id").alias("planned"), "position", "piece")
+    numbers = ranked(firsts, "all", order, dealt, rank="number", salts=salts).select("planned", "number")
+    return placed.join(numbers, F.col("sequence_id") == F.col("planned")).withColumn("sequence_id", F.col("number")).select(*columns)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

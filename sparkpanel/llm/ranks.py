@@ -15,13 +15,13 @@ def salts_for(rows: int) -> int:
     return max(SALTS, -(-rows // SHARE))
 
 
-def ranked(rows: DataFrame, group: str, order: list[str | Column], salt_by: list[str], rank: str = "rank", salts: int = SALTS) -> DataFrame:
+def ranked(rows: DataFrame, group: str, order: list[str | Column], salt_by: list[str] | Column, rank: str = "rank", salts: int = SALTS) -> DataFrame:
     """rows with their rank (from 0) within the group, null being a group too.
 
-    A group is dealt over salts by a hash of salt_by; rows are ranked within (group, salt) by order, and a group's
-    salts follow each other. No task sees more than a share of a group; what is gathered is a count per salt.
+    A group is dealt over salts by a hash of salt_by, or by salt_by itself if that is a column of numbers from 0 to
+    salts - 1; rows are ranked within (group, salt) by order, and a group's salts follow each other. No task sees more than a share of a group; what is gathered is a count per salt.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
+    salted = rows.withColumn("__salt", salt_by if isinstance(salt_by, Column) else F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
     counts = salted.groupBy(F.col(group).alias("__group"), F.col("__salt").alias("__s")).count()
     base = counts.select("__group", "__s", (F.sum("count").over(W.partitionBy("__group").orderBy("__s")) - F.col("count")).alias("__base"))
     local = salted.withColumn("__local", F.row_number().over(W.partitionBy(group, "__salt").orderBy(*order)))

@@ -2,10 +2,11 @@
 
 import random
 
+import public_tokenizers
 import pytest
 
 import corpus_pipeline as pipeline
-from sparkpanel.llm import op1_line_dedup, op2_mixing, op9_simhash_dedup
+from sparkpanel.llm import op1_line_dedup, op2_mixing, op6_packing, op9_simhash_dedup
 from tests.llm.conftest import DOCS, words
 
 
@@ -103,3 +104,23 @@ def test_near_copies_by_jaccard(spark, tmp_path):
     assert all(root[a] == root[b] for a, b in linked)  # only chains of verified pairs
     left = {r.doc_id for r in pipeline.near_duplicates(spark, frame, "").select("doc_id").collect()}
     assert left == {k for k in texts if found[k] == k}
+
+
+def test_packing_follows_the_mix(spark, folder, tmp_path, monkeypatch):
+    """run() changes with the weights, sequences come in the order of the mix, and pieces of a length as well."""
+    sequences = {}
+    for name, weights in (("a", {"src1": 50.0}), ("b", {"src2": 50.0})):
+        stage = lambda spark, docs, at, w=weights: pipeline.mixing(spark, docs, at, w)
+        monkeypatch.setattr(pipeline, "STAGES", [(n, stage if n == "mixing" else f) for n, f in pipeline.STAGES])
+        rows = pipeline.run(spark, folder).collect()
+        sequences[name] = {(r.doc_id, r.piece, r.sequence_id, r.offset) for r in rows}
+    assert {x[:2] for x in sequences["a"]} == {x[:2] for x in sequences["b"]} and sequences["a"] != sequences["b"]
+    docs = spark.createDataFrame([(k, "one two" if k % 3 else "one two three four", "en", f"src{k % 4}", 7) for k in range(400)], DOCS)
+    pipeline.mixing(spark, docs, "", {"src1": 9.0, "src0": 1.0, "src2": 1.0, "src3": 1.0}).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    want = [r.doc_id for r in op2_mixing.mix(docs, {"src1": 9.0, "src0": 1.0, "src2": 1.0, "src3": 1.0}).orderBy("slot", "place").collect()]
+    placed = {r.doc_id: r["__position"] for r in pipeline.positions(mixed).collect()}
+    assert [placed[k] for k in want] == list(range(400))
+    got = op6_packing.pack(pipeline.positions(mixed), public_tokenizers.path("byte_bpe_50k.json"), capacity=16, position="__position").collect()
+    heads = [placed[r.doc_id] for r in sorted(got, key=lambda r: r.sequence_id) if r.offset == 0]
+    assert heads == sorted(heads) and sorted({r.sequence_id for r in got}) == list(range(len(heads)))
