@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict | None = None) -> DataFrame:
     """The same documents, in the order of the mix: files in order hold rows in order."""
-    mixed = op2_mixing.mix(docs.select(*COLUMNS), weights)
+    mixed = op2_mixing.mix(docs.select(*COLUMNS), weights, most=None)
     return mixed.repartitionByRange(session.partitions(spark), "slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS)
 
 

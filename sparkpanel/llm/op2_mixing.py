@@ -1,20 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents form blocks. With integer weights a of sum A, block j (from 1) of a source is released at slot
-floor((j - 1) * A / a) and due at ceil(j * A / a); every slot goes to the released block with the earliest deadline.
-Every prefix of the mix then holds each source's share to less than one block. The schedule repeats after A slots, so
-one period is enough to know the slot of any block. When a source has no blocks left, a new phase begins in which
-the others share by their weights; every document is placed.
+A source's documents form blocks. With integer weights a of sum A, block j (from 1) of a source is released at slot floor((j - 1) * A / a) and due at
+ceil(j * A / a); every slot goes to the released block with the earliest deadline. Every prefix of the mix then holds each
+source's share to less than one block. When a source has no blocks left, a new phase begins in which the others share by
+their weights; every document is placed.
+
+The driver makes the schedule slot by slot, in bounded pieces, and keeps a few numbers per source; documents get their
+slots by a join on source and block.
 
 Defined results: a null source is a source of its own; null or repeated doc_ids are placed like any other row; an empty
-table gives no rows; more than MAX_SOURCES sources raise ValueError (fold the small ones first), which bounds the plan.
+table gives no rows; any number of sources is scheduled unless the caller sets a bound.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +26,9 @@ from . import session
 from .ranks import ranked, salts_for
 
 BLOCK = 32  # documents
-PARTS = 1000  # target weights are held to a share of 1 / PARTS
-MAX_SOURCES = 256
-
-
-@dataclass(frozen=True)
-class Phase:
-    """Slots start, start + 1, ... while the same sources have blocks: period slots hold weight[s] blocks of s."""
-
-    start: int
-    period: int
-    first: dict  # by source: its first block in this phase
-    count: dict  # blocks in this phase
-    slots: dict  # places within a period
+PARTS = 1000  # a source without a weight counts as 1 / PARTS of the sum of the weights
+MAX_SOURCES = 256  # mix() raises beyond, unless told otherwise; the query and the pipeline have no bound
+SMALL = 1_000_000  # blocks of a plan that is broadcast, and of a piece of a larger one
 
 
 def period(weights: dict) -> dict:
@@ -60,31 +54,46 @@ def period(weights: dict) -> dict:
     return slots
 
 
-def phases(blocks: dict, weights: dict) -> list[Phase]:
-    """The whole schedule. blocks, weights: by source, both positive."""
-    left, done, start, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block) of slot 0, 1, ... blocks, weights: by source, positive whole numbers. Ties go to the source named first.
+
+    A phase takes up a source when its first deadline comes near, so that short phases do not cost a pass over all sources.
+    """
+    rank = {s: k for k, s in enumerate(blocks)}
+    left, done = dict(blocks), dict.fromkeys(blocks, 0)
+    waits = sorted(blocks, key=lambda s: (-weights[s], rank[s]))
+    total = sum(weights[s] for s in blocks)
     while left:
-        active = {s: weights[s] for s in left}
-        total, slots = sum(active.values()), period(active)
-        whole = min(left[s] // active[s] for s in left)
-        used = {s: whole * active[s] for s in left}
-        length = whole * total
-        for _, s in sorted((slot, s) for s in left for slot in slots[s]) if len(left) > 1 else ():
-            if used[s] == left[s]:
+        used: dict = {}  # blocks of this phase
+        ready: list[tuple[int, int, object]] = []  # (deadline, rank, source)
+        waiting: list[tuple[int, int, object]] = []  # (release, rank, source)
+        at, slot, asked = 0, 0, None
+        while asked is None and len(used) + len(waits) - at > 0:
+            while waiting and waiting[0][0] <= slot:
+                _, k, s = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(used[s] + 1) * total // weights[s]), k, s))
+            while at < len(waits) and (not ready or -(-total // weights[waits[at]]) <= ready[0][0]):
+                s = waits[at]
+                heapq.heappush(ready, (-(-total // weights[s]), rank[s], s))
+                at += 1
+            deadline, k, s = heapq.heappop(ready)
+            if slot >= deadline:
+                raise AssertionError("a block missed its deadline")
+            if used.get(s, 0) == left[s]:
+                asked = s
                 break
-            used[s] += 1
-            length += 1
-        if len(left) == 1:
-            used = dict(left)
-            length = sum(used.values())
-        out.append(Phase(start, total, {s: done[s] for s in left}, used, slots))
-        start += length
-        for s in list(left):
-            done[s] += used[s]
-            left[s] -= used[s]
-            if not left[s]:
-                del left[s]
-    return out
+            yield s, done[s] + used.get(s, 0)
+            used[s] = used.get(s, 0) + 1
+            slot += 1
+            heapq.heappush(waiting, (used[s] * total // weights[s], k, s))
+        ended = {s for s, n in used.items() if n == left[s]}
+        for s, n in used.items():
+            done[s] += n
+            left[s] -= n
+        for s in ended:
+            del left[s]
+            total -= weights[s]
+        waits = [s for s in waits if s not in ended]
 
 
 def integer_weights(shares: dict, parts: int = PARTS) -> dict:
@@ -96,36 +105,59 @@ def tempered(counts: dict, power: float = 0.5) -> dict:
     return {s: n**power for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts: int = PARTS) -> DataFrame:
+def _plan(spark: SparkSession, blocks: dict, weights: dict) -> tuple[DataFrame, bool]:
+    """(__source, __block, slot; whether it is small)."""
+    slots, start = schedule(blocks, weights), 0
+
+    def piece() -> DataFrame | None:
+        nonlocal start
+        some = list(islice(slots, SMALL))
+        if not some and start:
+            return None
+        columns = [pa.array([s for s, _ in some], pa.string()), pa.array([b for _, b in some], pa.int64()), pa.array(range(start, start + len(some)), pa.int64())]
+        start += len(some)
+        table = pa.table(columns, names=["__source", "__block", "slot"])
+        return spark.createDataFrame(table) if some else spark.createDataFrame([], "__source string, __block long, slot long")
+
+    first = piece()
+    if sum(blocks.values()) <= SMALL:
+        return first, True
+    pieces = [session.written(first)]
+    while (more := piece()) is not None:
+        pieces.append(session.written(more))
+    plan = pieces[0]
+    for more in pieces[1:]:
+        plan = plan.unionByName(more)
+    return plan, False
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, most: int | None = MAX_SOURCES) -> DataFrame:
     """docs with block (of its source), slot (the block's place in the mix) and place (in the block).
 
-    docs: doc_id, source and any other columns but those three. weights: target share by source; a source without one
-    counts as 0.001 of their sum; by default the square roots of the sources' sizes. Order by slot, place to read the
-    mix.
+    docs: doc_id, source and any other columns but those three. weights: target share by source, held as they are; a
+    source without a positive one counts as 0.001 of their sum; by default the square roots of the sources' sizes. Order
+    by slot, place to read the mix. More than `most` sources raise ValueError; None: no bound.
     """
-    counts = {r[0]: int(r[1]) for r in docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    spark = docs.sparkSession
+    sizes = docs.groupBy("source").count()
+    counts = {r[0]: int(r[1]) for r in (sizes if most is None else sizes.limit(most + 1)).collect()}
+    if most is not None and len(counts) > most:
+        raise ValueError(f"more than {most} sources")
     names = sorted(counts, key=lambda s: (s is None, s or ""))
-    shares = weights or tempered(counts)
-    floor = sum(shares.values()) / parts
-    held = integer_weights({s: max(shares.get(s, 0), floor) for s in names}, parts) if names else {}
-    rows = [(s, p.first[s], p.count[s], p.start, p.period, held[s], p.slots[s]) for p in phases({s: -(-counts[s] // block) for s in names}, held) for s in p.first if p.count[s]]
-    plan = docs.sparkSession.createDataFrame(rows, "__source string, __first long, __count long, __start long, __period long, __weight long, __slots array<long>")
+    shares = {s: w for s, w in (weights or tempered(counts)).items() if w > 0}
+    floor = sum(shares.values()) / PARTS if shares else 1
+    held = integer_weights({s: shares.get(s, floor) for s in names}) if names else {}
+    plan, small = _plan(spark, {s: -(-counts[s] // block) for s in names}, held)
     placed = ranked(docs, "source", [F.xxhash64("doc_id"), "doc_id"], ["doc_id"], rank="__rank", salts=salts_for(max(counts.values(), default=0)))
-    placed = placed.withColumn("block", F.floor(F.col("__rank") / block))
-    in_phase = F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__first") + F.col("__count"))
-    j = F.col("block") - F.col("__first")
-    slot = F.col("__start") + F.floor(j / F.col("__weight")) * F.col("__period") + F.element_at("__slots", (j % F.col("__weight")).cast("int") + 1)
-    joined = placed.join(F.broadcast(plan), in_phase)  # plan: at most MAX_SOURCES phases of PARTS + MAX_SOURCES slots
-    joined = joined.withColumn("slot", slot).withColumn("place", F.col("__rank") % block)
-    return joined.drop("__rank", "__source", "__first", "__count", "__start", "__period", "__weight", "__slots")
+    placed = placed.withColumn("block", F.floor(F.col("__rank") / block)).withColumn("place", F.col("__rank") % block)
+    joined = placed.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block")))
+    return joined.drop("__rank", "__source", "__block")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.prepare(spark)
     docs = session.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("source").cast("string"))
-    return mix(docs).select("doc_id", "source", "block", "slot", "place")
+    return mix(docs, most=None).select("doc_id", "source", "block", "slot", "place")
 
 
 QUERIES = {"op2_mixing": op2_mixing}

@@ -98,3 +98,16 @@ def test_mixing_edges(table, spark):
     many = spark.range(op2.MAX_SOURCES + 1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
     with pytest.raises(ValueError):
         op2.mix(many)
+
+
+def test_any_number_of_sources(spark, tmp_path, monkeypatch):
+    """As slot by slot, with more sources than MAX_SOURCES and a plan in several joined pieces."""
+    monkeypatch.setattr(op2, "SMALL", 100)
+    sizes = {f"s{k}": 1 + 2000 // (k + 1) for k in range(700)}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op2.op2_mixing(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(rows)))
+    assert len({(r.slot, r.place) for r in got}) == len(rows)
+    want = schedule(sizes, op2.integer_weights(op2.tempered(sizes)), op2.BLOCK)
+    assert {(r.source, r.block): r.slot for r in got} == want
