@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents form blocks. With integer weights a of sum A, block j (from 1) of a source is released at slot floor((j - 1) * A / a) and due at
+A source's documents form blocks. With exact integer weights a of sum A (the caller's numbers as fractions of one
+denominator, not rounded), block j (from 1) of a source is released at slot floor((j - 1) * A / a) and due at
 ceil(j * A / a); every slot goes to the released block with the earliest deadline. Every prefix of the mix then holds each
 source's share to less than one block. When a source has no blocks left, a new phase begins in which the others share by
 their weights; every document is placed.
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import islice
+from math import lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,9 +99,11 @@ def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
         waits = [s for s in waits if s not in ended]
 
 
-def integer_weights(shares: dict, parts: int = PARTS) -> dict:
-    total = sum(shares.values())
-    return {s: max(1, round(parts * w / total)) for s, w in shares.items()}
+def integer_weights(shares: dict) -> dict:
+    """Whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in shares.items()}
+    one = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * one) for s, w in exact.items()}
 
 
 def tempered(counts: dict, power: float = 0.5) -> dict:

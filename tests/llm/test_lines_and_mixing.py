@@ -111,3 +111,16 @@ def test_any_number_of_sources(spark, tmp_path, monkeypatch):
     assert len({(r.slot, r.place) for r in got}) == len(rows)
     want = schedule(sizes, op2.integer_weights(op2.tempered(sizes)), op2.BLOCK)
     assert {(r.source, r.block): r.slot for r in got} == want
+
+
+@pytest.mark.parametrize("weights", [{"a": 2 / 3, "b": 1 / 3 - 0.0001, "c": 0.0001}, {"a": 0.5004, "b": 0.4996}, {"a": 5, "b": 1, "c": 1}])
+def test_prefixes_hold_the_callers_weights(weights):
+    """To less than a block for every prefix of a long mix, not to weights rounded to thousandths."""
+    held, whole, done = op2.integer_weights(weights), sum(weights.values()), dict.fromkeys(weights, 0)
+    for t, (s, block) in enumerate(op2.schedule(dict.fromkeys(weights, 10**6), held), 1):
+        assert block == done[s]
+        done[s] += 1
+        if t % 97 == 0 or t < 1000:
+            assert all(abs(done[x] - t * w / whole) < 1 for x, w in weights.items())
+        if t == 300_000:
+            break
