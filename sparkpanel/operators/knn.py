@@ -82,38 +82,52 @@ def impute(queries: DataFrame, bank: DataFrame, features: list[str], targets: li
     names = [*([label] if label else []), *features, *targets]
     rows = bank.select(*key, *(c for c in names if c not in key))
     if rows.limit(MOST + 1).count() > MOST:
-        if label:
-            raise ValueError(f"a label-conditioned bank has at most {MOST} rows; draw one with sampling.balanced_bank")
-        return _sharded(queries, bank, features, targets, key, k, rule)
+        return _sharded(queries, bank, features, targets, key, k, rule, label)
     small = rows.toPandas().sort_values(key, kind="stable").reset_index(drop=True)  # MOST rows at most
     kept = [c for c in queries.columns]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema), *(f"`predicted_{t}` double" for t in targets), *(f"`mad_{t}` double" for t in targets), "mean_distance double", "effective_k long", "used_fallback boolean"])
     return queries.mapInPandas(_imputer(small, features, targets, k, rule, label, kept), schema)
 
 
-def _sharded(queries: DataFrame, bank: DataFrame, features: list[str], targets: list[str], key: list[str], k: int, rule: str) -> DataFrame:
-    """The same for a bank of any size: each query meets each shard, and a shard keeps its k nearest for it."""
+def _sharded(queries: DataFrame, bank: DataFrame, features: list[str], targets: list[str], key: list[str], k: int, rule: str, label: str | None = None) -> DataFrame:
+    """The same for a bank of any size: each query meets each shard, and a shard keeps its k nearest for it.
+
+    With a label a query meets its label's rows in each shard, or all rows if no row of the bank has its label.
+    """
     shards = -(-bank.count() // MOST)
-    dealt = bank.withColumn("__shard", F.pmod(F.xxhash64(*key), F.lit(shards))).withColumn("__key", F.concat_ws("~", *key))
-    asked = queries.withColumn("__query", F.struct(*queries.columns)).select("__query", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("__shard"), F.array(*(F.col(f).cast("double") for f in features)).alias("__x"))
-    asked = asked.withColumn("__slice", F.pmod(F.xxhash64("__x"), F.lit(16)))
-    both = dealt.select("__shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("__slice"), "__key", F.array(*(F.col(f).cast("double") for f in features)).alias("__b"), F.array(*(F.col(t).cast("double") for t in targets)).alias("__y"))
+    doubles = lambda names: F.array(*(F.col(c).cast("double") for c in names))
+    keys = {f"__k{j}": c for j, c in enumerate(key)}
+    types = ", ".join(f"{n} {bank.schema[c].dataType.simpleString()}" for n, c in keys.items())
+    of = F.col(label).cast("string") if label else F.lit(None).cast("string")
+    dealt = bank.select(F.pmod(F.xxhash64(*key), F.lit(shards)).alias("__shard"), *(F.col(c).alias(n) for n, c in keys.items()), of.alias("__label"), doubles(features).alias("__b"), doubles(targets).alias("__y"))
+    both = dealt.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    named = queries.withColumn("__id", F.xxhash64(F.to_json(F.struct(*queries.columns), {"ignoreNullFields": "false"}))).withColumn("__label", of)
+    if label:
+        known = dealt.where("__label is not null").select(F.col("__label").alias("__known")).distinct()
+        named = named.join(known, F.col("__label") == F.col("__known"), "left")
+    else:
+        named = named.withColumn("__known", F.lit(None).cast("string"))
+    asked = named.dropDuplicates(["__id"]).select("__id", "__known", doubles(features).alias("__x"), F.pmod("__id", F.lit(16)).alias("__slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("__shard"))
 
     def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("__key", kind="stable")
-        if not len(q) or not len(b):
-            return pd.DataFrame({"__id": np.zeros(0, dtype=np.int64), "__key": np.zeros(0, dtype=object), "__d": np.zeros(0), "__y": np.zeros(0, dtype=object)})
-        place, distance = nearest(np.stack(q["__x"].to_list()), np.stack(b["__b"].to_list()), k)
-        ids = np.repeat(q["__id"].to_numpy(), place.shape[1])
-        flat = place.ravel()
-        return pd.DataFrame({"__id": ids, "__key": b["__key"].to_numpy()[flat], "__d": distance.ravel(), "__y": [b["__y"].iloc[p] for p in flat]})
-
-    numbered = asked.withColumn("__id", F.xxhash64(F.to_json("__query")))
-    found = numbered.select("__shard", "__slice", "__id", "__x").groupBy("__shard", "__slice").cogroup(both.toDF(*both.columns).groupBy("__shard", "__slice")).applyInPandas(search, "__id long, __key string, __d double, __y array<double>")
-    near = found.withColumn("__rank", F.row_number().over(W.partitionBy("__id").orderBy("__d", "__key"))).where(F.col("__rank") <= k)
+        b = b.sort_values(list(keys), kind="stable").reset_index(drop=True)
+        out = []
+        of_label = b.groupby("__label", sort=False).indices
+        for name, part in q.groupby("__known", sort=False, dropna=False) if len(b) else ():
+            rows = np.arange(len(b)) if pd.isna(name) else of_label.get(name, [])
+            if not len(rows):
+                continue
+            place, distance = nearest(np.stack(part["__x"].to_list()), np.stack(b["__b"].iloc[rows].to_list()), k)
+            found = b[[*keys, "__y"]].iloc[np.asarray(rows)[place.ravel()]].reset_index(drop=True)
+            out.append(found.assign(__id=np.repeat(part["__id"].to_numpy(), place.shape[1]), __d=distance.ravel()))
+        return pd.concat(out)[["__id", *keys, "__d", "__y"]] if out else pd.DataFrame({c: np.zeros(0, dtype=object) for c in ("__id", *keys, "__d", "__y")})
+
+    found = asked.groupBy("__shard", "__slice").cogroup(both.groupBy("__shard", "__slice")).applyInPandas(search, f"__id long, {types}, __d double, __y array<double>")
+    near = found.withColumn("__rank", F.row_number().over(W.partitionBy("__id").orderBy("__d", *keys))).where(F.col("__rank") <= k)
     pick = (lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})")) if rule == "lower" else (lambda c: F.percentile(c, F.lit(0.5)))
     wide = near.select("__id", "__d", *(F.col("__y")[j].alias(f"__y{j}") for j in range(len(targets))))
     middles = wide.groupBy("__id").agg(*(pick(f"__y{j}").alias(f"predicted_{t}") for j, t in enumerate(targets)), F.avg("__d").alias("mean_distance"), F.count(F.lit(1)).alias("effective_k"))
     away = wide.join(middles, "__id").select("__id", *(F.abs(F.col(f"__y{j}") - F.col(f"predicted_{t}")).alias(f"__a{j}") for j, t in enumerate(targets)))
     mads = away.groupBy("__id").agg(*(pick(f"__a{j}").alias(f"mad_{t}") for j, t in enumerate(targets)))
-    return queries.withColumn("__id", F.xxhash64(F.to_json(F.struct(*queries.columns)))).join(middles.join(mads, "__id"), "__id").select(*queries.columns, *(f"predicted_{t}" for t in targets), *(f"mad_{t}" for t in targets), "mean_distance", "effective_k", F.lit(False).alias("used_fallback"))
+    fallback = F.col("__known").isNull() if label else F.lit(False)
+    return named.join(middles.join(mads, "__id"), "__id").select(*queries.columns, *(f"predicted_{t}" for t in targets), *(f"mad_{t}" for t in targets), "mean_distance", "effective_k", fallback.alias("used_fallback"))

@@ -407,3 +407,18 @@ def test_marker_roles(spark):
     assert got[("a_to_b", "b", "PD-1")] == ("H", 1) and got[("b_to_a", "a", "PD-1")] == ("H", 0)
     assert got[("a_to_b", "a", "X")] == ("source_only", 0) and got[("b_to_a", "a", "X")] == ("Y", 0) and got[("a_to_b", "a", "FSC-A")][0] == "technical"
     assert audit.duplicate_markers(frame.unionByName(spark.createDataFrame([("b", "PD1", 9)], frame.schema))).first().canonical_marker == "PD-1"
+
+
+@pytest.mark.parametrize("rule", ["lower", "mean"])
+def test_label_conditioned_neighbours_do_not_depend_on_the_size_of_the_bank(spark, monkeypatch, rule):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(rng.integers(0, 4)) if k % 19 else None, float(rng.integers(0, 9)), float(rng.normal())) for k in range(300)]
+    frame = spark.createDataFrame(rows, "k long, label int, x double, y double")
+    bank = frame.where("k % 3 > 0 AND (label is null or label <> 2)")
+    asked = frame.where("k % 3 = 0").unionByName(frame.where("k = 0"))  # labels 2 and null fall back; one row comes twice
+    got = []
+    for most in (100_000, 60):
+        monkeypatch.setattr(knn, "MOST", most)
+        out = knn.impute(asked, bank, ["x"], ["y"], ["k"], k=6, rule=rule, label="label").collect()
+        got.append(sorted((r.k, round(r.predicted_y, 9), round(r.mad_y, 9), round(r.mean_distance, 9), r.effective_k, r.used_fallback) for r in out))
+    assert got[0] == got[1] and len(got[0]) == 101 and {r[5] for r in got[0]} == {True, False}
