@@ -422,3 +422,18 @@ def test_label_conditioned_neighbours_do_not_depend_on_the_size_of_the_bank(spar
         out = knn.impute(asked, bank, ["x"], ["y"], ["k"], k=6, rule=rule, label="label").collect()
         got.append(sorted((r.k, round(r.predicted_y, 9), round(r.mad_y, 9), round(r.mean_distance, 9), r.effective_k, r.used_fallback) for r in out))
     assert got[0] == got[1] and len(got[0]) == 101 and {r[5] for r in got[0]} == {True, False}
+
+
+def test_runs_score_every_test_cell(spark):
+    """The bank alone is sampled: a cap of cells per specimen, which once cut the table first, changes nothing."""
+    from sparkpanel.plans import model_queries, runs
+    from sparkpanel.sources.cells import cells
+
+    rows = cells(spark, "/root/testdata/sf0.001")
+    got = []
+    for cap in (2, 10**6):
+        spec = runs.SameCell(["quantity", "discount"], ["extendedprice"], n_splits=2, cells_per_specimen=cap, bank=200, k=5)
+        got.append(sorted(map(repr, runs.same_cell(rows, spec).collect())))
+    assert got[0] == got[1]
+    folds = {r.fold for r in model_queries.shuffled_recovery_control(spark, "/root/testdata/sf0.001").select("fold").distinct().collect()}
+    assert len(folds) == model_queries.SPEC.n_splits
