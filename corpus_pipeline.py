@@ -65,7 +65,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, in sequences of at most 2048 tokens that follow the order of the mix."""
     import public_tokenizers
 
-    return op6_packing.pack(positions(docs), public_tokenizers.path("byte_bpe_50k.json"), position="__position")
+    return op6_packing.pack(positions(docs), public_tokenizers.path("byte_bpe_50k.json"), position="__position", added=True)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixing), ("packing", packing)]

@@ -29,11 +29,12 @@ CHUNK = 10_000  # slots that one row of the plan is spread to
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """The byte-level BPE of a tokenizers file, run by tiktoken, which makes the same ids in less time.
 
     A vocabulary file spells bytes as printable characters: printable Latin-1 stands for itself, the other bytes
-    are numbered from 256 on. Special tokens are ordinary text.
+    are numbered from 256 on. Special tokens are ordinary text, unless added: then their strings are their ids, as by
+    the tokenizers library's default.
     """
     import public_tokenizers
     import tiktoken
@@ -43,20 +44,20 @@ def encoder(path: str):
     spelled |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
     with open(path, encoding="utf-8") as f:
         described = json.load(f)
-    special = {x["content"] for x in described.get("added_tokens", []) if x.get("special")}
+    special = {x["content"]: x["id"] for x in described.get("added_tokens", []) if x.get("special")}
     ranks = {bytes(spelled[c] for c in token): k for token, k in described["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
 
 
-def _cut(path: str, capacity: int, end: int):
+def _cut(path: str, capacity: int, end: int, added: bool):
     names = ("doc_id", "piece", "start", "length", "ids_crc32", "position")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
+        encode, allowed = encoder(path, added).encode_to_numpy, "all" if added else set()
         for batch in batches:
             rows: list[tuple] = []
             for doc, text, position in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "position")), strict=True):
-                ids = np.append(encode(text or "", disallowed_special=()), end).astype("<u4")
+                ids = np.append(encode(text or "", allowed_special=allowed, disallowed_special=()), end).astype("<u4")
                 first = len(ids) if len(ids) <= capacity else len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), position) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
@@ -113,19 +114,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return slots
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, position: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, position: str | None = None, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     docs: doc_id, text. A document is its ids and the end id; only documents longer than capacity are cut, into
     pieces of that length of which the first may be shorter. position: a column that numbers the documents from 0 in
     the order in which they are to come; pieces of a length then take their slots, and sequences their numbers (by the
-    piece at offset 0, the longest), in that order.
+    piece at offset 0, the longest), in that order. added: strings of the file's special tokens are those tokens, as for
+    the query and the pipeline.
     """
     spark = docs.sparkSession
     session.prepare(spark)
     at = F.col(position) if position else F.lit(None)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), at.cast("long").alias("position"))
-    pieces = texts.mapInArrow(_cut(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, position long")
+    pieces = texts.mapInArrow(_cut(tokenizer, capacity, end, added), "doc_id long, piece int, start long, length long, ids_crc32 long, position long")
     pieces = session.written(pieces)
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     slot = spark.createDataFrame(plan(counts, capacity), "length long, rank long, n long, sequence_id long, offset long")
@@ -150,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(session.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(session.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 QUERIES = {"op6_best_fit_packing": op6_best_fit_packing}

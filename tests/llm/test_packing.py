@@ -69,3 +69,12 @@ def test_plan_over_counts_packs_as_document_by_document(seed):
     ranks = sorted((n, r + k) for n, r, m, _, _ in slots for k in range(m))
     assert ranks == sorted((n, k) for n, c in counts.items() for k in range(c))
     assert check(pieces, 50) == greedy(counts, 50)
+
+
+def test_query_has_the_librarys_ids_at_its_default(spark, tmp_path):
+    texts = ["<|endoftext|> text " * 3, "plain", "a<|endoftext|>", "<|endoftext|><|endoftext|>b <|endoftext|", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(PATH)
+    ids = {k: [*library.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in op6.op6_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for k, x in ids.items()} and 50256 in ids[0]
