@@ -1,18 +1,22 @@
-"""Numpy kernels over UTF-8 buffers: words, rolling hashes, winnowed anchor units, radix-style suffix order.
+"""Numpy kernels over UTF-8 buffers: words and their codes, rolling hashes, winnowed anchor units, digests.
 
-All hashes are polynomials modulo 2**64 over mixed 64-bit token codes. Prefix sums make the hash of any token
-range two look-ups: with S[i] = sum(code[j] * B**j, j < i), hash(i, j) = (S[j] - S[i]) * B**-i.
+Rolling hashes are polynomials modulo 2**64 over mixed 64-bit token codes. Prefix sums make the hash of any token
+range two look-ups: with S[i] = sum(code[j] * B**j, j < i), hash(i, j) = (S[j] - S[i]) * B**-i. Recursive texts of two
+symbols (Thue-Morse) share such hashes whatever the base, so they only choose anchors, where a shared hash costs time
+and changes nothing; what is equal is told by content or by a cryptographic digest of it.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F ^ 0x2)  # odd; each is 5 or 3 modulo 8, so powers repeat late
+BASE = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8, so that powers repeat late
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,23 +43,16 @@ class Powers:
         return self.up, self.down
 
 
-_POWERS = tuple(Powers(b | 1) for b in BASES)
-
-
-class Prefix:
-    """Hashes of ranges of a code sequence under one of the two bases."""
-
-    def __init__(self, codes: np.ndarray, which: int = 0):
-        up, self.down = _POWERS[which].upto(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, dtype=U)
-        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
+_POWERS = Powers(BASE)
 
-    def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.down[start]
 
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return (self.sums[k:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, dtype=U)
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A mixed rolling hash of each run of k codes."""
+    up, down = _POWERS.upto(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, dtype=U)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    n = len(sums) - k
+    return mix((sums[k:] - sums[:n]) * down[:n]) if n > 0 else np.zeros(0, dtype=U)
 
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0x9FB21C651E98DF25))
@@ -95,8 +92,52 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
+LONG = 64  # bytes; longer words are digested one by one
+
+
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(Prefix(BYTE_CODES[data]).ranges(starts, ends) ^ (ends - starts).astype(U))
+    """A 64-bit code for each word.
+
+    Eight bytes at a time go through a bijective mix, so words of one length up to eight bytes never share a code, and
+    longer ones do so with the odds of a random function (2**-64 a pair); words of more than LONG bytes get a digest.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(U) * U(0x9FB21C651E98DF25) + U(0x2545F4914F6CDD1D))
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    at = np.flatnonzero(sizes <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[sizes[at] > k]
+        if not len(at):
+            break
+        piece = eight[starts[at] + k] & MASKS[np.minimum(sizes[at] - k, 8)]
+        out[at] = mix((out[at] ^ piece) * U(0xD1342543DE82EF95) + U(k + 1))
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def digests(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 128-bit BLAKE2 digest of each range of bytes, as two 64-bit columns."""
+    view = memoryview(np.ascontiguousarray(buffer))
+    found = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, dtype="<u8").reshape(-1, 2).astype(U)
+
+
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each starts and ends there."""
+    to = np.cumsum(ends - starts + 1) - 1
+    begin = to - (ends - starts)
+    out = np.full(int(to[-1]) + 1 if len(to) else 0, 0x20, dtype=np.uint8)
+    from_ = np.repeat(starts - begin, ends - starts)
+    places = np.arange(len(out))
+    inside = np.ones(len(out), dtype=bool)
+    inside[to] = False
+    places = places[inside]
+    out[places] = data[places + from_]
+    return out, begin, to
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -127,13 +168,12 @@ def units(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dic
 
     A window of so many tokens selects the least hash among its grams. As the choice depends on the window's
     content only, equal windows anywhere have the same anchor. Per unit: row, first and last window (token index
-    in the row), anchor, and a 128-bit hash of its tokens, from the first window's start to the last one's end.
-    Runs are cut at 2 * (window - gram + 1) windows, which only text of a short period reaches. echo: the anchor
-    stands more than once near here, so that the unit may repeat within itself.
+    in the row), anchor, and the tokens of the block from begin to stop, which its windows cover. Runs are cut at
+    2 * (window - gram + 1) windows, which only text of a short period reaches. echo: the anchor stands more than
+    once near here, so that the unit may repeat within itself.
     """
     width = window - gram + 1
-    first, second = Prefix(codes), Prefix(codes, 1)
-    grams = mix(first.grams(gram))
+    grams = gram_hashes(codes, gram)
     least = sliding_min(grams, width) if len(codes) >= window else np.zeros(0, dtype=U)
     echoes = _echoes(grams, least, width)
     row = row_of(offsets, len(codes))[: len(least)]
@@ -146,9 +186,8 @@ def units(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dic
     heads = np.flatnonzero(run % (2 * width) == 0)
     tails = np.r_[heads[1:], len(at)] - 1 if len(heads) else heads
     begin, stop = at[heads], at[tails] + window
-    length = (stop - begin).astype(U)
     base = offsets[:-1][row[heads]]
-    return {"row": row[heads], "first": begin - base, "last": at[tails] - base, "anchor": least[heads], "echo": np.isin(least[heads], echoes), "u1": mix(first.ranges(begin, stop) ^ length), "u2": mix(second.ranges(begin, stop) + length)}
+    return {"row": row[heads], "first": begin - base, "last": at[tails] - base, "anchor": least[heads], "echo": np.isin(least[heads], echoes), "begin": begin, "stop": stop}
 
 
 def signed(x: np.ndarray) -> np.ndarray:

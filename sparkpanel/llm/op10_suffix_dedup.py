@@ -39,13 +39,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary()), pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))], names=list(out))
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 10_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: bytes that stay) and spans ([from, to) in bytes, maximal)."""
     session.prepare(docs.sparkSession)
     docs = session.id_and_text(docs)
-    packed = repeats.packed_texts(docs)
-    spans = repeats.repeated_spans(docs, packed, repeats.Rule("bytes", window, gram, earlier=False, crowd=crowd))
-    return packed.join(spans, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<int>>")
+    return repeats.cut(docs, repeats.Rule("bytes", window, gram, earlier=False, crowd=crowd)).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<int>>")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("doc_id", "n_words", "n_removed")), pa.array(out["kept"], pa.string()), pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))], names=list(out))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 10_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words that stay, joined by one space) and spans ([from, to) in words, maximal).
 
     docs: doc_id, text. A word goes if a window of so many words that covers it also starts in a document of
@@ -43,9 +43,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     """
     session.prepare(docs.sparkSession)
     docs = session.id_and_text(docs)
-    packed = repeats.packed_texts(docs)
-    spans = repeats.repeated_spans(docs, packed, repeats.Rule("words", window, gram, earlier=True, crowd=crowd))
-    return packed.join(spans, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, spans array<array<int>>")
+    return repeats.cut(docs, repeats.Rule("words", window, gram, earlier=True, crowd=crowd)).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, spans array<array<int>>")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

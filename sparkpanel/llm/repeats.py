@@ -1,15 +1,19 @@
 """Exact repeats of a fixed length, over words or bytes, without a row per position.
 
 Every window of the fixed length selects an anchor from its own content (arrays.units), so equal windows have equal
-anchors and lie in runs ("units") of which equal ones collapse to a count and an owner before anything is compared.
-What is left are unlike units of one anchor: their contexts are ordered to both sides of the anchor
-(suffixes.deep_shallow), and a window is repeated where a class of equal right context meets a class of equal left
-context. The number of rows is a few hundredths of the number of tokens; no pairs are made within a group.
+anchors and lie in runs ("units"). Units of equal content, told by 128-bit BLAKE2 digests, collapse to a count and an
+owner before anything is compared. What is left are unlike units of one anchor: their contexts are ordered to both
+sides of the anchor (suffixes.deep_shallow), and a window is repeated where a class of equal right context meets a
+class of equal left context.
+
+The units that meet in one task share a seed. A seed is an anchor; where more than `crowd` unlike units share one, each
+is dealt on longer seeds, which reach further to both sides and hold for a few places of the window each. A seed that
+occurs once drops out without its content being moved, and one that is still shared by more than `crowd` is extended to
+whole windows, which tasks sum up before they meet. So no group grows with the input, and no pairs are made in one.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +28,9 @@ from . import session
 from .suffixes import deep_shallow
 
 U = np.uint64
+CROWD = 512
+STRETCHES = 12  # longer seeds of a unit
+BLOCK = 1 << 18  # bytes of text that are looked at together
 
 
 @dataclass(frozen=True)
@@ -31,26 +38,43 @@ class Rule:
     """What repeats: tokens, window length, and gram length of the anchors.
 
     tokens: "words" or "bytes". earlier: a window counts only if a document of smaller id has it, else if it
-    starts anywhere else. crowd: anchors with more unlike units than this are decided window by window from
-    pre-aggregated hashes, so that no group of unbounded size meets in one task.
+    starts anywhere else. crowd: so many units of one seed meet in a task at most.
     """
 
     tokens: str
     window: int
     gram: int
     earlier: bool
-    crowd: int = 10_000
+    crowd: int = CROWD
+
+    @property
+    def reach(self) -> int:
+        """Places that an anchor can have in a window."""
+        return self.window - self.gram + 1
+
+    @property
+    def stretch(self) -> int:
+        """Places for which a longer seed holds."""
+        return -(-self.reach // STRETCHES)
 
     @property
     def size(self) -> int:
         return 8 if self.tokens == "words" else 1
 
-    def codes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token codes of a block and the offsets of its rows in tokens."""
+    def codes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Token codes of a block, the offsets of its rows in tokens, and a buffer with the bytes of each token run."""
         if self.tokens == "bytes":
-            return A.BYTE_CODES[data], offsets
+            places = np.arange(len(data) + 1)
+            return A.BYTE_CODES[data], offsets, (data, places[:-1], places[1:])
         starts, ends, rows = A.words(data, offsets)
-        return A.word_codes(data, starts, ends), rows
+        return A.word_codes(data, starts, ends), rows, (data, starts, ends)
+
+    def identity(self, spelled: tuple, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """128-bit digests of runs of tokens: their bytes, words with one space between."""
+        data, starts, ends = spelled
+        if self.tokens == "words":
+            data, starts, ends = A.single_spaced(data, starts, ends)
+        return A.digests(data, starts[begin], ends[stop - 1])
 
     def raw(self, data: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """A block's tokens as fixed-size byte strings, laid end to end."""
@@ -60,16 +84,22 @@ class Rule:
         return A.BYTE_CODES[raw] if self.tokens == "bytes" else raw.view(">u8").astype(U)
 
 
-def _unit_rows(rule: Rule):
+def _unit_rows(rule: Rule, identify: bool):
+    """Units of each text; only identify makes their digests."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = A.utf8(batch.column("text"))
-            for a, b in A.blocks(offsets):
+            for a, b in A.blocks(offsets, BLOCK):
                 part = data[offsets[a] : offsets[b]]
-                u = A.units(*rule.codes(part, offsets[a : b + 1] - offsets[a]), rule.window, rule.gram)
-                columns = {"doc_id": ids[a:b][u["row"]].astype(np.int64), "first": u["first"].astype(np.int32), "last": u["last"].astype(np.int32), "echo": u["echo"]}
-                columns |= {k: A.signed(u[k]) for k in ("anchor", "u1", "u2")}
+                codes, rows, spelled = rule.codes(part, offsets[a : b + 1] - offsets[a])
+                u = A.units(codes, rows, rule.window, rule.gram)
+                columns = {"anchor": A.signed(u["anchor"]), "echo": u["echo"]}
+                if identify:
+                    same = rule.identity(spelled, u["begin"], u["stop"])
+                    columns |= {"doc_id": ids[a:b][u["row"]].astype(np.int64), "first": u["first"].astype(np.int32), "last": u["last"].astype(np.int32)}
+                    columns |= {f"u{k + 1}": A.signed(np.ascontiguousarray(same[:, k])) for k in (0, 1)}
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -81,7 +111,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = A.utf8(batch.column("text"))
         whole = data.tobytes()
         packed = [squeeze(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("named"), pa.array(packed, pa.binary())], names=["doc_id", "named", "packed"])
 
 
 def _opened(column: pa.Array) -> list[bytes]:
@@ -102,7 +132,7 @@ def _contents(rule: Rule):
             texts = _opened(batch.column("packed"))
             for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts, strict=True)):
                 data, offsets = _joined([text])
-                codes, rows = rule.codes(data, offsets)
+                codes, rows, _ = rule.codes(data, offsets)
                 raw = rule.raw(data, codes)
                 mine = [x for x in listed[k] if x["last"] + rule.window <= rows[-1]]
                 if not mine:
@@ -115,32 +145,48 @@ def _contents(rule: Rule):
     return run
 
 
-def repeated_windows(rule: Rule, anchor: np.ndarray, weight: np.ndarray, content: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each unit the runs (first, last) of its windows that repeat among the units of its anchor.
+@dataclass(frozen=True)
+class Places:
+    """The places of anchors in units, and the windows that select them: those that start low to high tokens before."""
+
+    raw: np.ndarray
+    at: np.ndarray  # where each unit starts, in tokens
+    unit: np.ndarray
+    position: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
-    weight: number of occurrences, or the owner's id where the rule looks for an earlier document.
-    """
-    reach = rule.window - rule.gram + 1
-    unit, position, low, high = [], [], [], []  # one item for each place of the anchor's gram in a unit
-    lengths = np.array([len(c) // rule.size for c in content])
-    at = np.r_[0, np.cumsum(lengths)]
+
+def anchor_places(rule: Rule, anchor: np.ndarray, content: list[bytes]) -> Places:
+    lengths = np.array([len(c) // rule.size for c in content], dtype=np.int64)
+    at = np.r_[0, np.cumsum(lengths)].astype(np.int64)
     raw = np.frombuffer(b"".join(content), dtype=np.uint8)
-    codes = rule.codes_of(raw)
-    grams = A.mix(A.Prefix(codes).grams(rule.gram))
+    grams = A.gram_hashes(rule.codes_of(raw), rule.gram)
     owner = np.repeat(np.arange(len(content)), lengths)[: len(grams)]
     hits = np.flatnonzero((grams == anchor.view(U)[owner]) & (np.arange(len(grams)) + rule.gram <= at[1:][owner]))
     unit = owner[hits]
     position = hits - at[unit]
     before = np.r_[-1, np.where(unit[1:] == unit[:-1], position[:-1], -1)] if len(hits) else position
     last = lengths[unit] - rule.window  # the unit's last window
-    low = np.maximum(position - last, 0)  # a window at distance d before the anchor's first place in it
-    high = np.minimum(np.minimum(position - before - 1, position), reach - 1)
+    low = np.maximum(position - last, 0)  # a window selects the first place that its anchor has in it
+    high = np.minimum(np.minimum(position - before - 1, position), rule.reach - 1)
     some = low <= high
-    unit, position, low, high = unit[some], position[some], low[some], high[some]
+    return Places(raw, at, unit[some], position[some], low[some], high[some])
+
+
+def repeated_windows(rule: Rule, seed: np.ndarray, anchor: np.ndarray, weight: np.ndarray, content: list[bytes]) -> list[list[tuple[int, int]]]:
+    """For each unit the runs (first, last) of its windows that repeat among the units of its seed.
+
+    weight: number of occurrences, or the owner's id where the rule looks for an earlier document.
+    """
+    reach = rule.reach
+    found_at = anchor_places(rule, anchor, content)
+    raw, at, unit, position, low, high = (getattr(found_at, f) for f in ("raw", "at", "unit", "position", "low", "high"))
+    lengths = np.diff(at)
     out: list[list[tuple[int, int]]] = [[] for _ in content]
     if not len(unit):
         return out
-    bucket = np.unique(anchor[unit], return_inverse=True)[1]
+    bucket = np.unique(seed[unit], return_inverse=True)[1]
     size, base, end = rule.size, (at[unit] + position).astype(np.int32), at[unit] + lengths[unit]
     tokens = raw.reshape(-1, size) if size > 1 else raw[:, None]
     step = np.arange(rule.window, dtype=np.int32)
@@ -174,19 +220,19 @@ def repeated_windows(rule: Rule, anchor: np.ndarray, weight: np.ndarray, content
 
 
 def _decide(rule: Rule, most: int = 2 << 20):
-    """Runs repeated_windows over whole anchors; input is sorted by anchor within a partition."""
+    """Runs repeated_windows over whole seeds; input is sorted by seed within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         size = 0
 
         def solve(rows: pa.Table) -> pa.RecordBatch:
-            anchor = rows.column("anchor").to_numpy().astype(np.int64)
-            weight = rows.column("doc_id" if rule.earlier else "n").to_numpy()
-            runs = repeated_windows(rule, anchor, weight, rows.column("content").to_pylist())
+            seed, anchor = (rows.column(c).to_numpy().astype(np.int64) for c in ("seed", "anchor"))
+            weight, base = rows.column("doc_id" if rule.earlier else "n").to_numpy(), rows.column("base").to_numpy()
+            runs = repeated_windows(rule, seed, anchor, weight, rows.column("content").to_pylist())
             which = [k for k, r in enumerate(runs) if r]
             pick = lambda c: pa.array(rows.column(c).to_numpy()[which].astype(np.int64))
-            sides = [pa.array([[x[s] for x in runs[k]] for k in which], pa.list_(pa.int32())) for s in (0, 1)]
+            sides = [pa.array([[x[s] + int(base[k]) for x in runs[k]] for k in which], pa.list_(pa.int32())) for s in (0, 1)]
             return pa.RecordBatch.from_arrays([pick("u1"), pick("u2"), *sides], names=["u1", "u2", "lo", "hi"])
 
         for batch in batches:
@@ -194,8 +240,8 @@ def _decide(rule: Rule, most: int = 2 << 20):
             size += batch.nbytes
             if size > most:
                 rows = pa.Table.from_batches(kept)
-                anchor = rows.column("anchor").to_numpy()
-                whole = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+                seed = rows.column("seed").to_numpy()
+                whole = int(np.searchsorted(seed, seed[-1]))  # the last seed may go on
                 if whole:
                     yield solve(rows.slice(0, whole))
                 kept = rows.slice(whole).combine_chunks().to_batches()
@@ -206,27 +252,106 @@ def _decide(rule: Rule, most: int = 2 << 20):
     return run
 
 
-def _window_rows(rule: Rule):
-    """One row for each window of the units of a crowded anchor."""
+def _runs(dealt: DataFrame, rule: Rule) -> DataFrame:
+    """dealt: seed, anchor, u1, u2, n, doc_id, base, content. u1, u2, lo, hi of units with repeated windows."""
+    return dealt.repartition("seed").sortWithinPartitions("seed").mapInArrow(_decide(rule), "u1 long, u2 long, lo array<int>, hi array<int>")
+
+
+def _longer_seeds(rule: Rule):
+    """u1, u2, position, part, seed: for each place of an anchor, and each part of the windows that select it, the tokens
+    that all of the part's windows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content = batch.column("content").to_pylist()
-            data, offsets = _joined(content)
-            codes, rows = rule.codes_of(data), offsets // rule.size
-            row = A.row_of(rows, len(codes))
-            at = np.flatnonzero(np.arange(len(codes)) + rule.window <= rows[1:][row]) if len(codes) else np.zeros(0, dtype=np.int64)
-            out = {"x": (at - rows[:-1][row[at]]).astype(np.int32)}
-            out |= {f"w{i + 1}": A.signed(A.mix(A.Prefix(codes, i).ranges(at, at + rule.window))) for i in (0, 1)}
-            out |= {c: batch.column(c).to_numpy()[row[at]] for c in ("u1", "u2", "n", "doc_id")}
+            p = anchor_places(rule, batch.column("anchor").to_numpy(), content)
+            first, last = p.low // rule.stretch, p.high // rule.stretch
+            of = np.repeat(np.arange(len(p.unit)), last - first + 1)
+            part = np.arange(len(of)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[of]
+            least, most = part * rule.stretch, np.minimum((part + 1) * rule.stretch, rule.reach) - 1
+            here = p.at[p.unit[of]] + p.position[of]
+            digest = A.digests(p.raw, (here - least) * rule.size, (here + rule.window - most) * rule.size)[:, 0] if len(of) else np.zeros(0, dtype=U)
+            out = {c: batch.column(c).to_numpy()[p.unit[of]] for c in ("u1", "u2")}
+            out |= {"position": p.position[of].astype(np.int32), "part": part.astype(np.int32), "seed": A.signed(digest ^ part.astype(U))}
             yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
+def _windows_of(rule: Rule, batch: pa.RecordBatch):
+    """Of each listed part (its unit's row, seed and number of units) the first and last window, as places in the unit."""
+    anchor, content = batch.column("anchor").to_numpy(), batch.column("content").to_pylist()
+    p = anchor_places(rule, anchor, content)
+    reaches = {(u, x): (lo, hi) for u, x, lo, hi in zip(p.unit.tolist(), p.position.tolist(), p.low.tolist(), p.high.tolist(), strict=True)}
+    for k, parts in enumerate(batch.column("parts").to_pylist()):
+        for x in parts:
+            low, high = reaches[k, x["position"]]
+            low, high = max(low, x["part"] * rule.stretch), min(high, (x["part"] + 1) * rule.stretch - 1)
+            yield k, x["seed"], content[k], x["position"] - high, x["position"] - low
+
+
+def _trimmed(rule: Rule):
+    """A row for each listed part: its seed, and the unit's content cut to the part's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, seed, a, text[a * rule.size : (b + rule.window) * rule.size]) for k, seed, text, a, b in _windows_of(rule, batch)]
+            of = np.array([r[0] for r in rows], dtype=np.int64)
+            same = [pa.array(batch.column(c).to_numpy()[of]) for c in ("anchor", "u1", "u2", "n", "doc_id")]
+            columns = [pa.array([r[1] for r in rows], pa.int64()), *same, pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "anchor", "u1", "u2", "n", "doc_id", "base", "content"])
+
+    return run
+
+
+def _window_rows(rule: Rule):
+    """A row for each window of the listed parts, with the digest of its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, text[x * rule.size : (x + rule.window) * rule.size], x) for k, _, text, a, b in _windows_of(rule, batch) for x in range(a, b + 1)]
+            of = np.array([f[0] for f in found], dtype=np.int64)
+            ends = np.cumsum([len(f[1]) for f in found], dtype=np.int64) if found else of
+            digest = A.digests(np.frombuffer(b"".join([f[1] for f in found]), dtype=np.uint8), ends - rule.window * rule.size, ends) if found else np.zeros((0, 2), dtype=U)
+            out = {"x": np.array([f[2] for f in found], dtype=np.int32)} | {f"w{k + 1}": A.signed(np.ascontiguousarray(digest[:, k])) for k in (0, 1)}
+            out |= {c: batch.column(c).to_numpy()[of] for c in ("u1", "u2", "n", "doc_id")}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+LAID = "seed long, anchor long, u1 long, u2 long, n long, doc_id long, base int, content binary"
+
+
+def _crowded_runs(contents: DataFrame, rule: Rule) -> DataFrame:
+    """_runs for units of crowded anchors: dealt on longer seeds, and of crowded ones of these window by window."""
+    contents = session.written(contents.select("anchor", "u1", "u2", "n", "doc_id", "content"))
+    seeds = session.written(contents.mapInArrow(_longer_seeds(rule), "u1 long, u2 long, position int, part int, seed long"))
+    shared = session.written(seeds.groupBy(F.col("seed").alias("shared")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    parts = seeds.join(shared, F.col("seed") == F.col("shared")).select("u1", "u2", (F.col("m") > rule.crowd).alias("crowded"), F.struct("position", "part", "seed").alias("x"))
+    listed = parts.groupBy(F.col("u1").alias("p1"), F.col("u2").alias("p2"), "crowded").agg(F.collect_list("x").alias("parts"))
+    alive = session.written(contents.join(listed, (F.col("u1") == F.col("p1")) & (F.col("u2") == F.col("p2"))).drop("p1", "p2"))
+    runs = _runs(alive.where("not crowded").mapInArrow(_trimmed(rule), LAID), rule)
+    rows = session.written(alive.where("crowded").mapInArrow(_window_rows(rule), "x int, w1 long, w2 long, u1 long, u2 long, n long, doc_id long"))
+    total = F.min("doc_id") if rule.earlier else F.sum("n")
+    again = session.written(rows.groupBy("w1", "w2").agg(total.alias("total"), F.max("doc_id").alias("most")).where("most > total" if rule.earlier else "total > 1"))
+    hit = rows.join(again.drop("most"), ["w1", "w2"])
+    hit = (hit.where("total < doc_id") if rule.earlier else hit).groupBy("u1", "u2").agg(F.sort_array(F.collect_set("x")).alias("lo"))
+    return runs.unionByName(hit.select("u1", "u2", "lo", F.col("lo").alias("hi")))
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text: what joins have to move. Rows without an id are left out."""
-    return docs.where("doc_id is not null").mapInArrow(_pack, _not_null("doc_id long, packed binary", "doc_id"))
+    """doc_id, named and the compressed text: what joins have to move. docs: as witnesses() makes them."""
+    return docs.mapInArrow(_pack, _not_null("doc_id long, named boolean, packed binary", "doc_id", "named"))
+
+
+def witnesses(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, text, named. Rows without an id are no one's smaller document; where any place counts they are there
+    under a number of their own text's, not named."""
+    if rule.earlier:
+        return docs.where("doc_id is not null").select("doc_id", "text", F.lit(True).alias("named"))
+    own = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(-(1 << 63)))
+    return docs.select(F.coalesce("doc_id", own).alias("doc_id"), "text", F.col("doc_id").isNotNull().alias("named"))
 
 
 def _not_null(ddl: str, *names: str):
@@ -236,24 +361,18 @@ def _not_null(ddl: str, *names: str):
     return T.StructType([T.StructField(f.name, f.dataType, f.name not in names) for f in schema])
 
 
-def _crowded_runs(contents: DataFrame, rule: Rule) -> DataFrame:
-    """What _decide finds, window by window: equal windows meet as counts that each task has summed before."""
-    rows = contents.mapInArrow(_window_rows(rule), "x int, w1 long, w2 long, u1 long, u2 long, n long, doc_id long")
-    total = F.min("doc_id") if rule.earlier else F.sum("n")
-    again = rows.groupBy("w1", "w2").agg(total.alias("total"))
-    hit = rows.join(again, ["w1", "w2"]).where("total < doc_id" if rule.earlier else "total > 1")
-    return hit.groupBy("u1", "u2").agg(F.sort_array(F.collect_set("x")).alias("lo")).select("u1", "u2", "lo", F.col("lo").alias("hi"))
-
-
 def repeated_spans(docs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
     """Token spans [a, b) that windows repeated under the rule cover, one list per document that has any.
 
-    docs: doc_id, text; packed: packed_texts of the same. Returns doc_id, a array<int>, b array<int>; spans of a
-    document may overlap and come in no order.
+    docs: witnesses(); packed: packed_texts of the same. Returns span_id (of the document), a array<int>, b array<int>;
+    spans of a document may overlap and come in no order.
     """
-    every = docs.where("doc_id is not null").mapInArrow(_unit_rows(rule), _not_null("doc_id long, first int, last int, echo boolean, anchor long, u1 long, u2 long", "doc_id", "u1", "u2", "anchor"))
-    met = every.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("n"), F.max("echo").alias("echoes")).where("n > 1" if rule.earlier else "n > 1 or echoes")
-    occ = session.written(every.join(met.select("met"), F.col("anchor") == F.col("met"), "leftsemi"))
+    texts = docs.select("doc_id", "text")
+    anchors = texts.mapInArrow(_unit_rows(rule, False), _not_null("anchor long, echo boolean", "anchor"))
+    met = anchors.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("n"), F.max("echo").alias("echoes")).where("n > 1" if rule.earlier else "n > 1 or echoes")
+    met = session.written(met.select("met"))
+    every = texts.mapInArrow(_unit_rows(rule, True), _not_null("anchor long, echo boolean, doc_id long, first int, last int, u1 long, u2 long", "doc_id", "u1", "u2", "anchor"))
+    occ = session.written(every.join(met, F.col("anchor") == F.col("met"), "leftsemi"))
     distinct = session.written(occ.groupBy("u1", "u2").agg(F.min("anchor").alias("anchor"), F.max("echo").alias("echo"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("owner")))
     counts = F.count(F.lit(1)).alias("kinds")
     shared = distinct.groupBy(F.col("anchor").alias("shared")).agg(counts, F.min("n").alias("least"), F.max("echo").alias("echoes"))
@@ -261,25 +380,32 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
     shared = session.written(shared)
     unlike = distinct.join(shared, F.col("anchor") == F.col("shared"))
     item = F.struct("anchor", "u1", "u2", "n", "kinds", F.col("owner.first").alias("first"), F.col("owner.last").alias("last"))
-    owners = unlike.groupBy(F.col("owner.doc_id").alias("doc_id")).agg(F.collect_list(item).alias("units"))
-    contents = owners.join(packed, "doc_id").mapInArrow(_contents(rule), "anchor long, u1 long, u2 long, n long, kinds long, doc_id long, content binary")
-    crowds = not shared.where(F.col("kinds") > rule.crowd).isEmpty()
-    if crowds:
-        contents = session.written(contents)
-    calm = contents.where(F.col("kinds") <= rule.crowd) if crowds else contents
-    runs = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_decide(rule), "u1 long, u2 long, lo array<int>, hi array<int>")
-    if crowds:
+    owners = unlike.groupBy(F.col("owner.doc_id").alias("owner_id")).agg(F.collect_list(item).alias("units"))
+    contents = packed.join(owners, F.col("doc_id") == F.col("owner_id")).select("doc_id", "packed", "units")
+    contents = session.written(contents.mapInArrow(_contents(rule), "anchor long, u1 long, u2 long, n long, kinds long, doc_id long, content binary"))
+    calm = contents.where(F.col("kinds") <= rule.crowd).select(F.col("anchor").alias("seed"), "anchor", "u1", "u2", "n", "doc_id", F.lit(0).alias("base"), "content")
+    runs = _runs(calm, rule)
+    if not shared.where(F.col("kinds") > rule.crowd).isEmpty():
         runs = runs.unionByName(_crowded_runs(contents.where(F.col("kinds") > rule.crowd), rule))
-    runs = session.written(runs).withColumnsRenamed({"u1": "r1", "u2": "r2"})
+    runs = session.written(runs)
+    runs = runs.groupBy(F.col("u1").alias("r1"), F.col("u2").alias("r2")).agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
     marked = distinct.join(runs, (F.col("u1") == F.col("r1")) & (F.col("u2") == F.col("r2")), "left").where("n > 1 or lo is not null")
-    marked = marked.select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), F.col("owner.doc_id").alias("owner_id"), "n", "lo", "hi")
+    marked = session.written(marked.select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), F.col("owner.doc_id").alias("owner_id"), "n", "lo", "hi"))
     hit = occ.join(marked, (F.col("u1") == F.col("m1")) & (F.col("u2") == F.col("m2")))
     whole = F.col("doc_id") > F.col("owner_id") if rule.earlier else F.col("n") > 1
     first = F.col("first")
     full = F.array(first), F.array(F.col("last") + F.lit(rule.window))
     part = F.transform("lo", lambda x: x + first), F.transform("hi", lambda x: x + first + F.lit(rule.window))
-    spans = hit.where(whole | F.col("lo").isNotNull()).select("doc_id", F.when(whole, full[0]).otherwise(part[0]).alias("a"), F.when(whole, full[1]).otherwise(part[1]).alias("b"))
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
+    spans = hit.where(whole | F.col("lo").isNotNull()).select(F.col("doc_id").alias("span_id"), F.when(whole, full[0]).otherwise(part[0]).alias("a"), F.when(whole, full[1]).otherwise(part[1]).alias("b"))
+    return spans.groupBy("span_id").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
+
+
+def cut(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, packed, a, b of every row with an id: the compressed text, and the spans that go from it (null: none)."""
+    seen = witnesses(docs, rule)
+    packed = packed_texts(seen)
+    spans = repeated_spans(seen, packed, rule)
+    return packed.where("named").join(spans, F.col("doc_id") == F.col("span_id"), "left").select("doc_id", "packed", "a", "b")
 
 
 def covered(n: int, a, b) -> np.ndarray:
@@ -294,7 +420,3 @@ def covered(n: int, a, b) -> np.ndarray:
 def each_text(batch: pa.RecordBatch):
     """doc_id, text as bytes and covering spans of each row of packed texts joined with spans."""
     yield from zip(batch.column("doc_id").to_pylist(), _opened(batch.column("packed")), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()

@@ -104,3 +104,47 @@ def test_deep_shallow_order_and_common_prefixes():
                 assert shared[k] == -1
             else:
                 assert shared[k] == suffixes.common(rows[k - 1][1], rows[k][1])
+
+
+def thue_morse(n, first, second):
+    return "".join((first, second)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_units_that_share_rolling_hashes(table):
+    """Recursive texts of two symbols, which polynomial hashes modulo 2**64 do not tell apart."""
+    one, other = thue_morse(512, "J", "R"), thue_morse(512, "R", "J")
+    rows = [(k, "mynbiqpmz jplsg" + t + "qejeydtzirwztej") for k, t in enumerate((one, other))]
+    got = op10.suffix_dedup(table([(*r, "en", "s", 0) for r in rows]))
+    assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got.collect()) == brute_bytes(rows, op10.WINDOW)
+    words_before = " ".join(f"w{k}" for k in range(49))
+    rows = [(0, f"{words_before} {thue_morse(1024, 'a', 'b')}"), (1, f"{words_before} {thue_morse(1024, 'b', 'a')}")]
+    got = op3.substring_dedup(table([(*r, "en", "s", 0) for r in rows]))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == brute_words(rows, op3.WINDOW)
+
+
+@pytest.mark.parametrize("crowd", [2, 40, 100_000])
+def test_a_seed_of_many_unlike_units(table, crowd):
+    """One phrase, shorter than a window, in many documents; some share more around it, some all of a window."""
+    rng = random.Random(5)
+    phrase = "all rights reserved by the owners of this very page, as ever"
+    sides = ["".join(rng.choice("abcdefgh ") for _ in range(160)) for _ in range(12)]
+    texts = []
+    for k in range(300):
+        own = "".join(rng.choice("ijklmnop ") for _ in range(120))
+        left, right = (rng.choice(sides)[-rng.choice([0, 30, 90, 139, 140, 160]) :], rng.choice(sides)[: rng.choice([0, 30, 90, 139, 140, 160])]) if k % 3 else ("", "")
+        texts.append(own + left + phrase + right + own[::-1])
+    rows = list(enumerate(texts))
+    data = [(*r, "en", "s", 0) for r in rows]
+    got = op10.suffix_dedup(table(data), crowd=crowd)
+    want = brute_bytes(rows, op10.WINDOW)
+    assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got.collect()) == want and 0 < sum(r[2] for r in want) < sum(r[1] for r in want)
+    got = op3.substring_dedup(table(data), window=7, gram=3, crowd=crowd)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == brute_words(rows, 7)
+
+
+def test_texts_without_an_id_are_witnesses_of_bytes(table):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = [(1, "x" + passage + "y"), (None, "z" + passage), (2, "none of it"), (None, None)]
+    got = {r[0]: r[2] for r in op10.suffix_dedup(table([(*r, "en", "s", 0) for r in rows])).collect()}
+    assert got == {1: 260, 2: 0}
