@@ -52,4 +52,33 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_suffix_dedup": """
+WITH spelled AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, len(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(substr(h, 2 * i + 1, 400)) AS content
+  FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM spelled WHERE n >= 200)
+), again AS (
+  SELECT content FROM windows GROUP BY content HAVING count(*) > 1
+), hit AS (
+  SELECT doc_id, i, i - 200 > lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NOT FALSE AS opens
+  FROM windows SEMI JOIN again USING (content)
+), numbered AS (
+  SELECT doc_id, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT s.doc_id, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS a, r.a AS b FROM spelled s JOIN runs r ON s.doc_id = r.doc_id
+  UNION ALL
+  SELECT s.doc_id, coalesce(max(r.b), 0), any_value(s.n) FROM spelled s LEFT JOIN runs r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+), kept AS (
+  SELECT p.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM pieces p JOIN spelled s ON p.doc_id = s.doc_id GROUP BY p.doc_id
+), spans AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM runs GROUP BY doc_id
+)
+SELECT s.doc_id, s.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM spelled s LEFT JOIN spans p ON s.doc_id = p.doc_id LEFT JOIN kept k ON s.doc_id = k.doc_id
+WHERE s.doc_id IS NOT NULL
+"""
+}

@@ -52,4 +52,29 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_substring_dedup": """
+WITH spelled AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM spelled
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS content
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM spelled WHERE len(w) >= 50)
+), first AS (
+  SELECT content, min(doc_id) AS owner FROM windows GROUP BY content
+), hit AS (
+  SELECT w.doc_id, w.i FROM windows w JOIN first f ON w.content = f.content WHERE f.owner < w.doc_id
+), marked AS (
+  SELECT p.doc_id, p.i, p.word,
+    coalesce(p.i - max(h.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) < 50, false) AS gone
+  FROM placed p LEFT JOIN hit h ON p.doc_id = h.doc_id AND p.i = h.i
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT s.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM spelled s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
+}
