@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import repeats, session
 
 WINDOW = 200
+CROWD = 384  # units that share a seed and meet in one task
 GRAM = 24
 
 
@@ -39,7 +40,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary()), pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))], names=list(out))
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: bytes that stay) and spans ([from, to) in bytes, maximal)."""
     session.prepare(docs.sparkSession)
     docs = session.id_and_text(docs)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import repeats, session
 
 WINDOW = 50
+CROWD = 128  # units that share a seed and meet in one task
 GRAM = 12
 
 
@@ -35,7 +36,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("doc_id", "n_words", "n_removed")), pa.array(out["kept"], pa.string()), pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))], names=list(out))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words that stay, joined by one space) and spans ([from, to) in words, maximal).
 
     docs: doc_id, text. A word goes if a window of so many words that covers it also starts in a document of

@@ -28,7 +28,6 @@ from . import session
 from .suffixes import deep_shallow
 
 U = np.uint64
-CROWD = 128
 STRETCHES = 12  # longer seeds of a unit
 BLOCK = 1 << 18  # bytes of text that are looked at together
 
@@ -45,7 +44,7 @@ class Rule:
     window: int
     gram: int
     earlier: bool
-    crowd: int = CROWD
+    crowd: int
 
     @property
     def reach(self) -> int:
@@ -323,21 +322,24 @@ def _window_rows(rule: Rule):
 LAID = "seed long, anchor long, u1 long, u2 long, n long, doc_id long, base int, content binary"
 
 
-def _crowded_runs(contents: DataFrame, rule: Rule) -> DataFrame:
-    """_runs for units of crowded anchors: dealt on longer seeds, and of crowded ones of these window by window."""
+def _longer(contents: DataFrame, rule: Rule) -> DataFrame:
+    """Units of crowded anchors with their parts, by the longer seed, that other places share: some of them crowded still."""
     contents = contents.select("anchor", "u1", "u2", "n", "doc_id", "content")
     seeds = contents.mapInArrow(_longer_seeds(rule), "u1 long, u2 long, position int, part int, seed long")
     shared = session.written(seeds.groupBy(F.col("seed").alias("shared")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     parts = seeds.join(shared, F.col("seed") == F.col("shared")).select("u1", "u2", (F.col("m") > rule.crowd).alias("crowded"), F.struct("position", "part", "seed").alias("x"))
     listed = parts.groupBy(F.col("u1").alias("p1"), F.col("u2").alias("p2"), "crowded").agg(F.collect_list("x").alias("parts"))
-    alive = session.written(contents.join(listed, (F.col("u1") == F.col("p1")) & (F.col("u2") == F.col("p2"))).drop("p1", "p2"))
-    runs = _runs(alive.where("not crowded").mapInArrow(_trimmed(rule), LAID), rule)
+    return session.written(contents.join(listed, (F.col("u1") == F.col("p1")) & (F.col("u2") == F.col("p2"))).drop("p1", "p2"))
+
+
+def _window_runs(alive: DataFrame, rule: Rule) -> DataFrame:
+    """_runs for the parts whose longer seeds are crowded, window by window."""
     rows = alive.where("crowded").mapInArrow(_window_rows(rule), "x int, w1 long, w2 long, u1 long, u2 long, n long, doc_id long")
     total = F.min("doc_id") if rule.earlier else F.sum("n")
     again = session.written(rows.groupBy("w1", "w2").agg(total.alias("total"), F.max("doc_id").alias("most")).where("most > total" if rule.earlier else "total > 1"))
     hit = rows.join(again.drop("most"), ["w1", "w2"])
     hit = (hit.where("total < doc_id") if rule.earlier else hit).groupBy("u1", "u2").agg(F.sort_array(F.collect_set("x")).alias("lo"))
-    return runs.unionByName(hit.select("u1", "u2", "lo", F.col("lo").alias("hi")))
+    return hit.select("u1", "u2", "lo", F.col("lo").alias("hi"))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -384,9 +386,12 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
     contents = packed.join(owners, F.col("doc_id") == F.col("owner_id")).select("doc_id", "packed", "units")
     contents = session.written(contents.mapInArrow(_contents(rule), "anchor long, u1 long, u2 long, n long, kinds long, doc_id long, content binary"))
     calm = contents.where(F.col("kinds") <= rule.crowd).select(F.col("anchor").alias("seed"), "anchor", "u1", "u2", "n", "doc_id", F.lit(0).alias("base"), "content")
-    runs = _runs(calm, rule)
-    if not shared.where(F.col("kinds") > rule.crowd).isEmpty():
-        runs = runs.unionByName(_crowded_runs(contents.where(F.col("kinds") > rule.crowd), rule))
+    if shared.where(F.col("kinds") > rule.crowd).isEmpty():
+        runs = _runs(calm, rule)
+    else:
+        longer = _longer(contents.where(F.col("kinds") > rule.crowd), rule)
+        dealt = calm.unionByName(longer.where("not crowded").mapInArrow(_trimmed(rule), LAID))
+        runs = _runs(dealt, rule).unionByName(_window_runs(longer, rule))
     runs = runs.groupBy(F.col("u1").alias("r1"), F.col("u2").alias("r2")).agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
     marked = distinct.join(runs, (F.col("u1") == F.col("r1")) & (F.col("u2") == F.col("r2")), "left").where("n > 1 or lo is not null")
     marked = session.written(marked.select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), F.col("owner.doc_id").alias("owner_id"), "n", "lo", "hi"))
