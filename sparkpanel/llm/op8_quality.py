@@ -84,14 +84,14 @@ def log_weights(bucket: np.ndarray, row: np.ndarray, good: np.ndarray, counts: n
     return np.bincount(own, n * ratio, minlength=len(good)), np.bincount(own, n, minlength=len(good)).astype(np.int64)
 
 
-def _weights(counts: np.ndarray):
+def _weights(counts: np.ndarray, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.array([q == 1 for q in batch.column("quality").to_pylist()], dtype=bool)
             data, offsets = A.utf8(batch.column("text"))
             parts = [log_weights(*grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), good[a:b], counts) for a, b in A.blocks(offsets)]
             weight, n = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(n.astype(np.int64)), batch.column("quality")], names=["doc_id", "log_weight", "n_grams", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(n.astype(np.int64)), batch.column("quality"), *(batch.column(c) for c in carried)], names=["doc_id", "log_weight", "n_grams", "quality", *carried])
 
     return run
 
@@ -124,8 +124,9 @@ def _kth_largest(keys: DataFrame, k: int, rounds: int = 12, few: int = 10_000) -
     return found[min(k, len(found)) - 1] if found else low
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, n_grams, passes (weight over the threshold), key (log weight and noise), keep.
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, log_weight, n_grams, passes (weight over the threshold), key (log weight and noise), keep, and the columns
+    of docs that carry names (text among them, if it is to stay).
 
     docs: doc_id, text. labels: doc_id, quality (1 good, 0 bad); of these a sample of bounded size is used, chosen by
     a hash of the id.
@@ -135,21 +136,27 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
     known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality")).where("labelled is not null and quality in (0, 1)")
     known = known.groupBy("labelled").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("labelled", F.lit(seed)), "labelled").limit(sample)
     known = spark.createDataFrame([tuple(r) for r in known.collect()], "labelled long, quality int")  # sample rows at most
-    rows = session.id_and_text(docs)
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled"), "left").select("doc_id", "text", "quality")
+    rest = {f"__c{k}": c for k, c in enumerate(carry) if c != "text"}
+    kinds = {name: docs.schema[c].dataType.simpleString() for name, c in rest.items()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(name) for name, c in rest.items()))
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled"), "left").select("doc_id", "text", "quality", *rest)
+    if "text" in carry:
+        kinds["text"] = "string"
     counted = rows.select("text", "quality").mapInArrow(_counts, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()  # BUCKETS rows at most
     total = np.zeros((2, BUCKETS))
     for bucket, raw, good in counted:
         total[:, bucket] = raw, good
-    scored = session.written(rows.mapInArrow(_weights(total), "doc_id long, log_weight double, n_grams long, quality int"))
-    fit = np.array([(r[0], r[1]) for r in scored.where("quality is not null").select("log_weight", "quality").limit(10 * sample).collect()]).reshape(-1, 2)
+    schema = ", ".join(["doc_id long, log_weight double, n_grams long, quality int", *(f"`{c}` {kind}" for c, kind in kinds.items())])
+    scored = session.written(rows.mapInArrow(_weights(total, list(kinds)), schema))
+    fit = scored.where("quality is not null").groupBy("doc_id", "quality").agg(F.min("log_weight").alias("weight"))  # an id that rows share counts once: sample rows at most
+    fit = np.array([(r[0], r[1]) for r in fit.select("weight", "quality").collect()]).reshape(-1, 2)
     both = len(fit) and 0 < fit[:, 1].sum() < len(fit)
     cut = threshold(fit[:, 0], fit[:, 1] == 1) if both else float("-inf")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
     keyed = scored.withColumn("passes", F.col("log_weight") > F.lit(cut)).withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     k = keyed.where("passes").count() if both else 0
     keep = F.col("key") >= F.lit(_kth_largest(keyed.select("key"), k) if k else float("inf")) if both else F.lit(True)
-    return keyed.select("doc_id", "log_weight", "n_grams", "passes", "key", keep.alias("keep"))
+    return keyed.select("doc_id", "log_weight", "n_grams", "passes", "key", keep.alias("keep"), *(["text"] if "text" in carry else []), *(F.col(name).alias(c) for name, c in rest.items()))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,13 +131,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2, shard: int
 
 def _rooted(prints: DataFrame, reach: int, shard: int) -> DataFrame:
     """fp, least (doc_id that has it), root (a fingerprint that names its component)."""
-    spark = prints.sparkSession
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], dtype=np.int64).view(U)
     depth = int(np.ceil(np.log2(max(1, n / shard)) * 1.5))  # a half more levels, for what goes to both sides
     tree = vptree.grow(sample, reach, depth)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     dealt = session.written(nodes.select("fp").mapInArrow(_dealt(tree, reach), "leaf long, fp long"))
     shards = _bounded(dealt, shard)
     edges = shards.repartition("leaf").sortWithinPartitions("leaf", "fp").mapInArrow(_linked(reach), "u long, v long")
@@ -226,7 +224,8 @@ def _verified(words: int, least: float):
 
 
 def near_copies(docs: DataFrame, words: int, reach: int, least: float, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """doc_id, component_id (least doc_id reachable over links, itself included) for rows with a doc_id.
+    """doc_id, code (of the row's words), component_id (least doc_id reachable over links, itself included) and first
+    (whether the row's id and words are the least of its component) for rows with a doc_id.
 
     Two documents link if their words are the same or the exact Jaccard similarity of their sets of shingles is at least
     so much. Candidates have fingerprints at most reach bits apart or share a band of least hashes, for at similarity
@@ -238,7 +237,6 @@ def near_copies(docs: DataFrame, words: int, reach: int, least: float, shard: in
     docs = session.id_and_text(docs).where("doc_id is not null")
     prints = docs.mapInArrow(_codes(words), _not_null("doc_id long, fp long, code long, bands array<long>", "doc_id", "fp", "code")).checkpoint()
     rooted = _rooted(prints.select("doc_id", "fp"), reach, shard).select(F.col("fp").alias("print"), F.col("root").alias("key"))
-    session.prepare(docs.sparkSession)
     nodes = prints.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))  # bands follow from the code
     nodes = session.written(nodes)
     keyed = nodes.join(rooted, F.col("fp") == F.col("print")).select("code", F.col("key")).unionByName(nodes.select("code", F.explode("bands").alias("key")))
@@ -252,9 +250,24 @@ def near_copies(docs: DataFrame, words: int, reach: int, least: float, shard: in
     edges = dealt.repartition("leaf").sortWithinPartitions("leaf", "code").mapInArrow(_verified(words, least), "u long, v long")
     classes = components(edges).select("node", F.col("root").alias("class"))
     named = nodes.join(classes, F.col("code") == F.col("node"), "left").select("code", "least", F.coalesce("class", "code").alias("class"))
-    ids = named.groupBy(F.col("class").alias("top")).agg(F.min("least").alias("component_id"))
-    final = named.join(ids, F.col("class") == F.col("top")).select(F.col("code").alias("text_code"), "component_id")
-    return prints.join(final, F.col("code") == F.col("text_code")).select("doc_id", "component_id")
+    ids = named.groupBy(F.col("class").alias("top")).agg(F.min(F.struct("least", "code")).alias("head"))
+    final = named.join(ids, F.col("class") == F.col("top")).select(F.col("code").alias("text_code"), "head")
+    found = prints.select("doc_id", "code").join(final, F.col("code") == F.col("text_code"))
+    return found.select("doc_id", "code", F.col("head.least").alias("component_id"), ((F.col("doc_id") == F.col("head.least")) & (F.col("code") == F.col("head.code"))).alias("first"))
+
+
+def with_codes(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and other columns) with __code, near_copies' code of the row's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            codes = pa.array(np.array([_text_code(t) for t in texts], dtype=U).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, "__code"])
+
+    from pyspark.sql import types as T
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__code", T.LongType())]))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,17 +15,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def prepare(spark: SparkSession, rows_per_batch: int = 256) -> None:
-    """Bounds Arrow batches (so that long texts fit a worker) and sees that checkpoint() has a folder.
+BATCH_BYTES = 4 << 20
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a temporary one is made only where
-    neither that setting nor a checkpoint folder of the session exists, as in tests on one machine.
+
+def prepare(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes (so that long texts fit a worker) and sees that checkpoint() has a folder.
+
+    The folder is the one that the cluster names in spark.checkpoint.dir; a temporary one is made only on one machine
+    where neither that setting nor a checkpoint folder of the session exists, as in tests. All operators bound batches
+    alike, so that a result can be read after another operator was asked.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # shuffle files go with their query
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -71,8 +71,6 @@ def _groups(search: Search, k: int, whole: bool):
 
 def top_k(vectors: DataFrame, queries: DataFrame, search: Search, k: int, whole: bool, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score: the k best of search over all shards, ties to the smaller vec_id."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     dealt = vectors.select(F.lit(0).alias("kind"), "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))

@@ -124,3 +124,23 @@ def test_packing_follows_the_mix(spark, folder, tmp_path, monkeypatch):
     got = op6_packing.pack(pipeline.positions(mixed), public_tokenizers.path("byte_bpe_50k.json"), capacity=16, position="__position").collect()
     heads = [placed[r.doc_id] for r in sorted(got, key=lambda r: r.sequence_id) if r.offset == 0]
     assert heads == sorted(heads) and sorted({r.sequence_id for r in got}) == list(range(len(heads)))
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    """Each row is judged for itself: a kept row keeps no other, and a repeated id with other words is another document."""
+    rng = random.Random(12)
+    data, labels = [], []
+    for k in range(200):
+        text = words(rng, 60)
+        data.append((k, text if k % 2 else text.replace(" ", "### "), "en", "s", 1))
+        labels.append((k, k % 2, 0))
+    good, junk = [words(rng, 60) for _ in range(4)], [words(rng, 60).replace(" ", "### ") for _ in range(4)]
+    data += [(None, t, "en", "s", 1) for t in [*good[:2], *junk[:2]]] + [(900, t, "en", "s", 1) for t in [*good[2:], *junk[2:], good[2]]]
+    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = pipeline.quality(spark, docs, str(tmp_path))
+    odd = sorted((r.doc_id or 0, r.text) for r in kept.where("doc_id is null or doc_id = 900").collect())
+    assert odd == sorted([(0, t) for t in good[:2]] + [(900, t) for t in [*good[2:], good[2]]])
+    left = sorted((r.doc_id or 0, r.text) for r in pipeline.near_duplicates(spark, kept, "").where("doc_id is null or doc_id = 900").collect())
+    assert left == sorted([(0, t) for t in good[:2]] + [(900, t) for t in good[2:]])
