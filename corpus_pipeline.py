@@ -2,8 +2,9 @@
 
 Each stage gets what the one before kept and returns the columns of documents; the last returns the packed pieces.
 Defined results: documents without doc_id pass the quality stage by their weight, keep all their lines, are no copies of
-anything, are mixed and packed; rows that share a doc_id count as copies; null text is kept as such until it is packed
-as empty; an empty table gives no pieces; columns other than those of documents are dropped by the first stage.
+anything, are mixed and packed; rows that share a doc_id are documents of their own unless their words are alike; null
+text is kept as such until it is packed as empty; an empty table gives no pieces; columns other than those of documents
+are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ WORDS, REACH, SIMILAR = 5, 6, 0.8  # shingles, bits and verified Jaccard similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    docs = docs.select(*COLUMNS)
-    kept = op8_quality.classify(docs, session.read(spark, sf_dir, "labels")).where("keep").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "leftsemi")
+    """Documents that the classifier rejects go, row by row: rows that share an id, or have none, are judged each for itself."""
+    judged = op8_quality.classify(docs.select(*COLUMNS), session.read(spark, sf_dir, "labels"), carry=COLUMNS[1:])
+    return judged.where("keep").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,29 +33,43 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of least id."""
+    """One document of each group stays: the one of least id. Of rows alike in id and words the least stays."""
     docs = docs.select(*COLUMNS)
     found = op9_simhash_dedup.near_copies(docs, words=WORDS, reach=REACH, least=SIMILAR)
-    first = session.written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct())
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, F.col("doc_id") == F.col("__first"), "leftsemi")
-    return one.unionByName(docs.where("doc_id is null"))
+    first = session.written(found.where("first").select(F.col("doc_id").alias("__first"), F.col("code").alias("__words")).distinct())
+    one = op9_simhash_dedup.with_codes(docs.where("doc_id is not null")).join(first, (F.col("doc_id") == F.col("__first")) & (F.col("__code") == F.col("__words")), "leftsemi")
+    one = one.withColumn("__place", F.row_number().over(W.partitionBy("doc_id", "__code").orderBy(*COLUMNS))).where("__place = 1")
+    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+
+
+PART_BYTES = 64 << 20  # of text in a file of the mix
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict | None = None) -> DataFrame:
-    """The same documents, in the order of the mix: files in order hold rows in order."""
-    mixed = op2_mixing.mix(docs.select(*COLUMNS), weights, most=None)
-    return mixed.repartitionByRange(session.partitions(spark), "slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS)
+    """The same documents, in the order of the mix: files in order hold rows in order.
+
+    Only places, ids and sources are ranked and scheduled; texts join their slots once and go to their files once. The
+    number of files follows the bytes of text.
+    """
+    placed = positions(docs).select(*COLUMNS, "__position")
+    mixed = op2_mixing.mix(placed.select("__position", "doc_id", "source"), weights, most=None)
+    slots = session.written(mixed.select(F.col("__position").alias("__at"), "slot", "place"))
+    size, last = placed.agg(F.sum(F.octet_length("text"))).first()[0], slots.agg(F.max("slot")).first()[0]
+    parts = max(session.partitions(spark), -(-(size or 0) // PART_BYTES))
+    part = F.least(F.floor(F.col("slot") * parts / F.lit((last or 0) + 1)), F.lit(parts - 1)).cast("int")
+    joined = placed.join(slots, F.col("__position") == F.col("__at")).withColumn("__part", part)
+    return joined.repartitionById(parts, "__part").sortWithinPartitions("slot", "place").select(*COLUMNS)
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """docs with __position: their places, from 0, in the order of files and rows (of partitions, if they are in no files)."""
+    """docs with __position: their places, from 0, in the order of files and rows. Rows that come from no files are written first."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+    at = [F.struct(part, F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row")]
     try:
-        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
-        numbered = docs.select("*", F.struct(part, F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        numbered = docs.select("*", *at)
         numbered.schema  # resolves the columns
     except AnalysisException:
-        at = F.monotonically_increasing_id()
-        numbered = docs.select("*", F.shiftright(at, 33).alias("__file"), at.bitwiseAND((1 << 33) - 1).alias("__row"))
+        numbered = session.written(docs).select("*", *at)
     sizes = numbered.groupBy(F.col("__file").alias("__of")).count()
     before = sizes.select("__of", (F.sum("count").over(W.orderBy("__of")) - F.col("count")).alias("__before"))  # a row a file
     return numbered.join(F.broadcast(before), F.col("__file") == F.col("__of")).withColumn("__position", F.col("__before") + F.col("__row")).drop("__file", "__row", "__of", "__before")
