@@ -326,7 +326,7 @@ def _longer(contents: DataFrame, rule: Rule) -> DataFrame:
     """Units of crowded anchors with their parts, by the longer seed, that other places share: some of them crowded still."""
     contents = contents.select("anchor", "u1", "u2", "n", "doc_id", "content")
     seeds = contents.mapInArrow(_longer_seeds(rule), "u1 long, u2 long, position int, part int, seed long")
-    shared = session.written(seeds.groupBy(F.col("seed").alias("shared")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    shared = session.dealt(seeds.groupBy(F.col("seed").alias("shared")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     parts = seeds.join(shared, F.col("seed") == F.col("shared")).select("u1", "u2", (F.col("m") > rule.crowd).alias("crowded"), F.struct("position", "part", "seed").alias("x"))
     listed = parts.groupBy(F.col("u1").alias("p1"), F.col("u2").alias("p2"), "crowded").agg(F.collect_list("x").alias("parts"))
     return session.written(contents.join(listed, (F.col("u1") == F.col("p1")) & (F.col("u2") == F.col("p2"))).drop("p1", "p2"))
@@ -336,7 +336,7 @@ def _window_runs(alive: DataFrame, rule: Rule) -> DataFrame:
     """_runs for the parts whose longer seeds are crowded, window by window."""
     rows = alive.where("crowded").mapInArrow(_window_rows(rule), "x int, w1 long, w2 long, u1 long, u2 long, n long, doc_id long")
     total = F.min("doc_id") if rule.earlier else F.sum("n")
-    again = session.written(rows.groupBy("w1", "w2").agg(total.alias("total"), F.max("doc_id").alias("most")).where("most > total" if rule.earlier else "total > 1"))
+    again = session.dealt(rows.groupBy("w1", "w2").agg(total.alias("total"), F.max("doc_id").alias("most")).where("most > total" if rule.earlier else "total > 1"), "w1")
     hit = rows.join(again.drop("most"), ["w1", "w2"])
     hit = (hit.where("total < doc_id") if rule.earlier else hit).groupBy("u1", "u2").agg(F.sort_array(F.collect_set("x")).alias("lo"))
     return hit.select("u1", "u2", "lo", F.col("lo").alias("hi"))
@@ -372,7 +372,7 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
     texts = docs.select("doc_id", "text")
     anchors = texts.mapInArrow(_unit_rows(rule, False), _not_null("anchor long, echo boolean", "anchor"))
     met = anchors.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("n"), F.max("echo").alias("echoes")).where("n > 1" if rule.earlier else "n > 1 or echoes")
-    met = session.written(met.select("met"))
+    met = session.dealt(met.select("met"), "met")
     every = texts.mapInArrow(_unit_rows(rule, True), _not_null("anchor long, echo boolean, doc_id long, first int, last int, u1 long, u2 long", "doc_id", "u1", "u2", "anchor"))
     occ = session.written(every.join(met, F.col("anchor") == F.col("met"), "leftsemi"))
     distinct = session.written(occ.groupBy("u1", "u2").agg(F.min("anchor").alias("anchor"), F.max("echo").alias("echo"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("owner")))
@@ -394,7 +394,7 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
         runs = _runs(dealt, rule).unionByName(_window_runs(longer, rule))
     runs = runs.groupBy(F.col("u1").alias("r1"), F.col("u2").alias("r2")).agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
     marked = distinct.join(runs, (F.col("u1") == F.col("r1")) & (F.col("u2") == F.col("r2")), "left").where("n > 1 or lo is not null")
-    marked = session.written(marked.select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), F.col("owner.doc_id").alias("owner_id"), "n", "lo", "hi"))
+    marked = session.dealt(marked.select(F.col("u1").alias("m1"), F.col("u2").alias("m2"), F.col("owner.doc_id").alias("owner_id"), "n", "lo", "hi"), "m1")
     hit = occ.join(marked, (F.col("u1") == F.col("m1")) & (F.col("u2") == F.col("m2")))
     whole = F.col("doc_id") > F.col("owner_id") if rule.earlier else F.col("n") > 1
     first = F.col("first")

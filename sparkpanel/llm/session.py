@@ -57,6 +57,12 @@ def _removed(spark: SparkSession, path: str) -> None:
         return
 
 
+def dealt(frame: DataFrame, key: str) -> DataFrame:
+    """The frame, dealt by another hash of its key. A join that follows deals both of its sides, and only of sides that
+    come straight from an exchange can Spark split a partition that a hot key has filled."""
+    return frame.repartition(partitions(frame.sparkSession), F.xxhash64(key, F.lit(1)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
