@@ -1,20 +1,20 @@
 """Exact nearest-neighbour imputation: k nearest bank rows by Euclidean distance, ties by bank key, medians of targets.
 
 Two medians are kept apart: "lower" takes the lower middle neighbour where k is even, "mean" the mean of both middles.
-A bank of at most MOST rows goes to the workers with the function; a larger one is searched shard by shard and merged.
+Banks of any size go the same way: bank rows are dealt to shards and queries to slices of bounded size, a task searches
+one shard for one slice, and the shards' nearest are merged by rank. Rows that occur twice are asked once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST = 100_000
+MOST = 100_000  # bank rows of a shard
+SLICE = 20_000  # queries of a slice
 CHUNK_BYTES = 32 << 20
 
 
@@ -35,79 +35,28 @@ def nearest(query: np.ndarray, bank: np.ndarray, k: int) -> tuple[np.ndarray, np
     return places, distances
 
 
-def median_of(values: np.ndarray, rule: str) -> np.ndarray:
-    """Median over axis 1."""
-    if rule == "lower":
-        at = (values.shape[1] - 1) // 2
-        return np.partition(values, at, axis=1)[:, at]
-    if rule == "mean":
-        return np.median(values, axis=1)
-    raise ValueError("rule is lower or mean")
-
-
-def _imputer(bank: pd.DataFrame, features: list[str], targets: list[str], k: int, rule: str, label: str | None, kept: list[str]):
-    x, y = bank[features].to_numpy(dtype=float), bank[targets].to_numpy(dtype=float)
-    of_label = {name: np.asarray(at) for name, at in bank.groupby(label, sort=False).indices.items()} if label else {}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            q = frame[features].to_numpy(dtype=float)
-            groups = frame.groupby(label, sort=False, dropna=False).indices.items() if label else [(None, np.arange(len(frame)))]
-            out = {f"predicted_{t}": np.full(len(frame), np.nan) for t in targets} | {f"mad_{t}": np.full(len(frame), np.nan) for t in targets}
-            mean, size, fallback = np.full(len(frame), np.nan), np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=bool)
-            for name, at in groups:
-                rows = of_label.get(name) if label else None
-                fallback[at] = bool(label) and rows is None
-                rows = np.arange(len(x)) if rows is None else rows
-                if not len(rows):
-                    continue
-                place, distance = nearest(q[at], x[rows], k)
-                near = y[rows][place]
-                middle = median_of(near, rule)
-                spread = median_of(np.abs(near - middle[:, None, :]), rule)
-                for j, t in enumerate(targets):
-                    out[f"predicted_{t}"][at], out[f"mad_{t}"][at] = middle[:, j], spread[:, j]
-                mean[at], size[at] = distance.mean(axis=1), place.shape[1]
-            yield frame[kept].assign(**out, mean_distance=mean, effective_k=size, used_fallback=fallback)
-
-    return run
-
-
 def impute(queries: DataFrame, bank: DataFrame, features: list[str], targets: list[str], key: list[str], k: int = 50, rule: str = "lower", label: str | None = None) -> DataFrame:
     """queries with predicted_<t> and mad_<t> for each target, mean_distance, effective_k and used_fallback.
 
-    key: columns that order the bank. label: neighbours have the query's label; a label that the bank lacks falls back
-    to the whole bank.
-    """
-    names = [*([label] if label else []), *features, *targets]
-    rows = bank.select(*key, *(c for c in names if c not in key))
-    if rows.limit(MOST + 1).count() > MOST:
-        return _sharded(queries, bank, features, targets, key, k, rule, label)
-    small = rows.toPandas().sort_values(key, kind="stable").reset_index(drop=True)  # MOST rows at most
-    kept = [c for c in queries.columns]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema), *(f"`predicted_{t}` double" for t in targets), *(f"`mad_{t}` double" for t in targets), "mean_distance double", "effective_k long", "used_fallback boolean"])
-    return queries.mapInPandas(_imputer(small, features, targets, k, rule, label, kept), schema)
-
-
-def _sharded(queries: DataFrame, bank: DataFrame, features: list[str], targets: list[str], key: list[str], k: int, rule: str, label: str | None = None) -> DataFrame:
-    """The same for a bank of any size: each query meets each shard, and a shard keeps its k nearest for it.
-
-    With a label a query meets its label's rows in each shard, or all rows if no row of the bank has its label.
+    key: columns that order the bank, in their own order. label: neighbours have the query's label; a label that the
+    bank lacks falls back to the whole bank. Without any bank row predictions are null and effective_k is 0.
     """
-    shards = -(-bank.count() // MOST)
+    if rule not in ("lower", "mean"):
+        raise ValueError("rule is lower or mean")
     doubles = lambda names: F.array(*(F.col(c).cast("double") for c in names))
     keys = {f"__k{j}": c for j, c in enumerate(key)}
     types = ", ".join(f"{n} {bank.schema[c].dataType.simpleString()}" for n, c in keys.items())
     of = F.col(label).cast("string") if label else F.lit(None).cast("string")
-    dealt = bank.select(F.pmod(F.xxhash64(*key), F.lit(shards)).alias("__shard"), *(F.col(c).alias(n) for n, c in keys.items()), of.alias("__label"), doubles(features).alias("__b"), doubles(targets).alias("__y"))
-    both = dealt.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    named = queries.withColumn("__id", F.xxhash64(F.to_json(F.struct(*queries.columns), {"ignoreNullFields": "false"}))).withColumn("__label", of)
+    named = queries.withColumn("__id", F.md5(F.to_json(F.struct(*queries.columns), {"ignoreNullFields": "false"}))).withColumn("__label", of)
+    shards, slices = max(1, -(-bank.count() // MOST)), max(1, -(-queries.count() // SLICE))
+    spread = lambda column, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(column)
+    dealt = bank.select(*(F.col(c).alias(n) for n, c in keys.items()), of.alias("__label"), doubles(features).alias("__b"), doubles(targets).alias("__y"), F.pmod(F.xxhash64(*key), F.lit(shards)).alias("__shard"))
     if label:
         known = dealt.where("__label is not null").select(F.col("__label").alias("__known")).distinct()
         named = named.join(known, F.col("__label") == F.col("__known"), "left")
     else:
         named = named.withColumn("__known", F.lit(None).cast("string"))
-    asked = named.dropDuplicates(["__id"]).select("__id", "__known", doubles(features).alias("__x"), F.pmod("__id", F.lit(16)).alias("__slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("__shard"))
+    asked = named.dropDuplicates(["__id"]).select("__id", "__known", doubles(features).alias("__x"), F.pmod(F.xxhash64("__id"), F.lit(slices)).alias("__slice"), spread("__shard", shards))
 
     def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(list(keys), kind="stable").reset_index(drop=True)
@@ -122,7 +71,8 @@ def _sharded(queries: DataFrame, bank: DataFrame, features: list[str], targets:
             out.append(found.assign(__id=np.repeat(part["__id"].to_numpy(), place.shape[1]), __d=distance.ravel()))
         return pd.concat(out)[["__id", *keys, "__d", "__y"]] if out else pd.DataFrame({c: np.zeros(0, dtype=object) for c in ("__id", *keys, "__d", "__y")})
 
-    found = asked.groupBy("__shard", "__slice").cogroup(both.groupBy("__shard", "__slice")).applyInPandas(search, f"__id long, {types}, __d double, __y array<double>")
+    groups = ["__slice", "__shard"]
+    found = asked.groupBy(*groups).cogroup(dealt.select("*", spread("__slice", slices)).groupBy(*groups)).applyInPandas(search, f"__id string, {types}, __d double, __y array<double>")
     near = found.withColumn("__rank", F.row_number().over(W.partitionBy("__id").orderBy("__d", *keys))).where(F.col("__rank") <= k)
     pick = (lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})")) if rule == "lower" else (lambda c: F.percentile(c, F.lit(0.5)))
     wide = near.select("__id", "__d", *(F.col("__y")[j].alias(f"__y{j}") for j in range(len(targets))))
@@ -130,4 +80,5 @@ def _sharded(queries: DataFrame, bank: DataFrame, features: list[str], targets:
     away = wide.join(middles, "__id").select("__id", *(F.abs(F.col(f"__y{j}") - F.col(f"predicted_{t}")).alias(f"__a{j}") for j, t in enumerate(targets)))
     mads = away.groupBy("__id").agg(*(pick(f"__a{j}").alias(f"mad_{t}") for j, t in enumerate(targets)))
     fallback = F.col("__known").isNull() if label else F.lit(False)
-    return named.join(middles.join(mads, "__id"), "__id").select(*queries.columns, *(f"predicted_{t}" for t in targets), *(f"mad_{t}" for t in targets), "mean_distance", "effective_k", fallback.alias("used_fallback"))
+    out = named.join(middles.join(mads, "__id"), "__id", "left")
+    return out.select(*queries.columns, *(f"predicted_{t}" for t in targets), *(f"mad_{t}" for t in targets), "mean_distance", F.coalesce("effective_k", F.lit(0)).alias("effective_k"), fallback.alias("used_fallback"))

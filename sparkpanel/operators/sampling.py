@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,13 +101,17 @@ def stable_seed_column(*parts: Column | str) -> Column:
     return F.conv(little, 16, 10).cast("long")
 
 
+def hash_order(items, seed: int | str) -> list[str]:
+    """Items by priority(), on the driver: the order that hashed tables have as well."""
+    return sorted(items, key=lambda x: (hashlib.md5(f"{x}~{seed}".encode()).hexdigest(), x))
+
+
 def derangement(patients: list[str], seed: int) -> dict[str, str]:
-    """A map of sorted patients onto each other without a fixed point: a permutation rolled by a random shift."""
+    """A map of patients onto each other without a fixed point: one cycle through all of them, in hash order."""
     if len(patients) < 2 or len(set(patients)) < len(patients) or any(not p.strip() for p in patients):
         raise ValueError("derangements need two or more unique, non-blank patients")
-    rng = np.random.RandomState(seed)
-    order = np.array(sorted(patients), dtype=object)[rng.permutation(len(patients))]
-    return dict(zip(order.tolist(), np.roll(order, int(rng.randint(1, len(patients)))).tolist(), strict=True))
+    cycle = hash_order(patients, seed)
+    return {p: cycle[k - 1] for k, p in enumerate(cycle)}
 
 
 def derangement_by_hash(patients: DataFrame, seed: int | str, shift: int = 1) -> DataFrame:
@@ -127,24 +130,29 @@ def derangements_digest(maps: list[dict[str, str]]) -> str:
 
 
 def nested_subset(items: list[str], count: int, seed: int) -> list[str]:
-    """The first count of a seeded permutation: subsets of growing count are nested."""
-    return np.random.RandomState(seed).permutation(np.array(sorted(items), dtype=object))[:count].tolist()
+    """The first count in hash order: subsets of growing count are nested."""
+    return hash_order(items, seed)[:count]
 
 
 def paired_targets(specimens: list[str], patient: dict[str, str], pairing: str, seed: int) -> list[str]:
-    """Target specimen of each source specimen: its own (matched, unpaired), or one of another patient (shuffled)."""
-    if not specimens or pairing in ("matched", "unpaired"):
-        return list(specimens)
-    if pairing != "shuffled":
+    """Target specimen of each source specimen: its own (matched, unpaired), or one of another patient (shuffled).
+
+    Shuffled: with a patient's specimens side by side and patients in hash order, each takes the one that stands as many
+    places on as the largest patient has specimens, which is past its own patient's and not yet round to them again.
+    """
+    if pairing not in ("matched", "unpaired", "shuffled"):
         raise ValueError("pairing is matched, unpaired or shuffled")
-    if len({patient[s] for s in specimens}) < 2:
-        raise ValueError("shuffled pairing needs two patients")
-    rng = np.random.RandomState(seed)
-    for _ in range(10_000):
-        target = rng.permutation(np.array(specimens, dtype=object)).tolist()
-        if all(patient[a] != patient[b] for a, b in zip(specimens, target, strict=True)):
-            return target
-    raise RuntimeError("no patient-disjoint pairing was found")
+    if pairing != "shuffled" or not specimens:
+        return list(specimens)
+    of: dict[str, list[str]] = {}
+    for s in specimens:
+        of.setdefault(patient[s], []).append(s)
+    step = max(map(len, of.values()))
+    if 2 * step > len(specimens):
+        raise ValueError("a patient with more than half of the specimens cannot be paired with others")
+    ring = [s for p in hash_order(of, seed) for s in hash_order(of[p], seed)]
+    target = dict(zip(ring, ring[step:] + ring[:step], strict=True))
+    return [target[s] for s in specimens]
 
 
 def patient_prefix(patients: list[str], specimens: dict[str, list[str]], count: int | str, seed: int) -> list[str]:

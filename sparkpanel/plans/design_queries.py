@@ -92,51 +92,57 @@ def leakage_violations(spark, sf_dir):
     return splits.violations(rows.unionByName(leak), 5)
 
 
-@query(name="patient_grouped_folds_seeded")
+@query(f"""WITH {CELLS_SQL}, pairs AS (SELECT DISTINCT patient_id, specimen_id FROM cells), p AS (SELECT DISTINCT patient_id FROM pairs),
+ranked AS (SELECT patient_id, row_number() OVER (ORDER BY md5(patient_id || '~4207'), patient_id) - 1 AS k, count(*) OVER () AS n FROM p),
+placed AS (SELECT patient_id, fold, (k * 5) // n AS tested FROM ranked, (SELECT unnest(range(5)) AS fold)),
+others AS (SELECT fold, patient_id, row_number() OVER (PARTITION BY fold ORDER BY md5(patient_id || '~' || (4207 + fold + 1)), patient_id) AS k, count(*) OVER (PARTITION BY fold) AS n FROM placed WHERE tested <> fold),
+held AS (SELECT fold, patient_id FROM others WHERE k <= least(greatest(1, round_even(n * 0.2, 0)), n - 1))
+SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN tested = fold THEN 'test' WHEN (fold, patient_id) IN (SELECT (fold, patient_id) FROM held) THEN 'validation' ELSE 'train' END AS role, patient_id, specimen_id
+FROM placed JOIN pairs USING (patient_id)""", name="patient_grouped_folds_seeded")
 def patient_grouped_folds_seeded(spark, sf_dir):
     pairs = {r[1]: r[0] for r in cells(spark, sf_dir).select("patient_id", "specimen_id").distinct().collect()}
     return splits.split_table(spark, splits.grouped_folds(pairs, 5, 4207, 0.2))
 
 
 # ---- neighbours -------------------------------------------------------------------------------------------------
-PANEL = [f"e{k}" for k in range(8)]
-PANEL_SQL = "panel AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(8)) + " FROM embeddings)"
+PANEL = [f"e{k}" for k in range(64)]
+PANEL_SQL = "panel AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(64)) + " FROM embeddings)"
 
 
 def _panel(spark, sf_dir) -> DataFrame:
-    """Six observed and two hidden markers of a cell; label is its type."""
-    return read(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.element_at("embedding", k + 1).cast("double").alias(f"e{k}") for k in range(8)))
+    """62 observed and two hidden markers of a cell; label is its type."""
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.element_at("embedding", k + 1).cast("double").alias(f"e{k}") for k in range(64)))
 
 
-D_SQL = " + ".join(f"(q.e{k} - b.e{k}) * (q.e{k} - b.e{k})" for k in range(6))
-NEAR_SQL = f"""near AS (SELECT q.vec_id, b.vec_id AS bank_id, b.e6, b.e7, sqrt({D_SQL}) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D_SQL}, b.vec_id) AS k
+D_SQL = " + ".join(f"(q.e{k} - b.e{k}) * (q.e{k} - b.e{k})" for k in range(62))
+NEAR_SQL = f"""near AS (SELECT q.vec_id, b.vec_id AS bank_id, b.e62, b.e63, sqrt({D_SQL}) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D_SQL}, b.vec_id) AS k
   FROM panel q JOIN panel b ON b.vec_id % 4 <> 0 AND q.vec_id % 4 = 0)"""
 
 
-@query(f"""WITH {PANEL_SQL}, {NEAR_SQL} SELECT vec_id, round(quantile_disc(e6, 0.5), 6) AS predicted_e6, round(quantile_disc(e7, 0.5), 6) AS predicted_e7 FROM near WHERE k <= 10 GROUP BY vec_id""")
+@query(f"""WITH {PANEL_SQL}, {NEAR_SQL} SELECT vec_id, round(quantile_disc(e62, 0.5), 6) AS predicted_e62, round(quantile_disc(e63, 0.5), 6) AS predicted_e63 FROM near WHERE k <= 10 GROUP BY vec_id""")
 def knn_median_lower(spark, sf_dir):
     rows = _panel(spark, sf_dir)
-    out = knn.impute(rows.where("vec_id % 4 = 0"), rows.where("vec_id % 4 <> 0"), PANEL[:6], PANEL[6:], ["vec_id"], k=10)
-    return rounded(out.select("vec_id", "predicted_e6", "predicted_e7"), "predicted_e6", "predicted_e7")
+    out = knn.impute(rows.where("vec_id % 4 = 0"), rows.where("vec_id % 4 <> 0"), PANEL[:62], PANEL[62:], ["vec_id"], k=10)
+    return rounded(out.select("vec_id", "predicted_e62", "predicted_e63"), "predicted_e62", "predicted_e63")
 
 
-@query(f"""WITH {PANEL_SQL}, {NEAR_SQL}, m AS (SELECT vec_id, median(e6) AS p6, median(e7) AS p7, avg(d) AS d, count(*) AS n FROM near WHERE k <= 11 GROUP BY vec_id)
-SELECT vec_id, round(any_value(p6), 6) AS predicted_e6, round(any_value(p7), 6) AS predicted_e7, round(median(abs(e6 - p6)), 6) AS mad_e6, round(median(abs(e7 - p7)), 6) AS mad_e7, round(any_value(m.d), 6) AS mean_distance, any_value(n) AS effective_k
+@query(f"""WITH {PANEL_SQL}, {NEAR_SQL}, m AS (SELECT vec_id, median(e62) AS p62, median(e63) AS p63, avg(d) AS d, count(*) AS n FROM near WHERE k <= 11 GROUP BY vec_id)
+SELECT vec_id, round(any_value(p62), 6) AS predicted_e62, round(any_value(p63), 6) AS predicted_e63, round(median(abs(e62 - p62)), 6) AS mad_e62, round(median(abs(e63 - p63)), 6) AS mad_e63, round(any_value(m.d), 6) AS mean_distance, any_value(n) AS effective_k
 FROM near JOIN m USING (vec_id) WHERE k <= 11 GROUP BY vec_id""")
 def knn_median_diagnostics(spark, sf_dir):
     rows = _panel(spark, sf_dir)
-    out = knn.impute(rows.where("vec_id % 4 = 0"), rows.where("vec_id % 4 <> 0"), PANEL[:6], PANEL[6:], ["vec_id"], k=11, rule="mean")
-    out = out.select("vec_id", "predicted_e6", "predicted_e7", "mad_e6", "mad_e7", "mean_distance", "effective_k")
-    return rounded(out, "predicted_e6", "predicted_e7", "mad_e6", "mad_e7", "mean_distance")
+    out = knn.impute(rows.where("vec_id % 4 = 0"), rows.where("vec_id % 4 <> 0"), PANEL[:62], PANEL[62:], ["vec_id"], k=11, rule="mean")
+    out = out.select("vec_id", "predicted_e62", "predicted_e63", "mad_e62", "mad_e63", "mean_distance", "effective_k")
+    return rounded(out, "predicted_e62", "predicted_e63", "mad_e62", "mad_e63", "mean_distance")
 
 
-@query(f"""WITH {PANEL_SQL}, seen AS (SELECT DISTINCT label FROM panel WHERE vec_id % 4 <> 0 AND label <> 0), near AS (SELECT q.vec_id, b.e6, q.label NOT IN (SELECT label FROM seen) AS used_fallback, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D_SQL}, b.vec_id) AS k
+@query(f"""WITH {PANEL_SQL}, seen AS (SELECT DISTINCT label FROM panel WHERE vec_id % 4 <> 0 AND label <> 0), near AS (SELECT q.vec_id, b.e62, q.label NOT IN (SELECT label FROM seen) AS used_fallback, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D_SQL}, b.vec_id) AS k
   FROM panel q JOIN panel b ON b.vec_id % 4 <> 0 AND b.label <> 0 AND q.vec_id % 4 = 0 AND (b.label = q.label OR q.label NOT IN (SELECT label FROM seen)))
-SELECT vec_id, round(median(e6), 6) AS predicted_e6, any_value(used_fallback) AS used_fallback, count(*) AS effective_k FROM near WHERE k <= 10 GROUP BY vec_id""")
+SELECT vec_id, round(median(e62), 6) AS predicted_e62, any_value(used_fallback) AS used_fallback, count(*) AS effective_k FROM near WHERE k <= 10 GROUP BY vec_id""")
 def knn_label_conditioned(spark, sf_dir):
     rows = _panel(spark, sf_dir)
-    out = knn.impute(rows.where("vec_id % 4 = 0"), rows.where("vec_id % 4 <> 0 AND label <> 0"), PANEL[:6], ["e6"], ["vec_id"], k=10, rule="mean", label="label")
-    return rounded(out.select("vec_id", "predicted_e6", "used_fallback", "effective_k"), "predicted_e6")
+    out = knn.impute(rows.where("vec_id % 4 = 0"), rows.where("vec_id % 4 <> 0 AND label <> 0"), PANEL[:62], ["e62"], ["vec_id"], k=10, rule="mean", label="label")
+    return rounded(out.select("vec_id", "predicted_e62", "used_fallback", "effective_k"), "predicted_e62")
 
 
 @query(f"""WITH {CELLS_SQL}, fit AS (SELECT quantity AS x, extendedprice AS y FROM cells WHERE modality = 'O'), s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n FROM fit),

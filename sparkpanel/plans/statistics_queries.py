@@ -48,7 +48,9 @@ def marker_scale_standard(spark, sf_dir):
 @query(f"""WITH {LONG_SQL}
 SELECT modality, marker, round(median(value), 6) AS median FROM long GROUP BY modality, marker""")
 def fit_median(spark, sf_dir):
-    return rounded(distance.group_medians(long(cells(spark, sf_dir)), ["modality", "marker"]), "median")
+    from ..operators.models import medians
+
+    return rounded(medians(long(cells(spark, sf_dir)), ["modality", "marker"]), "median")
 
 
 @query(f"""WITH {LONG_SQL}, fit AS (SELECT * FROM long WHERE modality = 'O' AND cell_type <> 'R'),
