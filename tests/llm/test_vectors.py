@@ -85,3 +85,40 @@ def test_few_and_no_vectors(spark, tmp_path):
         for query in (op4.op4_maxscore_topk, op5.op5_collision_ann):
             got = [(r.query_id, r.rank, r.vec_id) for r in query(spark, f"{tmp_path}/{k}").collect()]
             assert sorted(got) == ([(0, 1, 1), (0, 2, 2)] if k == 2 else [])
+
+
+def test_recall_with_the_share_verified():
+    """Uniformly random unit vectors, the hard case: recall counts only beside the share of a shard that is verified."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    queries = x[::40]
+    index = op5.Index(x, int(op5.BETA * len(x)) + op5.LEAST * 20)
+    hit = share = 0
+    for q, near in zip(queries, index.candidates(queries), strict=True):
+        hit += len(set(np.argsort(-(x @ q))[:20]) & set(near.tolist())) / 20
+        share += len(near) / len(x)
+    print(f"recall {hit / len(queries):.3f} share {share / len(queries):.3f}")
+    assert hit / len(queries) >= 0.93 and share / len(queries) <= 0.18
+
+
+def test_length_of_queries_changes_nothing():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 8)) * rng.uniform(0.1, 3, size=(500, 1))
+    index = op5.Index(x, 60)
+    one, other = index.candidates(x[:20]), index.candidates(x[:20] * 1000)
+    assert all(set(a) == set(b) for a, b in zip(one, other))
+
+
+def test_bounds_prune_and_large_integers_are_exact(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op4, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-(2**31), 2**31, size=(120, 5)).astype(np.float64)
+    x[:, 0] *= 2.0**-28  # one light term
+    x[7] = x[3]
+    x = np.floor(x)
+    got = op4.Postings(np.arange(120), x).search(np.arange(0, 120, 10), x[::10], 4)
+    whole = [[int(v) for v in row] for row in x]
+    for own, (ids, scores) in zip(range(0, 120, 10), got):
+        want = sorted(((-sum(a * b for a, b in zip(whole[own], row)), k) for k, row in enumerate(whole) if k != own))[:4]
+        assert [(int(s), int(i)) for i, s in zip(ids, scores)] == [(-s, k) for s, k in want]
