@@ -113,7 +113,7 @@ def test_length_of_queries_changes_nothing():
 def test_bounds_prune_and_large_integers_are_exact(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op4, "BLOCK", 16)
     rng = np.random.default_rng(8)
-    x = rng.integers(-(2**31), 2**31, size=(120, 5)).astype(np.float64)
+    x = rng.integers(-(2**30), 2**30, size=(120, 5)).astype(np.float64)
     x[:, 0] *= 2.0**-28  # one light term
     x[7] = x[3]
     x = np.floor(x)
