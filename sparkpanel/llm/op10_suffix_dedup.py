@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import repeats, session
 
 WINDOW = 200
-CROWD = 384  # units that share a seed and meet in one task
+CROWD = 1024  # units that share a seed and meet in one task
 GRAM = 24
 
 

@@ -53,9 +53,9 @@ def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     keys = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
     found = boilerplate(keys, sites).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "keeper")
     hits = _lines(keys).join(found, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).where("doc_id <> keeper")
-    gone = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.map_from_entries(F.collect_set(F.struct("h1", F.lit(True)))).alias("__gone"))
+    gone = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.map_from_entries(F.collect_set(F.struct(F.struct("h1", "h2"), F.lit(True)))).alias("__gone"))
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x: F.element_at(F.col("__gone"), F.xxhash64(_trimmed(x))).isNull())
+    kept = F.filter(lines, lambda x: F.element_at(F.col("__gone"), F.struct(F.xxhash64(_trimmed(x)).alias("h1"), F.xxhash64(F.lit(1), _trimmed(x)).alias("h2"))).isNull())
     cut = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left")
     text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")

@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
-Hashed n-grams (runs of word characters, runs of punctuation, and pairs of either) are counted over the whole raw
-table and over the good documents of a labelled sample; a document's log weight is the sum of
+Hashed n-grams (runs of word characters, runs of punctuation, and pairs of either; a token said twice running is one
+n-gram, whatever the token, as stuttering tells more of quality than of words) are counted over the whole raw table and over the good documents of a labelled sample; a document's log weight is the sum of
 log(p_target / p_raw) over its n-grams. Gumbel noise on the log weights turns the k largest into a weighted sample
 without replacement; k is the number of documents whose weight passes a threshold fitted on the labelled sample.
 

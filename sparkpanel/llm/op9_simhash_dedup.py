@@ -1,6 +1,6 @@
 """SimHash near-dedup: fingerprints of word shingles, linked exactly within a Hamming radius by vantage-point trees.
 
-A tree over a bounded sample of the distinct fingerprints (SAMPLE) deals them to shards; a fingerprint near a
+A tree over a sample of the distinct fingerprints (SAMPLE, or A_SHARD for each shard) deals them to shards; a fingerprint near a
 boundary goes to both sides, so that every pair within the radius meets in a shard, where a tree of the shard's own
 fingerprints prunes by the same triangle bound. Shards return forests, which connected components join.
 
@@ -24,7 +24,8 @@ from .components import components
 from .repeats import _not_null
 
 U = np.uint64
-SAMPLE = 8192  # fingerprints that shape the tree above the shards
+SAMPLE = 8192  # fingerprints that shape the tree above the shards, at least;
+A_SHARD = 64  # so many for each shard where those are more: a thousandth of the fingerprints
 SHARD = 65_536  # fingerprints that a shard should have
 BLOCK = 4096  # texts that are verified against each other at a time
 BANDS, ROWS = 16, 4  # least hashes: a pair of similarity 0.8 shares none of the bands with probability 0.0002
@@ -66,9 +67,10 @@ def _dealt(tree, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column("fp").to_numpy().view(U)
-            for leaf, at in vptree.route(tree, points, reach):
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"leaf": np.full(len(at), leaf, dtype=np.int64), "fp": points[at].view(np.int64)})
+            routed = [(leaf, at) for leaf, at in vptree.route(tree, points, reach) if len(at)]
+            if routed:
+                leaves = np.repeat(np.array([leaf for leaf, _ in routed], dtype=np.int64), [len(at) for _, at in routed])
+                yield pa.RecordBatch.from_pydict({"leaf": leaves, "fp": points[np.concatenate([at for _, at in routed])].view(np.int64)})
 
     return run
 
@@ -133,7 +135,7 @@ def _rooted(prints: DataFrame, reach: int, shard: int) -> DataFrame:
     """fp, least (doc_id that has it), root (a fingerprint that names its component)."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     n = nodes.count()
-    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], dtype=np.int64).view(U)
+    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(max(SAMPLE, A_SHARD * -(-n // shard))).collect()], dtype=np.int64).view(U)
     depth = int(np.ceil(np.log2(max(1, n / shard)) * 1.5))  # a half more levels, for what goes to both sides
     tree = vptree.grow(sample, reach, depth)
     dealt = session.written(nodes.select("fp").mapInArrow(_dealt(tree, reach), "leaf long, fp long"))

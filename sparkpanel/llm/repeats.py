@@ -28,7 +28,7 @@ from . import session
 from .suffixes import deep_shallow
 
 U = np.uint64
-STRETCHES = 12  # longer seeds of a unit
+STRETCHES = 6  # longer seeds of a unit
 BLOCK = 1 << 18  # bytes of text that are looked at together
 
 
