@@ -104,6 +104,13 @@ def _unit_rows(rule: Rule, identify: bool):
     return run
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: for what makes many rows, or wide ones, of each."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -261,7 +268,7 @@ def _longer_seeds(rule: Rule):
     that all of the part's windows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             content = batch.column("content").to_pylist()
             p = anchor_places(rule, batch.column("anchor").to_numpy(), content)
             first, last = p.low // rule.stretch, p.high // rule.stretch
@@ -293,7 +300,7 @@ def _trimmed(rule: Rule):
     """A row for each listed part: its seed, and the unit's content cut to the part's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = [(k, seed, a, text[a * rule.size : (b + rule.window) * rule.size]) for k, seed, text, a, b in _windows_of(rule, batch)]
             of = np.array([r[0] for r in rows], dtype=np.int64)
             same = [pa.array(batch.column(c).to_numpy()[of]) for c in ("anchor", "u1", "u2", "n", "doc_id")]
@@ -307,7 +314,7 @@ def _window_rows(rule: Rule):
     """A row for each window of the listed parts, with the digest of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found = [(k, text[x * rule.size : (x + rule.window) * rule.size], x) for k, _, text, a, b in _windows_of(rule, batch) for x in range(a, b + 1)]
             of = np.array([f[0] for f in found], dtype=np.int64)
             ends = np.cumsum([len(f[1]) for f in found], dtype=np.int64) if found else of

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ COLUMNS = {
     "banks": "reference_bank_id dataset pair direction modality evaluation_fold fit_stage included_split_roles seed bank_role patient_id specimen_id row_index_file row_index_sha256 row_index_seed event_count patient_weight specimen_weight event_weight sampling_algorithm row_index_dtype status",
     "stress": "condition_id dataset factor level seed content_file content_sha256",
 }
+REFERENCED = {"banks": ("row_index_file", "row_index_sha256"), "stress": ("content_file", "content_sha256")}
 BANK_ROLES = ("target_predictor_bank", "calibration_bank", "null_prior_bank")
 DIGEST = "^[0-9a-f]{64}$"
 
@@ -32,6 +35,60 @@ def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.na.fill("")
 
 
+def load_index(spark: SparkSession, path: str, kind: str, protocol: str, digest: str) -> dict:
+    """The records of an index file, once everything about it holds: its own digest, its header (type, protocol, frozen,
+    version), the digest of its records, and those of the files that banks and stress records name. All that fails is
+    told at once."""
+    from pathlib import Path
+
+    import yaml
+
+    if kind not in COLUMNS:
+        raise ContractError(f"no manifest of type {kind}")
+    index = Path(path)
+    content = index.read_bytes() if index.is_file() else b""
+    try:
+        about = yaml.safe_load(content.decode("utf-8")) if content else None
+    except (UnicodeDecodeError, yaml.YAMLError):
+        about = None
+    about = about if isinstance(about, dict) else {}
+    header, listed = (about.get(k) if isinstance(about.get(k), dict) else {} for k in ("manifest", "records"))
+    version, name = header.get("version"), listed.get("path")
+    table = (index.parent / name).resolve() if isinstance(name, str) and name.strip() else None
+    held = table.read_bytes() if table and table.is_file() else b""
+    rules = {
+        "index missing or empty": bool(content),
+        "index digest": hashlib.sha256(content).hexdigest() == digest,
+        "not a mapping of manifest and records": bool(header) and bool(listed),
+        "type": header.get("type") == kind,
+        "protocol_id": header.get("protocol_id") == protocol,
+        "status": header.get("status") == "frozen",
+        "version": type(version) is int and version >= 1,
+        "records missing or empty": bool(held),
+        "records digest": hashlib.sha256(held).hexdigest() == listed.get("sha256"),
+    }
+    if broken := [rule for rule, holds in rules.items() if not holds]:
+        raise ContractError(f"{kind}: {', '.join(broken)}")
+    records = load(spark, str(table), kind)
+    if kind in REFERENCED:
+        column, sums = REFERENCED[kind]
+        named = [(r[0], str((table.parent / r[0]).resolve())) for r in records.select(column).distinct().collect()]  # a row a file
+        there = [(n, hashlib.sha256(b).hexdigest(), len(b)) for n, p in named if Path(p).is_file() for b in [Path(p).read_bytes()]]
+        files = spark.createDataFrame(there, "path string, sha256 string, bytes long")
+        if lost := [tuple(r) for r in missing_files(records, files, column, sums).limit(100).collect()]:
+            raise ContractError(f"{kind}: " + "; ".join("/".join(x) for x in lost[:5]))
+    return {"type": kind, "index_path": str(index), "index_digest": digest, "records_path": str(table), "records_digest": listed["sha256"], "records": records}
+
+
+def load_bundle(spark: SparkSession, config: dict, root: str) -> dict[str, DataFrame]:
+    """The records of all indices that a protocol gives a digest and a path for, paths relative to root."""
+    from pathlib import Path
+
+    paths = config.get("manifests", {})
+    ready = {k: d for k, d in config["manifest_digests"].items() if d != "pending" and paths.get(k)}
+    return {k: load_index(spark, str(Path(root) / paths[k]), k, config["protocol"]["id"], d)["records"] for k, d in ready.items()}
+
+
 def _integer(name: str, least: int = 0) -> Column:
     """Whether a string is a plain integer of at least the given value."""
     number = F.expr(f"try_cast(`{name}` as bigint)")
