@@ -56,18 +56,18 @@ def subset_skill(spark, sf_dir):
 
 @query()
 def neighbourhood_agreement(spark, sf_dir):
-    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=60))
+    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=50_000))
     return screen.neighbourhoods(rows, ["modality", "specimen_id"], "cell_id", ["quantity", "discount", "tax"], ["quantity", "discount"], k=10, label="cell_type")
 
 
 @query()
 def neighbour_two_sample(spark, sf_dir):
-    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=60))
+    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=50_000))
     return screen.two_sample(rows, ["specimen_id"], "cell_id", "modality", ["quantity", "discount", "tax"])
 
 
 @query()
 def cell_type_probe(spark, sf_dir):
-    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=60))
+    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=50_000))
     shown = {"source_h": ["quantity", "discount"], "source_h_plus_x": ["quantity", "discount", "tax"]}
     return probe.in_order([probe.probe(rows.where("modality = 'O'"), rows.where("modality = 'F'"), shown, "cell_type", ["A", "N", "R"])[1]])
