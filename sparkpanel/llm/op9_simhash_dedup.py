@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import session, vptree
+from . import near, session, vptree
 from .components import components
 from .repeats import _not_null
 
@@ -27,26 +26,15 @@ U = np.uint64
 SAMPLE = 8192  # fingerprints that shape the tree above the shards, at least;
 A_SHARD = 64  # so many for each shard where those are more: a thousandth of the fingerprints
 SHARD = 65_536  # fingerprints that a shard should have
-BLOCK = 4096  # texts that are verified against each other at a time
-BANDS, ROWS = 16, 4  # least hashes: a pair of similarity 0.8 shares none of the bands with probability 0.0002
-MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U) * U(2) + U(1)
-FAR, FEW = 24, 32  # pairs of texts of FEW or more shingles are not compared beyond FAR bits (similarity 0.8: about 10)
+FAMILY = near.Permutations(64, bands=16, rows=4)  # a pair of similarity 0.8 shares none of the bands with probability 0.0002
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """A code for each shingle, in order."""
-    parts = text.lower().split()  # of bytes: A-Z and [\x20\x09-\x0D] only
-    if not parts:
-        return np.zeros(0, dtype="<u8")
-    line, code = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.r_[0, ends[:-1] + 1].tolist()
-    ends = ends[min(words, len(parts)) - 1 :].tolist()
-    return np.array([code(line[a:b], 42) for a, b in zip(starts, ends, strict=False)], dtype="<u8")
+def fingerprint(text: bytes, words: int) -> int:
+    return simhash(near.shingles(text, words))
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    codes = shingles(text, words)
+def simhash(codes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the codes."""
     if not len(codes):
         return 0
     ones = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -145,131 +133,10 @@ def _rooted(prints: DataFrame, reach: int, shard: int) -> DataFrame:
     return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two arrays without repeats."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if both else float(len(x) == len(y) == 0)
-
-
-def _text_code(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7)
-
-
-def bands(codes: np.ndarray) -> np.ndarray:
-    """A key for each band of least hashes of a set of shingle codes; none for an empty set."""
-    if not len(codes):
-        return np.zeros(0, dtype=np.int64)
-    low = np.full(len(MULTIPLIERS), ~U(0))
-    for a in range(0, len(codes), 4096):
-        low = np.minimum(low, (codes[a : a + 4096, None] * MULTIPLIERS[None]).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], dtype=U).view(np.int64)
-
-
-def _codes(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            fps, codes = (np.array(x, dtype=U).view(np.int64) for x in ([fingerprint(t, words) for t in texts], [_text_code(t) for t in texts]))
-            keys = pa.array([bands(shingles(t, words)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array(codes), keys], names=["doc_id", "fp", "code", "bands"])
-
-    return run
-
-
-def _verify(texts: dict[int, bytes], fps: np.ndarray, words: int, least: float) -> pa.RecordBatch:
-    """Links of texts (in order of fps) whose Jaccard similarity is at least so much; each joined text to its class's first."""
-    codes, raw = np.array(list(texts), dtype=np.int64), list(texts.values())
-    label, sets = np.arange(len(raw)), {}
-    few = np.array([len(t.split(None, FEW + words)) < FEW + words for t in raw])
-
-    def of(k: int) -> np.ndarray:
-        if k not in sets:
-            sets[k] = np.unique(shingles(raw[k], words))
-        return sets[k]
-
-    for i in range(len(raw) - 1):
-        near = i + 1 + np.flatnonzero((vptree.distance(fps[i + 1 :], fps[i]) <= FAR) | few[i] | few[i + 1 :])
-        near = near[label[near] != label[i]]  # pairs of one class need no proof
-        while len(near):
-            j, near = int(near[0]), near[1:]
-            x, y = of(i), of(j)
-            if min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least:
-                a, b = sorted((label[i], label[j]))
-                label[label == b] = a
-                near = near[label[near] != label[i]]
-    moved = label != np.arange(len(raw))
-    return pa.RecordBatch.from_pydict({"u": codes[moved], "v": codes[label[moved]]})
-
-
-def _verified(words: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by leaf and code."""
-        leaf, texts, fps = None, {}, []
-
-        def solved() -> pa.RecordBatch:
-            return _verify(texts, np.array(fps, dtype=np.int64).view(U), words, least)
-
-        for batch in batches:
-            for at, code, fp, text in zip(*(batch.column(c).to_pylist() for c in ("leaf", "code", "fp")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if at != leaf:
-                    if len(texts) > 1:
-                        yield solved()
-                    leaf, texts, fps = at, {}, []
-                text = text or b""
-                if code not in texts and _text_code(text) == code % 2**64:  # rows that share a doc_id may have other texts
-                    texts[code] = text
-                    fps.append(fp)
-        if len(texts) > 1:
-            yield solved()
-
-    return run
-
-
-def near_copies(docs: DataFrame, words: int, reach: int, least: float, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """doc_id, code (of the row's words), component_id (least doc_id reachable over links, itself included) and first
-    (whether the row's id and words are the least of its component) for rows with a doc_id.
-
-    Two documents link if their words are the same or the exact Jaccard similarity of their sets of shingles is at least
-    so much. Candidates have fingerprints at most reach bits apart or share a band of least hashes, for at similarity
-    0.8 fingerprints differ in about ten bits; all pairs within a component of candidates are verified. A component of
-    more than block texts is dealt to all pairs of blocks, and a pair that is in one class already is not proved again,
-    so links are few.
-    """
-    session.prepare(docs.sparkSession)
-    docs = session.id_and_text(docs).where("doc_id is not null")
-    prints = docs.mapInArrow(_codes(words), _not_null("doc_id long, fp long, code long, bands array<long>", "doc_id", "fp", "code")).checkpoint()
-    rooted = _rooted(prints.select("doc_id", "fp"), reach, shard).select(F.col("fp").alias("print"), F.col("root").alias("key"))
-    nodes = prints.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))  # bands follow from the code
-    nodes = session.written(nodes)
-    keyed = nodes.join(rooted, F.col("fp") == F.col("print")).select("code", F.col("key")).unionByName(nodes.select("code", F.explode("bands").alias("key")))
-    firsts = keyed.groupBy(F.col("key").alias("shared")).agg(F.min("code").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = keyed.join(firsts, F.col("key") == F.col("shared")).select(F.col("code").alias("u"), F.col("first").alias("v")).where("u <> v").distinct()
-    candidates = session.written(components(near).select(F.col("node"), F.col("root")))
-    large = candidates.groupBy(F.col("root").alias("top")).agg(F.count(F.lit(1)).alias("n"))
-    asked = nodes.join(candidates.join(large, F.col("root") == F.col("top")), F.col("code") == F.col("node")).select("code", "fp", "root", F.col("least").alias("id"), F.ceil(F.col("n") / block).alias("blocks"))
-    asked = docs.join(asked, F.col("doc_id") == F.col("id")).withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = asked.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "code", "fp", "text")
-    edges = dealt.repartition("leaf").sortWithinPartitions("leaf", "code").mapInArrow(_verified(words, least), "u long, v long")
-    classes = components(edges).select("node", F.col("root").alias("class"))
-    named = nodes.join(classes, F.col("code") == F.col("node"), "left").select("code", "least", F.coalesce("class", "code").alias("class"))
-    ids = named.groupBy(F.col("class").alias("top")).agg(F.min(F.struct("least", "code")).alias("head"))
-    final = named.join(ids, F.col("class") == F.col("top")).select(F.col("code").alias("text_code"), "head")
-    found = prints.select("doc_id", "code").join(final, F.col("code") == F.col("text_code"))
-    return found.select("doc_id", "code", F.col("head.least").alias("component_id"), ((F.col("doc_id") == F.col("head.least")) & (F.col("code") == F.col("head.code"))).alias("first"))
-
-
-def with_codes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and other columns) with __code, near_copies' code of the row's words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            codes = pa.array(np.array([_text_code(t) for t in texts], dtype=U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, "__code"])
-
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__code", T.LongType())]))
+def near_copies(docs: DataFrame, words: int, reach: int, least: float, shard: int = SHARD, block: int = near.BLOCK) -> DataFrame:
+    """near.near_copies, with fingerprints at most reach bits apart as candidates beside the bands of least hashes: at
+    similarity 0.8 fingerprints differ in about ten bits, more than a tree can prune by."""
+    return near.near_copies(docs, words, least, FAMILY, block=block, mark=simhash, more=lambda prints: _rooted(prints, reach, shard).select(F.col("fp").alias("print"), F.col("root").alias("key")))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
