@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkpanel.llm import op1_line_dedup, op2_mixing, op6_packing, op8_quality, op9_simhash_dedup, session
+from sparkpanel.llm import near, op1_line_dedup, op2_mixing, op6_packing, op8_quality, op9_simhash_dedup, session
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-WORDS, REACH, SIMILAR = 5, 6, 0.8  # shingles, bits and verified Jaccard similarity of the near-duplicate stage
+WORDS, REACH, SIMILAR = 5, 2, 0.8  # shingles, bits and verified Jaccard similarity of the near-duplicate stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     found = op9_simhash_dedup.near_copies(docs, words=WORDS, reach=REACH, least=SIMILAR)
     first = session.written(found.where("first").select(F.col("doc_id").alias("__first"), F.col("code").alias("__words")).distinct())
-    one = op9_simhash_dedup.with_codes(docs.where("doc_id is not null")).join(first, (F.col("doc_id") == F.col("__first")) & (F.col("__code") == F.col("__words")), "leftsemi")
+    one = near.with_codes(docs.where("doc_id is not null")).join(first, (F.col("doc_id") == F.col("__first")) & (F.col("__code") == F.col("__words")), "leftsemi")
     one = one.withColumn("__place", F.row_number().over(W.partitionBy("doc_id", "__code").orderBy(*COLUMNS))).where("__place = 1")
     return one.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
