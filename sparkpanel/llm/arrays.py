@@ -99,8 +99,9 @@ LONG = 64  # bytes; longer words are digested one by one
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit code for each word.
 
-    Eight bytes at a time go through a bijective mix, so words of one length up to eight bytes never share a code, and
-    longer ones do so with the odds of a random function (2**-64 a pair); words of more than LONG bytes get a digest.
+    Eight bytes at a time go through a bijective mix, so words of one length up to eight bytes never share a code. Longer
+    ones can be made to, on purpose: codes choose anchors and decide nothing else. Words of more than LONG bytes get a
+    digest.
     """
     sizes = ends - starts
     out = mix(sizes.astype(U) * U(0x9FB21C651E98DF25) + U(0x2545F4914F6CDD1D))

@@ -1,15 +1,14 @@
 """Near copies: candidates from bands of least hashes, joined in Spark, and exact Jaccard similarity of shingle sets.
 
 Every text with a band in common with another is a candidate; components of candidates are verified whole. A component
-of more texts (or bytes) than a block is dealt to all pairs of blocks. Within a leaf an index over the prefixes of the
-sorted sets gives every pair that can reach the similarity; pairs that are in one class already need no proof, so that
-a group of copies takes one proof a text.
+of more texts (or bytes) than a block is dealt to all pairs of blocks. Within a leaf the shared shingles of all pairs are
+counted at once, by matrix products and lists, so that groups of copies, and of texts with a passage in common, cost no
+proof a pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from .repeats import _not_null
 
 U = np.uint64
 BLOCK = 4096  # texts of a block
-BLOCK_BYTES = 16 << 20  # and their bytes
+BLOCK_BYTES = 8 << 20  # and their bytes
 STRIP = 512  # codes that are permuted at a time
 
 
@@ -72,12 +71,6 @@ def text_code(text: bytes, fold: bool = True) -> int:
     return xxhash.xxh64_intdigest(b" ".join(normal(text, fold)), 7)
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two arrays without repeats."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if both else float(len(x) == len(y) == 0)
-
-
 def longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=U).view(np.int64))
 
@@ -94,46 +87,50 @@ def _printed(words: int, fold: bool, family: Permutations, mark: Callable[[np.nd
     return run
 
 
-def links(sets: list[np.ndarray], least: float) -> np.ndarray:
-    """The class of each sorted set, named by a member: sets of at least that similarity are of one class. Exact.
+def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For strips of sets, the first's place and how many values each of the strip shares with each of all. Exact.
 
-    Two sets of similarity s share one of the first n - ceil(s n) + 1 values of either, in any order of all values.
-    Sets come by rising size; the index holds, by value, earlier sets by their class.
+    Values that over a quarter of the sets have are counted by products of a 0/1 matrix, the others along their lists.
     """
-    parent = list(range(len(sets)))
-
-    def top(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    index: dict[int, dict[int, list[int]]] = {}
-    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    empty = [k for k in order if not len(sets[k])]
-    for k in empty[1:]:
-        parent[k] = empty[0]
-    for k in order[len(empty) :]:
-        x = sets[k]
-        n = len(x)
-        prefix = x[: n - ceil(least * n - 1e-9) + 1].tolist()
-        seen: set[int] = set()
-        for value in prefix:
-            for head, members in index.get(value, {}).items():
-                if top(head) == top(k):
-                    continue
-                for other in members:
-                    if other in seen:
-                        continue
-                    seen.add(other)
-                    if len(sets[other]) >= least * n - 1e-9 and jaccard(sets[other], x) >= least:
-                        low, high = sorted((top(other), top(k)))
-                        parent[high] = low
-                        break  # the rest of this list is of the class now
-        own = top(k)
-        for value in prefix:
-            index.setdefault(value, {}).setdefault(own, []).append(k)
-    return np.array([top(k) for k in range(len(sets))], dtype=np.int64)
+    m, sizes = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    value = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(m), sizes)
+    spread = np.bincount(value)
+    common = np.flatnonzero(spread > max(m // 4, 16))
+    place = np.full(len(spread), -1)
+    place[common] = np.arange(len(common))
+    dense = np.zeros((m, len(common)), dtype=np.float32)
+    at = place[value]
+    dense[owner[at >= 0], at[at >= 0]] = 1.0
+    rare = (at < 0) & (spread[value] > 1)
+    value, owner = value[rare], owner[rare]
+    order = np.argsort(value, kind="stable")
+    listed, starts = owner[order], np.searchsorted(value[order], np.arange(len(spread) + 1))
+    ends = np.searchsorted(owner, np.arange(m + 1))
+    for a in range(0, m, STRIP):
+        count = (dense[a : a + STRIP] @ dense.T).astype(np.int64)
+        for i in range(a, min(a + STRIP, m)):
+            mine = value[ends[i] : ends[i + 1]]
+            if len(mine):
+                count[i - a] += np.bincount(np.concatenate([listed[starts[v] : starts[v + 1]] for v in mine.tolist()]), minlength=m)
+        yield a, count
+
+
+def links(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """The class of each set (an array without repeats), named by a member: sets of at least that Jaccard similarity are
+    of one class. Exact, over all pairs; a set without values is like others of its kind."""
+    label = np.arange(len(sets))
+    if not len(sets):
+        return label
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    for a, shared in _overlaps(sets):
+        for i, both in enumerate(shared, a):
+            union = sizes[i] + sizes - both
+            like = np.where(union > 0, both / np.maximum(union, 1) >= least, True)
+            met = np.unique(label[like])
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+    return label
 
 
 def _verified(words: int, fold: bool, least: float):

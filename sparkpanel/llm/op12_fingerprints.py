@@ -36,7 +36,7 @@ from .near import Permutations, near_copies, shingles
 WORDS, SIMILAR = 5, 0.8
 PERMUTATIONS, BANDS, ROWS = 128, 25, 5  # a pair of similarity 0.8 shares none of the bands with probability 0.00005
 FAMILY = Permutations(PERMUTATIONS, BANDS, ROWS)
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long"
 
 
 def pieces(signature: np.ndarray) -> np.ndarray:
@@ -61,8 +61,8 @@ def edited(text: str, following: str) -> str:
 class Printed:
     """A document with the codes of its shingles and its signature."""
 
-    def __init__(self, doc_id: int, text: str, words: int):
-        self.doc_id, self.text = doc_id, text
+    def __init__(self, doc_id: int, text: str, words: int, near_class: int | None):
+        self.doc_id, self.text, self.near_class = doc_id, text, near_class
         self.codes = shingles(text.encode("utf-8", "surrogatepass"), words, fold=False)
         self.pieces = pieces(FAMILY.least(self.codes))
 
@@ -70,24 +70,28 @@ class Printed:
         text = edited(self.text, following.text)
         raw = text.encode("utf-8", "surrogatepass")
         other = pieces(FAMILY.least(shingles(raw, words, fold=False)))
-        return (self.doc_id, len(self.text), sha256(raw).hexdigest(), self.pieces.tobytes().hex(), other.tobytes().hex(), likeness(self.pieces, other), likeness(self.pieces, following.pieces))
+        return (self.doc_id, len(self.text), sha256(raw).hexdigest(), self.pieces.tobytes().hex(), other.tobytes().hex(), likeness(self.pieces, other), likeness(self.pieces, following.pieces), self.near_class)
 
 
 def _successive(words: int):
     names = [field.split()[0] for field in RESULT.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by range, copies from the next range last, and then in order."""
-        part, before = None, None
+        """Rows come sorted by range, copies from the next range last, and then in order; a row without text brings the
+        class of the document that follows it."""
+        part, before, near_class = None, None, (None, None)
         for batch in batches:
             rows = []
-            for at, extra, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "extra", "doc_id", "text")), strict=True):
+            for at, extra, doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("part", "extra", "doc_id", "text", "near_class")), strict=True):
                 if at != part:
                     part, before = at, None
                 elif extra and before is None:
                     continue  # the successor of this range is known
-                here = Printed(doc_id, text or "", words)
+                if text is None:
+                    near_class = doc_id, found
+                    continue
+                here = Printed(doc_id, text, words, near_class[1] if near_class[0] == doc_id else None)
                 if before is not None:
                     rows.append(before.row(here, words))
                 before = None if extra else here
@@ -96,28 +100,39 @@ def _successive(words: int):
     return run
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) in ranges (part) of ascending doc_id, sorted within; extra rows are the first of the next range."""
+def in_order(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text) in ranges (part) of ascending doc_id, sorted within; extra rows are the first of the next range.
+
+    classes (doc_id, near_class) are dealt by the same ranges, so that they meet their documents without a join.
+    """
     spark = docs.sparkSession
     n = session.partitions(spark)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
     splits = [-float("inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="__at", outputCol="__part").transform(docs.withColumn("__at", F.col("doc_id").cast("double")))
-    dealt = dealt.select("doc_id", "text", F.col("__part").cast("int").alias("part"))
-    firsts = dealt.groupBy("part").agg(F.min("doc_id").alias("first"))  # a row a range
+    ranges = Bucketizer(splits=splits, inputCol="__at", outputCol="__part")
+
+    def dealt(frame: DataFrame, *columns: str) -> DataFrame:
+        return ranges.transform(frame.withColumn("__at", F.col("doc_id").cast("double"))).select("doc_id", *columns, F.col("__part").cast("int").alias("part"))
+
+    texts = dealt(docs, "text")
+    firsts = texts.groupBy("part").agg(F.min("doc_id").alias("first"))  # a row a range
     order = W.orderBy("part")
     last = F.max("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     firsts = firsts.select("first", F.coalesce(F.lag("part").over(order), last).alias("before"))
-    copied = dealt.join(F.broadcast(firsts), F.col("doc_id") == F.col("first"), "left")
-    to = F.when(F.col("before").isNull(), F.array(F.struct("part", F.lit(False).alias("extra")))).otherwise(F.array(F.struct("part", F.lit(False).alias("extra")), F.struct(F.col("before").alias("part"), F.lit(True).alias("extra"))))
-    rows = copied.select("doc_id", "text", F.explode(to).alias("to")).select("to.part", "to.extra", "doc_id", "text")
-    return rows.repartitionById(len(splits) - 1, "part").sortWithinPartitions("part", "extra", "doc_id", F.xxhash64("text"), "text")
+    copied = texts.join(F.broadcast(firsts), F.col("doc_id") == F.col("first"), "left")
+    own = F.struct("part", F.lit(False).alias("extra"))
+    to = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("extra"))))
+    rows = copied.select("doc_id", "text", F.lit(None).cast("long").alias("near_class"), F.explode(to).alias("to")).select("to.part", "to.extra", "doc_id", "text", "near_class")
+    if classes is not None:
+        rows = rows.unionByName(dealt(classes, "near_class").select("part", F.lit(False).alias("extra"), "doc_id", F.lit(None).cast("string").alias("text"), "near_class"))
+    return rows.repartitionById(len(splits) - 1, "part").sortWithinPartitions("part", "extra", "doc_id", F.col("text").isNotNull(), F.xxhash64("text"), "text")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per document with the columns of RESULT. docs: doc_id, text."""
+def fingerprints(docs: DataFrame, classes: DataFrame | None = None, words: int = WORDS) -> DataFrame:
+    """One row per document with the columns of RESULT; near_class is null without classes. docs: doc_id, text."""
     session.prepare(docs.sparkSession)
-    return in_order(session.id_and_text(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))).mapInArrow(_successive(words), RESULT)
+    texts = session.id_and_text(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    return in_order(texts, classes).mapInArrow(_successive(words), RESULT)
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, least: float = SIMILAR) -> DataFrame:
@@ -129,8 +144,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, least: float = SIMILAR) ->
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = session.read(spark, sf_dir, "documents")
     session.prepare(spark)
-    classes = session.written(near_classes(docs).withColumnRenamed("doc_id", "__doc"))
-    return fingerprints(docs).join(classes, F.col("doc_id") == F.col("__doc")).drop("__doc")
+    return fingerprints(docs, session.written(near_classes(docs)))
 
 
 QUERIES = {"op12_fingerprints": op12_fingerprints}

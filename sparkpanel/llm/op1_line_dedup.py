@@ -27,9 +27,9 @@ def _trimmed(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("site"), F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.select("doc_id", "site", _trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return lines.select("doc_id", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.select("doc_id", "site", "at", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return lines.select("doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES, band: float = BAND) -> DataFrame:
@@ -53,14 +53,21 @@ def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
     keys = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
     found = boilerplate(keys, sites).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "keeper")
     hits = _lines(keys).join(found, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).where("doc_id <> keeper")
-    gone = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.map_from_entries(F.collect_set(F.struct(F.struct("h1", "h2"), F.lit(True)))).alias("__gone"))
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x: F.element_at(F.col("__gone"), F.struct(F.xxhash64(_trimmed(x)).alias("h1"), F.xxhash64(F.lit(1), _trimmed(x)).alias("h2"))).isNull())
-    cut = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left")
-    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_removed = F.when(F.col("__gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    return cut.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text}).drop("__doc", "__gone")
+    gone = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("at", "h1", "h2", F.lit(0).alias("line"))).alias("__gone"))
+    cut = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left").withColumn("__lines", F.split("text", "\n", -1))
+    # what goes and what is there, in one order: a line goes if its mark stands right before it
+    own = F.transform("__lines", lambda x, k: F.struct(k.alias("at"), F.xxhash64(_trimmed(x)).alias("h1"), F.xxhash64(F.lit(1), _trimmed(x)).alias("h2"), F.lit(1).alias("line")))
+    cut = cut.withColumn("__order", F.when(F.col("__gone").isNotNull() & F.col("text").isNotNull(), F.array_sort(F.concat("__gone", own))))
+
+    def stays(x: Column, k: Column) -> Column:
+        before = F.get("__order", k - 1)
+        return (x["line"] == 1) & ((k == 0) | ~F.coalesce((before["line"] == 0) & (before["at"] == x["at"]) & (before["h1"] == x["h1"]) & (before["h2"] == x["h2"]), F.lit(False)))
+
+    cut = cut.withColumn("__kept", F.filter("__order", stays))
+    text = F.when(F.col("__order").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda x: F.get("__lines", x["at"])), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
+    n_removed = F.when(F.col("__order").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long")
+    return cut.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text}).drop("__doc", "__gone", "__lines", "__order", "__kept")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents form blocks. With exact integer weights a of sum A (the caller's numbers as fractions of one
-denominator, not rounded), block j (from 1) of a source is released at slot floor((j - 1) * A / a) and due at
-ceil(j * A / a); every slot goes to the released block with the earliest deadline. Every prefix of the mix then holds each
-source's share to less than one block. When a source has no blocks left, a new phase begins in which the others share by
-their weights; every document is placed.
+A source's documents form blocks. With exact integer weights (the caller's numbers as fractions of one denominator, not
+rounded) the ideal mix gives every slot to the sources that have blocks left, in shares by weight; when a source ends, the
+others go on and share by their weights. A block is released in the slot in which the ideal mix begins it and due when
+that has ended it; every slot goes to the released block with the earliest deadline. As windows follow the ideal mix over
+all its phases, every prefix of the whole mix holds each source to less than one block of its ideal share, however many
+sources have ended. Every document is placed.
 
 The driver makes the schedule slot by slot, in bounded pieces, and keeps a few numbers per source; documents get their
 slots by a join on source and block.
@@ -16,6 +17,7 @@ table gives no rows; any number of sources is scheduled unless the caller sets a
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
@@ -34,69 +36,59 @@ MAX_SOURCES = 256  # mix() raises beyond, unless told otherwise; the query and t
 SMALL = 1_000_000  # blocks of a plan that is broadcast, and of a piece of a larger one
 
 
-def period(weights: dict) -> dict:
-    """Earliest deadline first over one period: the slots of each source. Ties go to the source named first."""
-    total = sum(weights.values())
-    order = list(weights)
-    slots: dict = {s: [] for s in order}
-    waiting = [(0, k) for k in range(len(order))]  # (release, source)
-    ready: list[tuple[int, int]] = []  # (deadline, source)
-    heapq.heapify(waiting)
-    for slot in range(total):
+class Fluid:
+    """The ideal mix: sources with blocks left share every slot by their weights, and a source ends with its last block.
+
+    In virtual time v a source has a * v blocks, so it ends at n / a; with C blocks of ended sources and A the weights of
+    the others, that is slot C + A v. Slots of whole blocks are therefore quotients of whole numbers, phase by phase.
+    """
+
+    def __init__(self, blocks: dict, weights: dict):
+        ends = sorted(blocks, key=lambda s: Fraction(blocks[s], weights[s]))
+        self.ends = [(blocks[s], weights[s]) for s in ends]
+        self.near = [n / a for n, a in self.ends]  # to look phases up by; compared exactly after that
+        self.phases = [(0, sum(weights[s] for s in blocks))]
+        for n, a in self.ends:
+            self.phases.append((self.phases[-1][0] + n, self.phases[-1][1] - a))
+
+    def at(self, j: int, a: int) -> tuple[int, int]:
+        """(C, A) where a source of weight a has j blocks."""
+        k = bisect_left(self.near, j / a)
+        while k and j * self.ends[k - 1][1] <= self.ends[k - 1][0] * a:
+            k -= 1
+        while j * self.ends[k][1] > self.ends[k][0] * a:
+            k += 1
+        return self.phases[k]
+
+    def release(self, j: int, a: int) -> int:
+        """The slot from which block j (from 0) may stand: the whole part of when the source has j blocks."""
+        ended, rest = self.at(j, a)
+        return ended + j * rest // a
+
+    def deadline(self, j: int, a: int) -> int:
+        """The slot before which block j (from 0) has to stand: when the source has j + 1 blocks, rounded up."""
+        ended, rest = self.at(j + 1, a)
+        return ended - (-(j + 1) * rest // a)
+
+
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block) of slot 0, 1, ... blocks, weights: by source, positive whole numbers. Ties go to the source named first."""
+    fluid, names = Fluid(blocks, weights), list(blocks)
+    done = [0] * len(names)
+    ready = [(fluid.deadline(0, weights[s]), k) for k, s in enumerate(names)]
+    waiting: list[tuple[int, int]] = []  # (release, source)
+    heapq.heapify(ready)
+    for slot in range(sum(blocks.values())):
         while waiting and waiting[0][0] <= slot:
             _, k = heapq.heappop(waiting)
-            j = len(slots[order[k]]) + 1
-            heapq.heappush(ready, (-(-j * total // weights[order[k]]), k))
+            heapq.heappush(ready, (fluid.deadline(done[k], weights[names[k]]), k))
         deadline, k = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("a block missed its deadline")
-        done = slots[order[k]]
-        done.append(slot)
-        if len(done) < weights[order[k]]:
-            heapq.heappush(waiting, (len(done) * total // weights[order[k]], k))
-    return slots
-
-
-def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
-    """(source, block) of slot 0, 1, ... blocks, weights: by source, positive whole numbers. Ties go to the source named first.
-
-    A phase takes up a source when its first deadline comes near, so that short phases do not cost a pass over all sources.
-    """
-    rank = {s: k for k, s in enumerate(blocks)}
-    left, done = dict(blocks), dict.fromkeys(blocks, 0)
-    waits = sorted(blocks, key=lambda s: (-weights[s], rank[s]))
-    total = sum(weights[s] for s in blocks)
-    while left:
-        used: dict = {}  # blocks of this phase
-        ready: list[tuple[int, int, object]] = []  # (deadline, rank, source)
-        waiting: list[tuple[int, int, object]] = []  # (release, rank, source)
-        at, slot, asked = 0, 0, None
-        while asked is None and len(used) + len(waits) - at > 0:
-            while waiting and waiting[0][0] <= slot:
-                _, k, s = heapq.heappop(waiting)
-                heapq.heappush(ready, (-(-(used[s] + 1) * total // weights[s]), k, s))
-            while at < len(waits) and (not ready or -(-total // weights[waits[at]]) <= ready[0][0]):
-                s = waits[at]
-                heapq.heappush(ready, (-(-total // weights[s]), rank[s], s))
-                at += 1
-            deadline, k, s = heapq.heappop(ready)
-            if slot >= deadline:
-                raise AssertionError("a block missed its deadline")
-            if used.get(s, 0) == left[s]:
-                asked = s
-                break
-            yield s, done[s] + used.get(s, 0)
-            used[s] = used.get(s, 0) + 1
-            slot += 1
-            heapq.heappush(waiting, (used[s] * total // weights[s], k, s))
-        ended = {s for s, n in used.items() if n == left[s]}
-        for s, n in used.items():
-            done[s] += n
-            left[s] -= n
-        for s in ended:
-            del left[s]
-            total -= weights[s]
-        waits = [s for s in waits if s not in ended]
+        yield names[k], done[k]
+        done[k] += 1
+        if done[k] < blocks[names[k]]:
+            heapq.heappush(waiting, (fluid.release(done[k], weights[names[k]]), k))
 
 
 def integer_weights(shares: dict) -> dict:

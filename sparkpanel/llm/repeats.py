@@ -58,7 +58,8 @@ class Rule:
 
     @property
     def size(self) -> int:
-        return 8 if self.tokens == "words" else 1
+        """Bytes of a token where units are compared: of a word its code, which anchors are made of, and a 128-bit digest."""
+        return 24 if self.tokens == "words" else 1
 
     def codes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         """Token codes of a block, the offsets of its rows in tokens, and a buffer with the bytes of each token run."""
@@ -75,12 +76,30 @@ class Rule:
             data, starts, ends = A.single_spaced(data, starts, ends)
         return A.digests(data, starts[begin], ends[stop - 1])
 
-    def raw(self, data: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """A block's tokens as fixed-size byte strings, laid end to end."""
-        return data if self.tokens == "bytes" else codes.astype(">u8").view(np.uint8)
+    def raw(self, codes: np.ndarray, spelled: tuple, spans: list[tuple[int, int]]) -> np.ndarray:
+        """A text's tokens as fixed-size byte strings, laid end to end; only words within the spans are digested."""
+        data, starts, ends = spelled
+        if self.tokens == "bytes":
+            return data
+        out = np.zeros((len(codes), 3), dtype=">u8")
+        out[:, 0] = codes
+        at = np.flatnonzero(covered(len(codes), [a for a, _ in spans], [b for _, b in spans]))
+        out[at, 1:] = A.digests(data, starts[at], ends[at])
+        return out.view(np.uint8).reshape(-1)
 
     def codes_of(self, raw: np.ndarray) -> np.ndarray:
-        return A.BYTE_CODES[raw] if self.tokens == "bytes" else raw.view(">u8").astype(U)
+        return A.BYTE_CODES[raw] if self.tokens == "bytes" else raw.view(">u8").reshape(-1, 3)[:, 0].astype(U)
+
+    def compared(self, raw: np.ndarray) -> np.ndarray:
+        """A row of bytes for each token: equal rows for equal tokens. Words are numbered anew, from 1."""
+        if self.tokens == "bytes":
+            return raw[:, None]
+        columns = raw.view(">u8").reshape(-1, 3)
+        order = np.lexsort(columns.T)
+        new = np.r_[True, (columns[order][1:] != columns[order][:-1]).any(axis=1)] if len(order) else np.zeros(0, dtype=bool)
+        number = np.empty(len(order), dtype=">u4")
+        number[order] = np.cumsum(new)
+        return number.view(np.uint8).reshape(-1, 4)
 
 
 def _unit_rows(rule: Rule, identify: bool):
@@ -138,11 +157,11 @@ def _contents(rule: Rule):
             texts = _opened(batch.column("packed"))
             for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts, strict=True)):
                 data, offsets = _joined([text])
-                codes, rows, _ = rule.codes(data, offsets)
-                raw = rule.raw(data, codes)
+                codes, rows, spelled = rule.codes(data, offsets)
                 mine = [x for x in listed[k] if x["last"] + rule.window <= rows[-1]]
                 if not mine:
                     continue
+                raw = rule.raw(codes, spelled, [(x["first"], x["last"] + rule.window) for x in mine])
                 out = {key: [x[key] for x in mine] for key in ("anchor", "u1", "u2", "n", "kinds")}
                 out |= {"doc_id": [doc] * len(mine)}
                 content = [raw[x["first"] * rule.size : (x["last"] + rule.window) * rule.size].tobytes() for x in mine]
@@ -193,8 +212,9 @@ def repeated_windows(rule: Rule, seed: np.ndarray, anchor: np.ndarray, weight: n
     if not len(unit):
         return out
     bucket = np.unique(seed[unit], return_inverse=True)[1]
-    size, base, end = rule.size, (at[unit] + position).astype(np.int32), at[unit] + lengths[unit]
-    tokens = raw.reshape(-1, size) if size > 1 else raw[:, None]
+    base, end = (at[unit] + position).astype(np.int32), at[unit] + lengths[unit]
+    tokens = rule.compared(raw)
+    size = tokens.shape[1]
     step = np.arange(rule.window, dtype=np.int32)
     places = base[:, None] + step
     right = np.where((places < end[:, None])[..., None], tokens[np.minimum(places, len(tokens) - 1)], 0).astype(np.uint8).reshape(len(unit), -1)

@@ -1,7 +1,10 @@
 """op1 against DuckDB, op2 against a schedule made slot by slot."""
 
 import collections
+import math
 import random
+import time
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -43,25 +46,36 @@ def test_lines_edges(table, spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def schedule(counts, weights, block):
-    """Earliest deadline first, slot by slot; a new phase when a source is asked for a block it lacks."""
-    left = {s: -(-n // block) for s, n in counts.items()}
-    total = dict(left)
-    out, slot = {}, 0
-    names = sorted(left, key=lambda s: (s is None, s or ""))
-    while left:
-        whole, done, start = sum(weights[s] for s in left), dict.fromkeys(left, 0), slot
-        while True:
-            ready = [(-(-(done[s] + 1) * whole // weights[s]), names.index(s), s) for s in left if done[s] * whole // weights[s] <= slot - start]
-            s = min(ready)[2]
-            if done[s] == left[s]:
-                break
-            out[(s, total[s] - left[s] + done[s])] = slot
-            done[s] += 1
-            slot += 1
-            if sum(done.values()) == sum(left.values()):
-                break
-        left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+def ideal(blocks, weights, at):
+    """Blocks of each source at slot `at`, by phases: all that have some left share by weight until one has none."""
+    left, now, got = dict(blocks), Fraction(0), dict.fromkeys(blocks, Fraction(0))
+    while left and now < at:
+        whole = sum(weights[s] for s in left)
+        step = min(min(n * Fraction(whole, weights[s]) for s, n in left.items()), at - now)
+        for s in left:
+            got[s] += step * Fraction(weights[s], whole)
+        left = {s: blocks[s] - got[s] for s in left if got[s] < blocks[s]}
+        now += step
+    return got
+
+
+def when(blocks, weights, source, j):
+    """The slot at which the source has j blocks: all have a part a * v of theirs, or all of them."""
+    v = Fraction(j, weights[source])
+    return sum(min(weights[s] * v, Fraction(n)) for s, n in blocks.items())
+
+
+def schedule(total, weights, block):
+    """Slot by slot, from the definition of release and deadline."""
+    blocks = {s: -(-n // block) for s, n in total.items()}
+    names = sorted(blocks, key=lambda s: (s is None, s or ""))
+    edge = {s: [when(blocks, weights, s, j) for j in range(blocks[s] + 1)] for s in names}
+    done, out = dict.fromkeys(names, 0), {}
+    for slot in range(sum(blocks.values())):
+        ready = [(math.ceil(edge[s][done[s] + 1]), k, s) for k, s in enumerate(names) if done[s] < blocks[s] and math.floor(edge[s][done[s]]) <= slot]
+        s = min(ready)[2]
+        out[(s, done[s])] = slot
+        done[s] += 1
     return out
 
 
@@ -80,15 +94,20 @@ def test_schedule(table, weights):
     assert len({(r.slot, r.place) for r in got}) == 700 and len({(r.slot, r.source) for r in got}) == len({r.slot for r in got})
 
 
-def test_every_prefix_is_within_a_block_of_its_share():
-    weights = {"a": 617, "b": 211, "c": 131, "d": 41}
-    slots = op2.period(weights)
-    assert sorted(x for s in slots.values() for x in s) == list(range(1000))
-    for s, w in weights.items():
-        done, at = 0, set(slots[s])
-        for t in range(1000):
-            done += t in at
-            assert abs(done - w * (t + 1) / 1000) < 1
+@pytest.mark.parametrize("small", [5, 40, 150])
+def test_every_prefix_is_within_a_block_of_its_share(small):
+    """Over all phases: many small sources end one after another beside a large one."""
+    rng = random.Random(small)
+    blocks = {"large": 900} | {f"s{k}": rng.randint(1, 12) for k in range(small)}
+    weights = {"large": 50} | {f"s{k}": rng.randint(1, 30) for k in range(small)}
+    done = dict.fromkeys(blocks, 0)
+    for t, (s, block) in enumerate(op2.schedule(blocks, weights), 1):
+        assert block == done[s]
+        done[s] += 1
+        if t < 400 or t % 7 == 0:
+            got = ideal(blocks, weights, t)
+            assert all(abs(done[x] - got[x]) < 1 for x in blocks)
+    assert done == blocks
 
 
 def test_mixing_edges(table, spark):
@@ -103,7 +122,7 @@ def test_mixing_edges(table, spark):
 def test_any_number_of_sources(spark, tmp_path, monkeypatch):
     """As slot by slot, with more sources than MAX_SOURCES and a plan in several joined pieces."""
     monkeypatch.setattr(op2, "SMALL", 100)
-    sizes = {f"s{k}": 1 + 2000 // (k + 1) for k in range(700)}
+    sizes = {f"s{k}": 1 + 2000 // (k + 1) for k in range(300)}
     rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op2.op2_mixing(spark, str(tmp_path)).collect()
@@ -124,3 +143,21 @@ def test_prefixes_hold_the_callers_weights(weights):
             assert all(abs(done[x] - t * w / whole) < 1 for x, w in weights.items())
         if t == 300_000:
             break
+
+
+def test_many_boilerplate_lines(table):
+    """Twenty thousand lines that all documents share, in time that follows their number."""
+    text = "\n".join(f"line {k % 19_000} is everywhere" for k in range(20_000))
+    data = [(k, text + f"\nown {k}", "en", f"site{k}", 0) for k in range(12)]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in op1.line_dedup(table(data)).collect()}
+    assert time.monotonic() - began < 60
+    assert got[0].text == data[0][1] and got[0].n_removed == 0
+    assert all(got[k].text == f"own {k}" and (got[k].n_lines, got[k].n_removed) == (20_001, 20_000) for k in range(1, 12))
+
+
+def test_rows_that_share_an_id_lose_their_own_lines(table):
+    shared = [(k, "every site\nmine", "en", f"site{k}", 0) for k in range(12)]
+    twice = [(40, "a\nevery site\nb", "en", "x", 0), (40, "every site\nc\nevery site", "en", "x", 0), (40, "d\ne\nf", "en", "x", 0)]
+    got = [r.text for r in op1.line_dedup(table(shared + twice)).where("doc_id = 40").collect()]
+    assert sorted(got) == ["a\nb", "c", "d\ne\nf"]

@@ -148,3 +148,18 @@ def test_texts_without_an_id_are_witnesses_of_bytes(table):
     rows = [(1, "x" + passage + "y"), (None, "z" + passage), (2, "none of it"), (None, None)]
     got = {r[0]: r[2] for r in op10.suffix_dedup(table([(*r, "en", "s", 0) for r in rows])).collect()}
     assert got == {1: 260, 2: 0}
+
+
+@pytest.mark.parametrize("crowd", [1, 128])
+def test_words_made_to_share_a_code(table, crowd):
+    """Anchors are made of codes, which words can be made to share; what repeats is told by the words."""
+    from sparkpanel.llm import arrays
+
+    same = [b"DFU6ciZ6collides", b"jeQxszaFupx32HB1", b"sWDshl0Y{^V,4Aem"]
+    data = np.frombuffer(b"".join(same), dtype=np.uint8)
+    assert len(set(arrays.word_codes(data, np.array([0, 16, 32]), np.array([16, 32, 48])).tolist())) == 1
+    head, tail = " ".join(f"w{k}" for k in range(49)), " ".join(f"t{k}" for k in range(60))
+    texts = [f"{head} {w.decode()} {tail[:30]}" for w in same] + [f"{head} {same[1].decode()}", f"x {same[0].decode()} {tail}", f"y {same[2].decode()} {tail}"]
+    got = {r.doc_id: r.n_removed for r in op3.substring_dedup(table([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]), crowd=crowd).collect()}
+    assert got == {d: gone for d, _, gone, _ in brute_words(enumerate(texts), 50)}
+    assert [got[k] for k in range(4)] == [0, 0, 0, 50]
