@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MARKERS = ("quantity", "extendedprice", "discount", "tax")
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 CELL = ("modality", "specimen_id", "cell_id")
+MEASURED = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,9 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a cell: patient_id, specimen_id, modality, cell_id, cell_type and a double column for each marker."""
-    lines = read(spark, sf_dir, "lineitem").select(*KEY, "l_linestatus", "l_returnflag", *(F.col(f"l_{m}").cast("double").alias(m) for m in MARKERS))
-    owners = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = lines.join(owners, F.col("l_suppkey") == F.col("s_suppkey"))
+    return cells_of(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier"))
+
+
+def cells_of(measured: DataFrame, owners: DataFrame) -> DataFrame:
+    """The cells of a table of measured rows and one that names the patient of each specimen."""
+    lines = measured.select(*KEY, "l_linestatus", "l_returnflag", *(F.col(f"l_{m}").cast("double").alias(m) for m in MARKERS))
+    rows = lines.join(owners.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
         F.concat(F.lit("n"), "s_nationkey").alias("patient_id"),
         F.concat(F.lit("s"), "s_suppkey").alias("specimen_id"),
