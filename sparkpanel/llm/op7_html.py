@@ -1,13 +1,14 @@
 """Main-text extraction by composite text density.
 
-A page is parsed to a tree in one pass. Elements that hold no article text by their kind (menus, footers, forms, scripts,
-adverts, reader comments and the like, by tag, role or an unmistakable class or id) are left out. Every other node gets
-its characters per tag, adjusted by the share of link characters and link tags, and weighed down where its class or id
-only hints at something else. The node whose children's densities have the greatest sum is the core; the least density
+A page is parsed to a tree in one pass. Elements that hold no article text by their kind (menus, footers, forms, scripts
+and the like, by tag or role, and what is hidden) are left out. Every other node gets its characters per tag, adjusted by
+the share of link characters and link tags, and weighed down where its class or id hints at something else, and to an
+eighth where it names it (adverts, menus, reader comments). The node whose children's densities have the greatest sum is the core; the least density
 on its path to the body is the threshold, and every node that reaches it yields the greatest-sum subtree below it. A core
 inside an article (or else main) element extends to all of it, and other articles of the same main stay if they reach the
-threshold. Inside what is selected, hinted nodes that do not reach the threshold, and lists of links, go; the core and
-what holds it stay, whatever they are called.
+threshold. Inside what is selected, hinted nodes that do not reach the threshold, and lists of links, go, and named ones
+that do not, at an eighth of their density, outweigh all beside them; the core and what holds it stay, whatever they are
+called.
 
 Defined results: null or empty html gives the empty text; broken, unclosed and truncated markup is read as browsers do
 in the main (a tag that does not end is dropped, an unclosed paragraph ends at the next block); repeated pages come as
@@ -62,6 +63,7 @@ HEADER_NAMES = frozenset(("header", "topbar", "head"))
 TEXT_NAMES = frozenset("article post entry story content main body text".split())
 WRAPPER_NAMES = TEXT_NAMES | frozenset("has with without no wrap wrapper container layout page row col columns grid site".split())
 HINT_WEIGHT, HINT_SHARE = 0.25, 0.2  # of a hinted node's density; of the core's characters that it needs to stay
+NAME_WEIGHT, NAME_SHARE = 0.125, 0.5  # of a named node's density; of its parent's sum of densities that it then needs to stay
 LINK_LIST, LINK_SHARE, LINK_CHARS = 3, 0.8, 80  # links, share of their characters, and characters a link at most: a list of links
 CLOSES = {  # an element that begins ends open ones of these kinds, up to the barrier
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -132,7 +134,7 @@ class Page:
         """strict: 2 heeds what classes and ids name, 1 only where they do not name text as well, 0 not at all."""
         self.strict = strict
         self.tag, self.parent = ["html"], [-1]
-        self.dead, self.hinted, self.linked, self.in_article = [False], [False], [False], [False]
+        self.dead, self.hinted, self.named, self.linked, self.in_article = [False], [False], [False], [False], [False]
         self.segments: list[tuple[int, int, str]] = []
         self.parse(html)
 
@@ -179,8 +181,9 @@ class Page:
             self.in_article.append(inside)
             linked.append(linked[top] or name in LINKS)
             kind = self.other(attributes, inside) if attributes and name != "body" else 0
-            dead.append(dead[top] or name in NO_TEXT or (name == "header" and not self.in_article[top]) or kind == 2)
+            dead.append(dead[top] or name in NO_TEXT or (name == "header" and not self.in_article[top]) or kind == 3)
             self.hinted.append(kind == 1)
+            self.named.append(kind == 2)
             if name == "br" and not dead[node]:
                 segments.append((top, block, " "))
             if name in RAW:
@@ -191,7 +194,8 @@ class Page:
                 stack.push(node, name)
 
     def other(self, attributes: str, in_article: bool) -> int:
-        """Whether the attributes name something other than the article: 2 that they do, 1 that they hint at it, 0 not."""
+        """Whether the attributes tell of something other than the article: 3 that it is none by its role or is hidden, 2
+        that a class or id names it, 1 that one hints at it, 0 not."""
         found = 0
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
@@ -204,13 +208,13 @@ class Page:
                 elif parts & HINTS:
                     found = max(found, 1)
             elif key == "role" and value.lower() in NO_TEXT_ROLES:
-                return 2
+                return 3
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return 2
+                return 3
         return found
 
     def counts(self) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Characters, link characters, tags and link tags below each node; a hinted node's characters weigh less."""
+        """Characters, link characters, tags and link tags below each node; a hinted or named node's characters weigh less."""
         n = len(self.tag)
         chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for node, _, text in self.segments:
@@ -222,28 +226,34 @@ class Page:
             if self.dead[k]:
                 continue
             up = self.parent[k]
-            if self.hinted[k]:
-                chars[k] *= HINT_WEIGHT
-                link_chars[k] *= HINT_WEIGHT
+            if self.hinted[k] or self.named[k]:
+                chars[k] *= self.weight(k)
+                link_chars[k] *= self.weight(k)
             chars[up] += chars[k]
             link_chars[up] += link_chars[k]
             tags[up] += tags[k] + 1
             link_tags[up] += link_tags[k] + (self.tag[k] in LINKS)
         return chars, link_chars, tags, link_tags
 
+    def weight(self, k: int) -> float:
+        return NAME_WEIGHT if self.named[k] else HINT_WEIGHT if self.hinted[k] else 1.0
+
     def densities(self, counted=None) -> tuple[list[float], list[float]]:
         """Composite density of each node, and the sum of its children's."""
         n = len(self.tag)
         chars, link_chars, tags, link_tags = counted or self.counts()
         density, total = [0.0] * n, [0.0] * n
+        under = [1.0] * n  # below a named node everything weighs as little
+        for k in range(1, n):
+            under[k] = under[self.parent[k]] * (NAME_WEIGHT if self.named[self.parent[k]] else 1.0)
         share = link_chars[0] / max(1, chars[0])
         for k in range(n - 1, -1, -1):
             c, lc, t, lt = chars[k], link_chars[k], max(1, tags[k]), max(1, link_tags[k])
             if c and not self.dead[k]:
                 base = max(math.e, math.log(c / max(1, c - lc) * lc + share * c + math.e))  # where links abound, they weigh more
                 density[k] = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base)
-                if self.hinted[k]:
-                    total[k] *= HINT_WEIGHT
+                density[k] *= under[k]
+                total[k] *= self.weight(k)
             if k and not self.dead[k]:
                 total[self.parent[k]] += density[k]
         return density, total
@@ -279,6 +289,8 @@ class Page:
         for k in range(n):
             if k in path:
                 continue
+            if self.named[k] and density[k] <= NAME_SHARE * total[self.parent[k]]:
+                self.dead[k] = True
             if self.hinted[k] and not (reach[k] and chars[k] >= HINT_WEIGHT * HINT_SHARE * chars[core]) or self.tag[k] in LISTS and self.is_list(chars[k], link_chars[k], link_tags[k]):
                 self.dead[k] = True
         for k in range(1, n):  # a node follows its parent

@@ -55,6 +55,10 @@ def test_frame(spark):
         ("<body><main><h1>T</h1>" + P * 3 + "<ul>" + "<li><a href=x>Some other story</a></li>" * 6 + "</ul></main></body>", "T\n" + "\n".join([TEXT] * 3)),
         ("<body><main><article>" + P * 3 + "</article><article>" + P * 2 + "</article><article><a href=x>Teaser</a></article></main></body>", "\n".join([TEXT] * 5)),
         ("<body><div class='related-links'>" + "<a href=x>Some other story</a> " * 9 + "</div><div>" + P * 3 + "</div></body>", "\n".join([TEXT] * 3)),
+        ("<body><main><div id='menu-recipe'>" + P + "</div><p>one line</p></main></body>", TEXT + "\none line"),
+        ("<body><main><p class='ad-hoc'>" + TEXT + "</p><p>one line</p></main></body>", TEXT + "\none line"),
+        ("<body><div class='share-this'>" + P * 3 + "</div><p>one line</p></body>", "\n".join([TEXT] * 3)),
+        ("<body><div class=story>" + P * 2 + "<p>one line</p><div class='ad-box'>" + P + "</div><div class=comments>" + P * 30 + "</div></div></body>", "\n".join([TEXT] * 2) + "\none line"),
         ("<body><article><p>See <a href=x>one</a>, <a href=y>two</a> and <a href=z>three</a>, which say more.</p>" + P + "</article></body>", "See one, two and three, which say more.\n" + TEXT),
     ],
 )
@@ -138,7 +142,7 @@ def test_selection_against_its_definition(seed):
     spelled = lambda node: node if isinstance(node, str) else f"<{node[0]}>{''.join(spelled(x) for x in node[1])}</{node[0]}>"
     tree = ("html", [("body", [grown(4) for _ in range(3)])])
     page = op7.Page(spelled(tree[1][0]))
-    page.hinted = [False] * len(page.tag)
+    page.hinted = page.named = [False] * len(page.tag)
     naive = Naive(tree)
     density, _ = page.densities()
     assert density == pytest.approx([naive.density(x, False) if x[0] != "a" else naive.density(x, True) for x in naive.nodes(tree)])
