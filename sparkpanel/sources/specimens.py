@@ -1,37 +1,25 @@
 """Specimen files: cells/<id>.csv with a column a marker and labels/<id>.csv, aligned by position only.
 
-Spark's CSV reader has no row number, so files are read whole, one a task, and cut to lines with their place; from then on
-row_idx is a column. Ingest once to Parquet partitioned by modality and specimen, and read that.
+numbered.py gives every row its place in its file, whatever the file's size; from then on row_idx is a column. Ingest
+once to Parquet partitioned by modality and specimen, and read that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import coarse_label, label_column, patient_of
 from ..operators.sampling import reservoir
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, specimen_id, row_idx (from 0, header left out), line and header of every CSV file below a path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("path"))
-    text = F.regexp_replace(F.regexp_replace("value", "^\\x{FEFF}", ""), "\r\n?", "\n")
-    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n", -1)
-    rows = files.select("path", F.regexp_extract("path", "([^/]+)\\.csv$", 1).alias("specimen_id"), lines.alias("l"))
-    return rows.select("path", F.url_decode("specimen_id").alias("specimen_id"), F.col("l")[0].alias("header"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(1)))).alias("row_idx", "line")).where("line <> '' or row_idx > 0").withColumn("row_idx", F.col("row_idx").cast("long"))
+from . import numbered
+from .bucketed import BUCKETS, bucketed
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
     """Column names of one CSV file."""
-    return spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
-
-
-def _columns(spark: SparkSession, path: str) -> list[str]:
-    first = numbered_lines(spark, path).select("header").distinct().limit(2).collect()
-    if len(first) != 1:
-        raise ValueError(f"{path}: files have no or unlike headers")
-    return [c.strip().strip('"') for c in first[0][0].split(",")]
+    return numbered.header(spark, path)
 
 
 def scan(spark: SparkSession, root: str, modality: str, markers: list[str] | None = None, head: int | None = None, drop_unmapped: bool = True) -> DataFrame:
@@ -40,16 +28,13 @@ def scan(spark: SparkSession, root: str, modality: str, markers: list[str] | Non
     head: only the first rows of each file. Rows whose label has no coarse class go unless kept.
     """
     cells_path, labels_path = f"{root}/{modality}/cells/*.csv", f"{root}/{modality}/labels/*.csv"
-    names = _columns(spark, cells_path)
+    names = numbered.header(spark, cells_path)
     wanted = markers or names
     if missing := sorted(set(wanted) - set(names)):
         raise ValueError(f"no such markers: {missing}")
-    cells = numbered_lines(spark, cells_path)
-    parts = F.split("line", ",", -1)
-    cells = cells.select("specimen_id", "row_idx", *(F.try_element_at(parts, F.lit(names.index(m) + 1)).cast("float").alias(m) for m in wanted))
-    label_names = _columns(spark, labels_path)
-    at = label_names.index(label_column(label_names)) + 1
-    labels = numbered_lines(spark, labels_path).select("specimen_id", "row_idx", F.btrim(F.element_at(F.split("line", ",", -1), at), F.lit('" ')).alias("fine_cell_type"))
+    cells = numbered.rows(spark, cells_path, wanted).select("specimen_id", "row_idx", *(F.col(f"`{m}`").try_cast("float").alias(m) for m in wanted))
+    fine = label_column(numbered.header(spark, labels_path))
+    labels = numbered.rows(spark, labels_path, [fine]).select("specimen_id", "row_idx", F.trim(F.coalesce(F.col(f"`{fine}`"), F.lit(""))).alias("fine_cell_type"))
     if head is not None:
         cells, labels = cells.where(F.col("row_idx") < head), labels.where(F.col("row_idx") < head)
     rows = cells.join(labels, ["specimen_id", "row_idx"]).withColumn("cell_type", coarse_label(F.col("fine_cell_type")))
@@ -60,7 +45,7 @@ def scan(spark: SparkSession, root: str, modality: str, markers: list[str] | Non
 
 def row_mismatches(spark: SparkSession, root: str, modality: str) -> DataFrame:
     """specimen_id, cells, labels: specimens whose two files differ in length, or that lack one."""
-    count = lambda kind: numbered_lines(spark, f"{root}/{modality}/{kind}/*.csv").groupBy("specimen_id").agg(F.count(F.lit(1)).alias(kind))
+    count = lambda kind: numbered.counts(spark, f"{root}/{modality}/{kind}/*.csv").withColumnRenamed("n", kind)
     both = count("cells").join(count("labels"), "specimen_id", "full_outer")
     return both.where("cells is null or labels is null or cells <> labels")
 
@@ -116,6 +101,18 @@ def write_cache(rows: DataFrame, frozen: DataFrame, path: str, seed: int) -> Non
     rows.join(kept, ["modality", "specimen_id", "row_idx"], "leftsemi").write.mode("overwrite").partitionBy("modality", "specimen_id").parquet(path)
 
 
+ROW = ["modality", "specimen_id", "row_idx"]
+
+
+def bucketed_queries(rows: DataFrame, frozen: DataFrame, buckets: int = BUCKETS) -> Callable[[int], DataFrame]:
+    """A loader of the frozen rows of a seed: both tables are bucketed by row once, so that no seed moves a cell.
+
+    rows: ROW and what cells have; frozen: frozen_rows() of any number of seeds.
+    """
+    cells, drawn = bucketed(rows, ROW, buckets), bucketed(frozen, ROW, buckets)
+    return lambda seed: cells.join(drawn.where(F.col("seed") == seed).select(*ROW), ROW, "leftsemi")
+
+
 def read_cache(spark: SparkSession, path: str, modality: str, specimens: list[str] | None = None) -> DataFrame:
     """Cached cells; folders of other modalities and specimens are not read."""
     rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(path).where(F.col("modality") == modality)
