@@ -13,12 +13,30 @@ from .contract import ContractError
 
 # Fixed values.
 COLUMNS = {
-    "data": "dataset pair modality specimen_id patient_id visit_id collection_id collection_date visit_order source_path source_sha256 cells_path cells_sha256 labels_path labels_sha256 metadata_source_id metadata_sha256 header_sha256 total_events eligible_events event_selection_rule_id preprocessing_id upstream_label_selection runtime_label_selection claim_scope pair_status excluded exclusion_reason qc_flag",
-    "markers": "dataset direction modality canonical_marker original_channel role analysis_role channel_type marker_order panel_order analysis_order transformation transformation_confidence alias_rule alias_evidence",
-    "splits": "dataset pair evaluation_fold role patient_id specimen_id",
-    "endpoints": "dataset endpoint patient_id visit_id value provenance eligibility reason",
-    "banks": "reference_bank_id dataset pair direction modality evaluation_fold fit_stage included_split_roles seed bank_role patient_id specimen_id row_index_file row_index_sha256 row_index_seed event_count patient_weight specimen_weight event_weight sampling_algorithm row_index_dtype status",
-    "stress": "condition_id dataset factor level seed content_file content_sha256",
+    "data": (
+        "dataset", "pair", "modality", "specimen_id", "patient_id", "visit_id", "collection_id", "collection_date", "visit_order", "source_path",
+        "source_sha256", "cells_path", "cells_sha256", "labels_path", "labels_sha256", "metadata_source_id", "metadata_sha256", "header_sha256",
+        "total_events", "eligible_events", "event_selection_rule_id", "preprocessing_id", "upstream_label_selection", "runtime_label_selection",
+        "claim_scope", "pair_status", "excluded", "exclusion_reason", "qc_flag",
+    ),
+    "markers": (
+        "dataset", "direction", "modality", "canonical_marker", "original_channel", "role", "analysis_role", "channel_type", "marker_order", "panel_order",
+        "analysis_order", "transformation", "transformation_confidence", "alias_rule", "alias_evidence",
+    ),
+    "splits": (
+        "dataset", "pair", "evaluation_fold", "role", "patient_id", "specimen_id",
+    ),
+    "endpoints": (
+        "dataset", "endpoint", "patient_id", "visit_id", "value", "provenance", "eligibility", "reason",
+    ),
+    "banks": (
+        "reference_bank_id", "dataset", "pair", "direction", "modality", "evaluation_fold", "fit_stage", "included_split_roles", "seed", "bank_role",
+        "patient_id", "specimen_id", "row_index_file", "row_index_sha256", "row_index_seed", "event_count", "patient_weight", "specimen_weight",
+        "event_weight", "sampling_algorithm", "row_index_dtype", "status",
+    ),
+    "stress": (
+        "condition_id", "dataset", "factor", "level", "seed", "content_file", "content_sha256",
+    ),
 }
 REFERENCED = {"banks": ("row_index_file", "row_index_sha256"), "stress": ("content_file", "content_sha256")}
 BANK_ROLES = ("target_predictor_bank", "calibration_bank", "null_prior_bank")
@@ -28,8 +46,8 @@ DIGEST = "^[0-9a-f]{64}$"
 def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A manifest's records, all strings, blank where empty; raises on a wrong set of columns or no rows."""
     rows = spark.read.option("header", True).csv(path)
-    if set(rows.columns) != set(COLUMNS[kind].split()):
-        raise ContractError(f"{kind}: columns differ by {sorted(set(rows.columns) ^ set(COLUMNS[kind].split()))}")
+    if set(rows.columns) != set(COLUMNS[kind]):
+        raise ContractError(f"{kind}: columns differ by {sorted(set(rows.columns) ^ set(COLUMNS[kind]))}")
     if rows.isEmpty():
         raise ContractError(f"{kind}: no records")
     return rows.na.fill("")
@@ -200,6 +218,20 @@ def violations(tables: dict[str, DataFrame], n_splits: int) -> DataFrame:
     return _union([*out, *_bank_rules(banks, data, role_of, n_splits)])
 
 
+def stress_violations(stress: DataFrame, data: DataFrame) -> DataFrame:
+    """table, rule, key of what stress conditions break beyond their files (load_index checks those): stricter than a
+    bundle has to be, so violations() does not ask for it."""
+    named = stress.join(data.select(F.col("dataset").alias("d")).distinct(), F.col("dataset") == F.col("d"), "left")
+    rules = {
+        "dataset_unknown": F.col("d").isNotNull(),
+        **{f"{c}_is_blank": F.trim(c) != "" for c in ("condition_id", "factor", "level", "content_file")},
+        "seed_is_no_integer": _integer("seed"),
+        "content_is_no_digest": F.col("content_sha256").rlike(DIGEST),
+    }
+    contents = stress.groupBy("content_file").agg(F.countDistinct("content_sha256").alias("n")).where("n > 1")
+    return _union([*_row_rules(named, "stress", F.col("condition_id"), rules), _twice(stress, "stress", "condition_repeated", ["dataset", "condition_id"]), _found(contents, "stress", "file_of_two_digests", "content_file")])
+
+
 def _bank_rules(banks: DataFrame, data: DataFrame, role_of: DataFrame, n_splits: int) -> list[DataFrame]:
     stage = F.create_map(*(x for s, roles in STAGES.items() for x in (F.lit(s), F.lit(";".join(roles)))))
     allowed = F.element_at(stage, F.col("fit_stage"))

@@ -68,7 +68,12 @@ def label_metrics(rows: DataFrame, groups: list[str], classes: list[str], scores
     groups, class, label, score (one row a cell and class), for average precision. subsets: names of further means of
     average precision over some classes (the probe's).
     """
-    per = class_counts(confusion(rows, groups), groups, classes)
+    return matrix_metrics(confusion(rows, groups), groups, classes, scores, variant, subsets)
+
+
+def matrix_metrics(matrix: DataFrame, groups: list[str], classes: list[str], scores: DataFrame | None = None, variant: str = "biology", subsets: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """label_metrics from a confusion matrix in long form."""
+    per = class_counts(matrix, groups, classes)
     recall, precision = _share(F.col("hits"), F.col("support")), _share(F.col("hits"), F.col("predicted_support"))
     f1 = _share(2.0 * precision * recall, precision + recall)
     if scores is not None:
@@ -99,6 +104,55 @@ def label_metrics(rows: DataFrame, groups: list[str], classes: list[str], scores
     return per, overall
 
 
+RESOLUTIONS = ("fine", "coarse")
+
+
+def _coarse(column: Column, hierarchy: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in hierarchy.items() for x in pair)), column)
+
+
+def rolled_up(matrix: DataFrame, groups: list[str], hierarchy: dict[str, str]) -> DataFrame:
+    """resolution, groups, label, predicted, n: a confusion matrix of fine labels, and the coarse one it adds up to.
+
+    hierarchy: the coarse label of each fine one; labels without one stay in the fine part alone. Cells are counted once:
+    the coarse part is a grouping set over the fine counts.
+    """
+    sides = {c: _coarse(F.col(c), hierarchy).alias(f"__{c}") for c in ("label", "predicted")}
+    both = matrix.select(*groups, "label", "predicted", "n", *sides.values())
+    fine, coarse = [*groups, "label", "predicted"], [*groups, "__label", "__predicted"]
+    rows = both.groupingSets([fine, coarse], *groups, "label", "predicted", "__label", "__predicted").agg(F.sum("n").alias("n"), F.grouping("label").alias("__up"))
+    up = F.col("__up") == 1
+    named = rows.select(F.when(up, RESOLUTIONS[1]).otherwise(RESOLUTIONS[0]).alias("resolution"), *groups, *(F.when(up, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("label", "predicted")), "n")
+    return named.where("resolution = 'fine' or (label is not null and predicted is not null)")
+
+
+def rolled_up_scores(scores: DataFrame, cell: list[str], hierarchy: dict[str, str]) -> DataFrame:
+    """cell, class, label, score of coarse classes: a cell's probability of a coarse class is that of its fine ones together.
+
+    scores: cell (the columns that tell cells apart), class, label, score of fine classes.
+    """
+    placed = scores.select(*cell, _coarse(F.col("class"), hierarchy).alias("class"), _coarse(F.col("label"), hierarchy).alias("label"), "score")
+    return placed.where("class is not null and label is not null").groupBy(*cell, "class", "label").agg(F.sum("score").alias("score"))
+
+
+def resolution_metrics(rows: DataFrame, groups: list[str], hierarchy: dict[str, str], scores: DataFrame | None = None, cell: list[str] | None = None, variant: str = "probe") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(per class, overall, confusion) at both resolutions of rows with fine label and predicted, from one count of them.
+
+    scores: groups, cell, class, label, score of fine classes.
+    """
+    matrix = rolled_up(confusion(rows, groups), groups, hierarchy)
+    per = overall = None
+    for resolution, classes in zip(RESOLUTIONS, (list(hierarchy), sorted(set(hierarchy.values()))), strict=True):
+        own = None
+        if scores is not None:
+            own = scores if resolution == "fine" else rolled_up_scores(scores, [*groups, *(cell or [])], hierarchy)
+            own = own.select(*groups, "class", "label", "score")
+        found = matrix_metrics(matrix.where(F.col("resolution") == resolution).drop("resolution"), groups, classes, own, variant)
+        one, all_ = (f.select(F.lit(resolution).alias("resolution"), "*") for f in found)
+        per, overall = (one, all_) if per is None else (per.unionByName(one), overall.unionByName(all_))
+    return per, overall, matrix
+
+
 def rare_support(rows: DataFrame, labels: list[str], label: str = "cell_type") -> DataFrame:
     """label, cells, specimens, patients of each given label, met or not."""
     found = rows.where(F.col(label).isin(labels)).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("specimen_id").alias("specimens"), F.countDistinct("patient_id").alias("patients"))

@@ -161,3 +161,57 @@ def patient_prefix(patients: list[str], specimens: dict[str, list[str]], count:
         raise ValueError(f"no valid number of patients: {count!r}")
     chosen = nested_subset(patients, len(patients) if count == "all" else count, seed)
     return sorted(s for p in chosen for s in specimens[p])
+
+
+CONDITIONS = ("target_prior", "identity_blind_pooled", "patient_deranged", "patient_matched")
+
+
+def pairing_conditions(target: DataFrame, budget: int, seed: int | str, derangements: int = 2, key: list[str] | None = None) -> DataFrame:
+    """condition, derangement (null where there is none), patient_id, reference_patient, specimen_id, cell_id: the target
+    cells that stand as a patient's reference under each of CONDITIONS, as many for every patient and condition.
+
+    matched: cells of the patient's own; deranged: of another patient, by maps that are frozen by the seed; pooled: one bank
+    of all patients alike, which knows no identity; prior: draws with repeats of a patient, a specimen and a cell, each
+    uniform. Patients with fewer cells than the budget take part in no condition, neither side. target: patient_id,
+    specimen_id, cell_id. The same cells of a patient serve its matched and its deranged rows, so that these differ by
+    the patient alone.
+    """
+    key = key or ["specimen_id", "cell_id"]
+    columns = ["patient_id", *key]
+    enough = target.groupBy("patient_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= budget).select("patient_id")
+    cells = target.select(*columns).join(enough, "patient_id", "leftsemi")
+    own = reservoir(cells, ["patient_id"], budget, key, seed)
+    shape = lambda frame, condition, number, reference: frame.select(F.lit(condition).alias("condition"), number.cast("int").alias("derangement"), "patient_id", reference.alias("reference_patient"), *key)
+    none = F.lit(None)
+    out = shape(own, "patient_matched", none, F.col("patient_id"))
+    theirs = own.withColumnRenamed("patient_id", "wrong_patient")
+    for shift in range(1, derangements + 1):
+        out = out.unionByName(shape(theirs.join(derangement_by_hash(enough, seed, shift), "wrong_patient"), "patient_deranged", F.lit(shift - 1), F.col("wrong_patient")))
+    bank = balanced_bank(cells, "patient_id", budget, key, f"{seed}-pool").withColumnRenamed("patient_id", "reference")
+    out = out.unionByName(shape(bank.crossJoin(F.broadcast(enough)), "identity_blind_pooled", none, F.col("reference")))  # `budget` rows by a row a patient
+    asked = enough.withColumnRenamed("patient_id", "asked").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))))
+    drawn = prior_draw(cells, asked, ["asked", "draw"], f"{seed}-prior", key).withColumnRenamed("patient_id", "reference").withColumnRenamed("asked", "patient_id")
+    return out.unionByName(shape(drawn, "target_prior", none, F.col("reference")))
+
+
+def pairing_violations(rows: DataFrame, target: DataFrame, budget: int, key: list[str] | None = None) -> DataFrame:
+    """rule, condition, patient_id of every broken rule of pairing conditions; no rows for what pairing_conditions makes."""
+    key = key or ["specimen_id", "cell_id"]
+    rule = lambda frame, name: frame.select(F.lit(name).alias("rule"), "condition", "patient_id").distinct()
+    per = rows.groupBy("condition", "derangement", "patient_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("reference_patient").alias("p"), F.sum(F.xxhash64(*key).cast("decimal(38,0)")).alias("sum"))
+    sums = per.where("condition = 'identity_blind_pooled'").agg(F.count_distinct("sum").alias("banks"))
+    lacking = rows.select("condition", "patient_id").distinct().groupBy("patient_id").agg(F.collect_set("condition").alias("have")).where(F.size("have") < len(CONDITIONS))
+    found = [
+        rule(per.where(F.col("n") != budget), "budget_differs"),
+        rule(rows.where("condition = 'patient_matched' and patient_id <> reference_patient"), "matched_to_another_patient"),
+        rule(rows.where("condition = 'patient_deranged' and patient_id = reference_patient"), "deranged_to_itself"),
+        rule(per.where("condition = 'patient_deranged' and p > 1"), "deranged_to_several_patients"),
+        rule(rows.where("condition <> 'target_prior'").groupBy("condition", "derangement", "patient_id", *key).count().where("count > 1"), "cell_repeated"),
+        rule(rows.join(target.select(F.col("patient_id").alias("reference_patient"), *key), ["reference_patient", *key], "leftanti"), "cell_of_no_target"),
+        rule(per.where("condition = 'identity_blind_pooled'").crossJoin(F.broadcast(sums)).where("banks > 1"), "pool_differs_between_patients"),
+        lacking.select(F.lit("condition_missing").alias("rule"), F.array_join("have", "+").alias("condition"), "patient_id"),
+    ]
+    out = found[0]
+    for frame in found[1:]:
+        out = out.unionByName(frame)
+    return out

@@ -7,12 +7,11 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .knn import nearest
+from . import neighbours
 
 
 def gramian(rows: DataFrame, columns: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -109,43 +108,10 @@ def marker_status(rows: DataFrame, low: str = "ci_lower", high: str = "ci_upper"
 
 def neighbourhoods(rows: DataFrame, groups: list[str], key: str, before: list[str], after: list[str], k: int = 15, label: str | None = None) -> DataFrame:
     """groups, n, jaccard (of each cell's k neighbours before and after) and purity (share of `after` neighbours of the
-    cell's label). Groups are specimens of bounded size, sampled before."""
-    names = [*groups, "n", "jaccard", "purity"]
-
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key, kind="stable")
-        first = frame.iloc[:1][groups]
-        if len(frame) <= 2:
-            return first.assign(n=len(frame), jaccard=np.nan, purity=np.nan)[names]
-        kk = min(k, len(frame) - 1)
-        sets = []
-        for columns in (before, after):
-            x = frame[columns].to_numpy(dtype=float)
-            place, _ = nearest(x, x, kk + 1)
-            sets.append([[p for p in row if p != i][:kk] for i, row in enumerate(place)])
-        jaccard = np.mean([len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in zip(*sets, strict=True)])
-        purity = np.nan
-        if label:
-            of = frame[label].to_numpy()
-            purity = np.mean([np.mean(of[b] == of[i]) for i, b in enumerate(sets[1])])
-        return first.assign(n=len(frame), jaccard=jaccard, purity=purity)[names]
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{g}` {types[g]}" for g in groups), "n long, jaccard double, purity double"])
-    return rows.select(*dict.fromkeys([*groups, key, *before, *after, *([label] if label else [])])).groupBy(*groups).applyInPandas(score, schema)
+    cell's label), of groups of any size."""
+    return neighbours.agreement(rows, groups, key, before, after, k, label)
 
 
 def two_sample(rows: DataFrame, groups: list[str], key: str, side: str, features: list[str], k: int = 5) -> DataFrame:
     """groups, n, same_side: mean share of a cell's k neighbours that are of its own side (expected: the sides' shares)."""
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([side, key], kind="stable")
-        x, s = frame[features].to_numpy(dtype=float), frame[side].to_numpy()
-        kk = min(k, len(frame) - 1)
-        if kk < 1:
-            return frame.iloc[:1][groups].assign(n=len(frame), same_side=np.nan)
-        place, _ = nearest(x, x, kk + 1)
-        share = np.mean([np.mean(s[[p for p in row if p != i][:kk]] == s[i]) for i, row in enumerate(place)])
-        return frame.iloc[:1][groups].assign(n=len(frame), same_side=share)
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*dict.fromkeys([*groups, key, side, *features])).groupBy(*groups).applyInPandas(score, ", ".join([*(f"`{g}` {types[g]}" for g in groups), "n long, same_side double"]))
+    return neighbours.mixing(rows, groups, key, side, features, k)

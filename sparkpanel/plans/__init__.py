@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _registry():
-    from . import design_queries, model_queries, registry, screen_queries, statistics_queries  # noqa: F401  their queries register themselves
+    from . import design_queries, manifest_queries, model_queries, panel_queries, registry, screen_queries, source_queries, statistics_queries  # noqa: F401  their queries register themselves
 
     return registry
 

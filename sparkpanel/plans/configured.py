@@ -23,7 +23,7 @@ from ..operators import audit, bootstrap, models, som, splits, summaries
 from ..sources import specimens
 from ..sources.cells import MARKERS, cells
 from ..sources.config import load, write_json
-from . import runs, translation
+from . import runs, saved, translation
 
 KEYS = runs.KEYS
 
@@ -122,7 +122,24 @@ def _sides(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _cross_panel(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    return runs.cross_panel(*_sides(spark, config))
+    """A split's gate and scores; with options.paired_counts its methods and views at each number of paired specimens."""
+    counts = config["options"].get("paired_counts")
+    return runs.cross_panel(*_sides(spark, config)) if counts is None else runs.paired_curve(*_sides(spark, config), list(counts), config["options"].get("k", 50))
+
+
+def _translation(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
+    """Fits a whole translation and saves it below the output folder, for `predict`."""
+    model = saved.Translator.fit(*_sides(spark, config))
+    model.save(f"{config['output']['root']}/{config['experiment']['name']}/fold_{config['experiment']['fold']}/seed_{config['experiment']['seed']}/model")
+    return {"gates": spark.createDataFrame(list(model.gates.items()), "marker string, alpha double")}
+
+
+def predict(spark: SparkSession, path: str | Path, model: str, out: str) -> int:
+    """Predictions of a saved translation for the source cells of a configuration, as Parquet by patient; the rows written."""
+    config = absolute(load(path), path)
+    rows = read_cells(spark, config).where(F.col("modality") == config["options"]["source"])
+    saved.Translator.load(spark, model).predict(rows).write.mode("overwrite").partitionBy("patient_id").parquet(out)
+    return spark.read.parquet(out).count()
 
 
 def _probe(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
@@ -135,7 +152,7 @@ def _literature(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     rows, spec, fold = read_cells(spark, config), _spec(config), config["experiment"]["fold"]
     predicted, scales = runs.predictions(rows, spec, fold)
     held = splits.hashed_folds(rows, spec.n_splits, spec.seed).where((F.col("fold") == fold) & (F.col("role") != "test")).select("specimen_id").distinct()
-    drawn = som.draw(predicted.drop(*(f"predicted_{m}" for m in spec.hidden)), rows.join(F.broadcast(held), "specimen_id", "leftsemi"), spec.observed, spec.hidden, KEYS)
+    drawn = som.draw(predicted.drop(*(f"predicted_{m}" for m in spec.hidden)), rows.join(F.broadcast(held), "specimen_id", "leftsemi"), spec.observed, spec.hidden, ["modality", *KEYS])
     coverage = drawn.groupBy("modality", "specimen_id").agg(F.avg((~F.col("abstained")).cast("double")).alias("coverage"))
     scored = runs.scored(drawn.where("not abstained"), scales, spec)
     return {"markers": scored.withColumns({"representation": F.lit("som"), "method": F.lit("som"), "panel": F.lit(config["options"].get("panel", "panel"))}), "coverage": coverage}
@@ -174,7 +191,7 @@ def _audit(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
 
 
 RUNNERS: dict[str, Callable[[SparkSession, dict], dict[str, DataFrame]]] = {
-    "same_cell": _same_cell, "addback_sweep": _sweep, "cross_panel": _cross_panel, "cell_type_probe": _probe, "literature": _literature, "cache": _cache, "audit": _audit,
+    "same_cell": _same_cell, "addback_sweep": _sweep, "cross_panel": _cross_panel, "translation": _translation, "cell_type_probe": _probe, "literature": _literature, "cache": _cache, "audit": _audit,
 }
 
 
@@ -227,8 +244,7 @@ def summarize(spark: SparkSession, kind: str, root: str, folds: int | None = Non
         rows = rows if "added_marker" in rows.columns else rows.withColumn("added_marker", F.lit(None).cast("string"))
         return {"effects": summaries.paired_effects(summaries.patient_means(rows, ["modality", "panel", "panel_kind", "added_marker", "marker", "patient"], ["skill"]), ["marker"], ["skill"], "base", "upper", replicates)}
     if kind == "paired_curve":
-        curve = results(found, "curve").select("name", "run_fold", "seed", "marker", F.col("alpha").alias("count"), F.col("error").alias("score"))
-        return {"trend": summaries.curve_trend(curve, ["name", "marker"])}
+        return paired_curve_summary(found)
     if kind == "literature":
         rows = results(found, "markers").withColumnRenamed("patient_id", "patient")
         key = ["modality", "panel", "run_fold", "seed"]
@@ -243,9 +259,28 @@ def summarize(spark: SparkSession, kind: str, root: str, folds: int | None = Non
     raise ValueError(f"no such summary: {kind}")
 
 
+def paired_curve_summary(found: DataFrame) -> dict[str, DataFrame]:
+    """Over runs with paired counts, on their stratified view: the score by count, its trend, the least count that beats
+    each method without pairs, and whether the paired specimens of every run are nested. Counts are numbers of specimens.
+    """
+    rows = results(found, "evaluation").where("view = 'stratified'").withColumn("score", F.col("patient_first_w1"))
+    curve = rows.where("method = 'gated'").withColumn("count", F.col("count").cast("int"))
+    runs_of = curve.groupBy("name", "run_fold", "seed").agg(F.sort_array(F.collect_set("count")).alias("counts"))
+    if runs_of.select("counts").distinct().count() != 1:
+        raise ValueError("runs have no or unlike paired counts")
+    baselines = rows.where("method <> 'gated'").select(F.col("method").alias("baseline"), F.col("score").alias("value"))
+    subsets = results(found, "paired").select("name", "run_fold", "seed", F.col("count").cast("int").alias("count"), "specimen_id")
+    return {
+        "curve": summaries.run_means(curve, ["name", "count"], ["score"]),
+        "trend": summaries.curve_trend(curve, ["name"]),
+        "first_below": summaries.first_below(curve, baselines),
+        "nested": summaries.nested(subsets, ["name", "run_fold", "seed"]),
+    }
+
+
 def write_markers(markers: list[str], path: str | Path) -> None:
     """One marker a line."""
     Path(path).write_text("".join(f"{m}\n" for m in markers), encoding="utf-8")
 
 
-__all__ = ["MARKERS", "RUNNERS", "absolute", "audit_tables", "documents", "git_commit", "hardware", "read_cells", "repository_root", "results", "run", "summarize", "write_markers"]
+__all__ = ["MARKERS", "RUNNERS", "absolute", "audit_tables", "documents", "git_commit", "hardware", "predict", "read_cells", "repository_root", "results", "run", "summarize", "write_markers"]

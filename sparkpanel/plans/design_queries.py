@@ -100,8 +100,7 @@ held AS (SELECT fold, patient_id FROM others WHERE k <= least(greatest(1, round_
 SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN tested = fold THEN 'test' WHEN (fold, patient_id) IN (SELECT (fold, patient_id) FROM held) THEN 'validation' ELSE 'train' END AS role, patient_id, specimen_id
 FROM placed JOIN pairs USING (patient_id)""", name="patient_grouped_folds_seeded")
 def patient_grouped_folds_seeded(spark, sf_dir):
-    pairs = {r[1]: r[0] for r in cells(spark, sf_dir).select("patient_id", "specimen_id").distinct().collect()}
-    return splits.split_table(spark, splits.grouped_folds(pairs, 5, 4207, 0.2))
+    return splits.seeded_folds(cells(spark, sf_dir), 5, 4207, 0.2)
 
 
 # ---- neighbours -------------------------------------------------------------------------------------------------
@@ -157,13 +156,20 @@ def ridge_predict(spark, sf_dir):
 
 # ---- names ------------------------------------------------------------------------------------------------------
 CHANNELS = [("spectral_flow", c) for c in ("CD3", " cd 4", "PD1", "FSC-A", "SSC-A", "CCR7", "CD57", "HLA-DR")] + [("cytof", c) for c in ("CD3", "CD279", "CD197", "CD16", "HLA-DR", "CD 4", "AF-A")]
-CHANNEL_SQL = "channels AS (SELECT unnest([" + ", ".join(f"'{m}'" for m, _ in CHANNELS) + "]) AS modality, unnest([" + ", ".join(f"'{c}'" for _, c in CHANNELS) + "]) AS original_channel, unnest(range(" + str(len(CHANNELS)) + """)) AS ordinal),
-tokens AS (SELECT *, replace(upper(trim(original_channel)), ' ', '') AS token FROM channels),
-named AS (SELECT *, CASE WHEN token IN ('PD-1', 'PD1', 'CD279') THEN 'PD-1' WHEN token IN ('CCR7', 'CD197') THEN 'CCR7' ELSE token END AS canonical_marker, token IN ('FSC-A', 'SSC-A', 'SSC-B-A', 'AF-A') AS technical FROM tokens)"""
+N_CHANNELS = len(CHANNELS)
+CHANNEL_SQL = (
+    "measured AS (SELECT p_partkey, p_partkey % " + str(N_CHANNELS) + " AS ordinal, [" + ", ".join(f"'{m}'" for m, _ in CHANNELS) + "][p_partkey % " + str(N_CHANNELS) + " + 1] AS modality, ["
+    + ", ".join(f"'{c}'" for _, c in CHANNELS) + "][p_partkey % " + str(N_CHANNELS) + """ + 1] AS original_channel FROM part),
+tokens AS (SELECT *, replace(upper(trim(original_channel)), ' ', '') AS token FROM measured),
+every AS (SELECT *, CASE WHEN token IN ('PD-1', 'PD1', 'CD279') THEN 'PD-1' WHEN token IN ('CCR7', 'CD197') THEN 'CCR7' ELSE token END AS canonical_marker, token IN ('FSC-A', 'SSC-A', 'SSC-B-A', 'AF-A') AS technical FROM tokens),
+named AS (SELECT DISTINCT modality, original_channel, ordinal, canonical_marker, technical FROM every)"""
+)
 
 
-def _channels(spark) -> DataFrame:
-    return spark.createDataFrame([(m, c, k) for k, (m, c) in enumerate(CHANNELS)], "modality string, original_channel string, ordinal int")
+def _channels(spark, sf_dir) -> DataFrame:
+    """A part is a measured channel: its modality and name go by its key."""
+    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in CHANNELS)), (F.col("p_partkey") % N_CHANNELS + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", pick(0).alias("modality"), pick(1).alias("original_channel"), (F.col("p_partkey") % N_CHANNELS).cast("int").alias("ordinal"))
 
 
 @query(f"""WITH {CHANNEL_SQL}, roles AS (SELECT d.direction, n.modality, n.original_channel, n.canonical_marker, n.ordinal, CASE WHEN technical THEN 'technical' WHEN EXISTS (SELECT 1 FROM named o WHERE o.canonical_marker = n.canonical_marker AND o.modality <> n.modality AND NOT o.technical) THEN 'H'
@@ -171,19 +177,20 @@ def _channels(spark) -> DataFrame:
   FROM named n CROSS JOIN (SELECT unnest(['spectral_flow_to_cytof', 'cytof_to_spectral_flow']) AS direction, unnest(['spectral_flow', 'cytof']) AS source) d)
 SELECT direction, modality, original_channel, canonical_marker, role, CAST(row_number() OVER (PARTITION BY direction, modality, role ORDER BY CASE WHEN role = 'H' THEN lead ELSE ordinal END) - 1 AS INTEGER) AS ordinal FROM roles""")
 def panel_pair_contract(spark, sf_dir):
-    return audit.marker_roles(_channels(spark), "spectral_flow", "cytof")
+    return audit.marker_roles(_channels(spark, sf_dir).drop("p_partkey").distinct(), "spectral_flow", "cytof")
 
 
-@query(f"WITH {CHANNEL_SQL} SELECT modality, original_channel, canonical_marker FROM named WHERE NOT technical")
+@query(f"WITH {CHANNEL_SQL} SELECT p_partkey, modality, original_channel, canonical_marker FROM every WHERE NOT technical")
 def technical_filter(spark, sf_dir):
-    rows = _channels(spark).withColumn("canonical_marker", names.canonical(F.col("original_channel")))
-    return rows.where(~names.is_technical(F.col("original_channel"))).select("modality", "original_channel", "canonical_marker")
+    rows = _channels(spark, sf_dir).withColumn("canonical_marker", names.canonical(F.col("original_channel")))
+    return rows.where(~names.is_technical(F.col("original_channel"))).select("p_partkey", "modality", "original_channel", "canonical_marker")
 
 
 @query(f"""WITH {CHANNEL_SQL} SELECT modality, original_channel, CASE WHEN modality = 'cytof' THEN 'upstream_asinh_x_over_5' WHEN original_channel IN ('SSC-A', 'FSC-A', 'SSC-B-A') THEN 'upstream_linear_divide_600000'
-  WHEN original_channel = 'AF-A' THEN 'upstream_processed_autofluorescence' ELSE 'upstream_asinh_approximately_x_over_6000' END AS transformation FROM named""")
+  WHEN original_channel = 'AF-A' THEN 'upstream_processed_autofluorescence' ELSE 'upstream_asinh_approximately_x_over_6000' END AS transformation, count(*) AS n FROM every GROUP BY ALL""")
 def marker_transformations(spark, sf_dir):
-    return _channels(spark).select("modality", "original_channel", names.transformation(F.col("modality"), F.col("original_channel")).alias("transformation"))
+    rows = _channels(spark, sf_dir)
+    return rows.groupBy("modality", "original_channel", names.transformation(F.col("modality"), F.col("original_channel")).alias("transformation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LABELS = ["Blast cells", " monocyte", "T cell CD4", "t cell dn", "B cell", "NK cell bright", "Debris", "doublet", ""]

@@ -24,6 +24,34 @@ def probe(fit: DataFrame, test: DataFrame, representations: dict[str, list[str]]
     return metrics.label_metrics(rows, ["representation", "patient_id"], classes, scores, variant="probe", subsets={k: v for k, v in subsets.items() if v})
 
 
+def probe_resolutions(fit: DataFrame, test: DataFrame, representations: dict[str, list[str]], label: str, hierarchy: dict[str, str], per_specimen: int = 200, per_label: int = 5_000, seed: int = 4207) -> dict[str, DataFrame]:
+    """per_class, overall and confusion per representation, patient and resolution.
+
+    Three classifications are scored: fine, by a classifier of fine labels; coarse, by one of coarse labels; and
+    coarse_from_fine, the fine one rolled up. label: the column of fine labels; hierarchy: fine to coarse.
+    """
+    coarse = metrics._coarse(F.col(label), hierarchy)
+    known = [rows.where(coarse.isNotNull()).withColumn("__coarse", coarse) for rows in (fit, test)]
+    groups = ["representation", "patient_id"]
+    tables: dict[str, list[DataFrame]] = {"per_class": [], "overall": [], "confusion": []}
+
+    def add(found: tuple, names: dict[str, str]) -> None:
+        for kind, frame in zip(tables, found, strict=True):
+            tables[kind].append(frame.where(F.col("resolution").isin(list(names))).replace(names, subset=["resolution"]))
+
+    for column, scheme, names in ((label, hierarchy, {"fine": "fine", "coarse": "coarse_from_fine"}), ("__coarse", {c: c for c in sorted(set(hierarchy.values()))}, {"fine": "coarse"})):
+        train = sampling.probe_rows(known[0], "specimen_id", column, per_specimen, per_label, ["specimen_id", "cell_id"], seed)
+        classes, rows, scores = list(scheme), None, None
+        for name, features in representations.items():
+            out = models.fit_classifier(train, features, column, classes).predict(known[1]).select(F.lit(name).alias("representation"), "patient_id", "specimen_id", "cell_id", F.col(column).alias("label"), "predicted", "probabilities")
+            pairs = F.explode(F.arrays_zip(F.array(*(F.lit(c) for c in classes)).alias("class"), F.col("probabilities").alias("score")))
+            one = out.select(*groups, "specimen_id", "cell_id", "label", pairs.alias("x")).select(*groups, "specimen_id", "cell_id", "label", F.col("x.class").alias("class"), F.col("x.score").alias("score"))
+            rows = out.drop("probabilities") if rows is None else rows.unionByName(out.drop("probabilities"))
+            scores = one if scores is None else scores.unionByName(one)
+        add(metrics.resolution_metrics(rows, groups, scheme, scores, ["specimen_id", "cell_id"]), names)
+    return {kind: frames[0].unionByName(frames[1]) for kind, frames in tables.items()}
+
+
 def in_order(tables: list[DataFrame]) -> DataFrame:
     """Results of shared and paired representations in the fixed order of representations."""
     out = tables[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import screen
+from ..operators import neighbours, screen
 from ..sources.cells import CELLS_SQL, LONG_SQL, cells, long, read
 from . import probe, runs
 from .registry import query
@@ -54,16 +54,40 @@ def subset_skill(spark, sf_dir):
     return screen.subset_skill(rows.where("modality = 'O'"), rows.where("modality = 'F'"), ["quantity", "discount", "tax"], ["extendedprice"])
 
 
-@query()
+NEAR = """SELECT q.{g}, q.cell_id, b.cell_id AS near, {extra} FROM {table} q JOIN {table} b ON {on} AND q.cell_id <> b.cell_id
+  QUALIFY row_number() OVER (PARTITION BY {part}, q.cell_id ORDER BY {d}, b.cell_id) <= {k}"""
+
+
+def near_sql(features: list[str], k: int, groups: tuple[str, ...], extra: str, table: str = "cells") -> str:
+    return NEAR.format(table=table, g=", q.".join(groups), extra=extra, on=" AND ".join(f"q.{g} = b.{g}" for g in groups), part=", ".join(f"q.{g}" for g in groups), d=" + ".join(f"(q.{f} - b.{f}) * (q.{f} - b.{f})" for f in features), k=k)
+
+
+BOTH = ("modality", "specimen_id")
+
+
+@query(f"""WITH {CELLS_SQL}, x AS ({near_sql(["quantity", "discount", "tax"], 10, BOTH, "1 AS one")}), y AS ({near_sql(["quantity", "discount"], 10, BOTH, "CASE WHEN q.cell_type = b.cell_type THEN 1.0 ELSE 0.0 END AS own")}),
+j AS (SELECT modality, specimen_id, cell_id, count(*) FILTER (one IS NOT NULL AND own IS NOT NULL) / count(*) AS j, avg(own) AS p FROM x FULL JOIN y USING (modality, specimen_id, cell_id, near) GROUP BY ALL),
+s AS (SELECT modality, specimen_id, count(*) AS n FROM cells GROUP BY ALL)
+SELECT s.modality, s.specimen_id, any_value(n) AS n, round(CASE WHEN any_value(n) > 2 THEN avg(j) END, 12) AS jaccard, round(CASE WHEN any_value(n) > 2 THEN avg(p) END, 12) AS purity FROM s LEFT JOIN j ON s.modality = j.modality AND s.specimen_id = j.specimen_id GROUP BY ALL""")
 def neighbourhood_agreement(spark, sf_dir):
-    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=50_000))
-    return screen.neighbourhoods(rows, ["modality", "specimen_id"], "cell_id", ["quantity", "discount", "tax"], ["quantity", "discount"], k=10, label="cell_type")
+    out = screen.neighbourhoods(cells(spark, sf_dir), list(BOTH), "cell_id", ["quantity", "discount", "tax"], ["quantity", "discount"], k=10, label="cell_type")
+    return rounded(out, "jaccard", "purity", digits=12)  # means of simple fractions may end in a five
 
 
-@query()
+@query(f"""WITH {CELLS_SQL}, named AS (SELECT * REPLACE (modality || '-' || cell_id AS cell_id) FROM cells), x AS ({near_sql(["quantity", "discount", "tax"], 5, ("specimen_id",), "CASE WHEN q.modality = b.modality THEN 1.0 ELSE 0.0 END AS own", "named")}),
+c AS (SELECT specimen_id, cell_id, avg(own) AS p FROM x GROUP BY ALL), s AS (SELECT specimen_id, count(*) AS n FROM cells GROUP BY specimen_id)
+SELECT s.specimen_id, any_value(n) AS n, round(avg(p), 12) AS same_side FROM s LEFT JOIN c USING (specimen_id) GROUP BY s.specimen_id""")
 def neighbour_two_sample(spark, sf_dir):
-    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=50_000))
-    return screen.two_sample(rows, ["specimen_id"], "cell_id", "modality", ["quantity", "discount", "tax"])
+    rows = cells(spark, sf_dir).withColumn("cell_id", F.concat_ws("-", "modality", "cell_id"))  # a name over both modalities
+    return rounded(screen.two_sample(rows, ["specimen_id"], "cell_id", "modality", ["quantity", "discount", "tax"]), "same_side", digits=12)
+
+
+@query(f"""WITH {CELLS_SQL}, d AS (SELECT q.modality, q.specimen_id, q.cell_id, {" + ".join(f"(q.{f} - b.{f}) * (q.{f} - b.{f})" for f in ("quantity", "discount", "tax"))} AS d2 FROM cells q JOIN cells b ON q.modality = b.modality AND q.specimen_id = b.specimen_id AND q.cell_id <> b.cell_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY modality, specimen_id, cell_id ORDER BY d2) AS k FROM d)
+SELECT modality, specimen_id, cell_id, round(sqrt(max(d2)), 6) AS radius FROM k WHERE k <= 15 GROUP BY ALL""")
+def local_density(spark, sf_dir):
+    """The distance of each cell's fifteenth nearest cell of its specimen and modality."""
+    return rounded(neighbours.density(cells(spark, sf_dir), list(BOTH), "cell_id", ["quantity", "discount", "tax"], 15), "radius")
 
 
 @query()

@@ -175,6 +175,27 @@ def population_metrics_patient_first(spark, sf_dir):
     return rounded(distance.population_metrics(_sides(rows), _target_scales(rows)), "patient_first_w1", "patient_first_median_error", "macro_marker_median_spearman")
 
 
+POINTS_SQL = f"""{SCALE_SQL}, sided AS (SELECT *, CASE WHEN modality = 'O' THEN 0 ELSE 1 END AS side, 1.0::DOUBLE AS w FROM long), points AS (
+  SELECT 'stratified' AS view, patient_id, specimen_id, cell_type, marker, value, side, w FROM sided UNION ALL SELECT 'unstratified', patient_id, specimen_id, 'All', marker, value, side, w FROM sided
+  UNION ALL SELECT 'pooled', 'pooled', 'pooled', cell_type, marker, value, side, w FROM sided UNION ALL SELECT 'pooled_unstratified', 'pooled', 'pooled', 'All', marker, value, side, w FROM sided)"""
+
+
+@query(f"""WITH {LONG_SQL}, {POINTS_SQL}, {W1_SQL.format(g="view, patient_id, specimen_id, cell_type, marker")}, per AS (
+  SELECT view, patient_id, specimen_id, cell_type, marker, median(value) FILTER (side = 0) AS pm, median(value) FILTER (side = 1) AS tm FROM points
+  GROUP BY ALL HAVING count(*) FILTER (side = 0) >= 5 AND count(*) FILTER (side = 1) >= 5
+), strata AS (SELECT view, patient_id, specimen_id, cell_type, marker, pm, tm, distance / scale AS w1, abs(pm - tm) / scale AS me FROM per JOIN w1 USING (view, patient_id, specimen_id, cell_type, marker) JOIN scales USING (marker)),
+a AS (SELECT view, patient_id, specimen_id, cell_type, avg(w1) AS w1, avg(me) AS me FROM strata GROUP BY ALL), b AS (SELECT view, patient_id, specimen_id, avg(w1) AS w1, avg(me) AS me, count(*) AS n FROM a GROUP BY ALL),
+c AS (SELECT view, patient_id, avg(w1) AS w1, avg(me) AS me, count(*) AS s, sum(n) AS n FROM b GROUP BY ALL),
+r AS (SELECT view, marker, rank() OVER (PARTITION BY view, marker ORDER BY pm) + (count(*) OVER (PARTITION BY view, marker, pm) - 1) / 2 AS x, rank() OVER (PARTITION BY view, marker ORDER BY tm) + (count(*) OVER (PARTITION BY view, marker, tm) - 1) / 2 AS y, pm, tm FROM strata),
+rho AS (SELECT view, avg(rho) AS rho FROM (SELECT view, marker, CASE WHEN min(pm) < max(pm) AND min(tm) < max(tm) THEN corr(x, y) END AS rho FROM r GROUP BY view, marker) GROUP BY view)
+SELECT view, round(avg(w1), 6) AS patient_first_w1, round(avg(me), 6) AS patient_first_median_error, round(any_value(rho), 6) AS macro_marker_median_spearman, CAST(sum(s) AS BIGINT) AS n_specimens, count(*) AS n_patients, CAST(sum(n) AS BIGINT) AS n_strata
+FROM c JOIN rho USING (view) GROUP BY view""")
+def evaluation_views(spark, sf_dir):
+    """Population metrics by specimen and label, without labels, pooled, and both, from one count of the cells."""
+    rows = long(cells(spark, sf_dir))
+    return rounded(distance.evaluation_views(_sides(rows), _target_scales(rows)), "patient_first_w1", "patient_first_median_error", "macro_marker_median_spearman")
+
+
 SPEARMAN_SQL = """r AS (SELECT {g}, {a}, {b}, rank() OVER (PARTITION BY {g} ORDER BY {a}) + (count(*) OVER (PARTITION BY {g}, {a}) - 1) / 2 AS x,
   rank() OVER (PARTITION BY {g} ORDER BY {b}) + (count(*) OVER (PARTITION BY {g}, {b}) - 1) / 2 AS y FROM {t}),
 rho AS (SELECT {g}, CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN corr(x, y) END AS spearman FROM r GROUP BY {g})"""

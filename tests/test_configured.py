@@ -88,11 +88,37 @@ def test_cross_panel_document(spark, tables, tmp_path):
     configured.run(spark, config(tmp_path, tables, "cross_panel", CROSS, "cross"))
     found = configured.documents(spark, str(tmp_path / "out"))
     assert configured.results(found, "gates").count() == 1 and configured.results(found, "gated").first().n_patients > 0
-    assert configured.summarize(spark, "paired_curve", str(tmp_path / "out"))["trend"].count() == 1
+
+
+def test_paired_counts_and_their_summary(spark, tables, tmp_path):
+    """Counts are numbers of paired specimens, and not the gate's values."""
+    path = config(tmp_path, tables, "cross_panel", {**CROSS, "paired_counts": [0, 2, 4], "k": 5}, "curve")
+    for fold in (0, 1):
+        configured.run(spark, path, fold=fold)
+    found = configured.summarize(spark, "paired_curve", str(tmp_path / "out"), folds=2)
+    curve = {r["count"]: r for r in found["curve"].collect()}
+    assert set(curve) == {0, 2, 4} and all(r.n_runs == 2 for r in curve.values())
+    trend = found["trend"].first()
+    gain = [curve[0].score_mean - curve[c].score_mean for c in (0, 2, 4)]
+    assert trend.raw_slope == pytest.approx(np.polyfit([0, 2, 4], gain, 1)[0], abs=1e-9)
+    assert all(r.nested for r in found["nested"].collect()) and found["first_below"].count() == 4
+    configured.run(spark, config(tmp_path, tables, "cross_panel", {**CROSS, "paired_counts": [0, 1], "k": 5}, "other"))
+    with pytest.raises(ValueError, match="unlike paired counts"):
+        configured.summarize(spark, "paired_curve", str(tmp_path / "out"))
+
+
+def test_fit_save_and_predict_by_command(spark, tables, tmp_path, capsys):
+    path = config(tmp_path, tables, "translation", CROSS, "fit")
+    assert main(["run", str(path), "--fold", "1"]) == 0
+    model = f"{tmp_path}/out/fit/fold_1/seed_4207/model"
+    assert main(["predict", str(path), model, f"{tmp_path}/predicted"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["rows"] == 800
+    rows = spark.read.parquet(f"{tmp_path}/predicted")
+    assert rows.count() == 800 and rows.where("predicted_extendedprice is null").count() == 0
 
 
 def test_manifest_index(spark, tmp_path):
-    header = manifests.COLUMNS["splits"].split()
+    header = manifests.COLUMNS["splits"]
     records = tmp_path / "records.csv"
     records.write_text(",".join(header) + "\n" + ",".join("x" for _ in header) + "\n")
 
@@ -118,7 +144,7 @@ def test_manifest_index(spark, tmp_path):
 
 
 def test_index_of_files(spark, tmp_path):
-    header = manifests.COLUMNS["stress"].split()
+    header = manifests.COLUMNS["stress"]
     content = tmp_path / "c.bin"
     content.write_bytes(b"abc")
     row = {"content_file": "c.bin", "content_sha256": hashlib.sha256(b"abc").hexdigest()}

@@ -155,7 +155,7 @@ def test_methods(spark):
 def bundle():
     sha = "c" * 64
     people = [("R1_1", "R1"), ("R1_2", "R1"), ("R2_1", "R2"), ("R3_1", "R3")]
-    blank = lambda kind, **values: {**dict.fromkeys(manifests.COLUMNS[kind].split(), "x"), **values}
+    blank = lambda kind, **values: {**dict.fromkeys(manifests.COLUMNS[kind], "x"), **values}
     data = [blank("data", dataset="d", modality=m, specimen_id=s, patient_id=p, collection_date="2020-01-02", visit_order="1", source_path="c", cells_path="c", total_events="20", eligible_events="10", excluded="false", exclusion_reason="", upstream_label_selection="true", runtime_label_selection="false", **{f"{k}_sha256": sha for k in ("source", "cells", "labels", "metadata", "header")}) for m in ("a", "b") for s, p in people]
     role = lambda f, p: ("test", "validation", "train")[(int(p[1]) - 1 + f) % 3]
     splits = [blank("splits", dataset="d", pair="ab", evaluation_fold=str(f), role=role(f, p), patient_id=p, specimen_id=s) for f in range(3) for s, p in people]
@@ -174,7 +174,7 @@ def bundle():
 
 
 def tables(spark, content):
-    return {k: spark.createDataFrame([tuple(r[c] for c in manifests.COLUMNS[k].split()) for r in rows], ", ".join(f"{c} string" for c in manifests.COLUMNS[k].split())) for k, rows in content.items()}
+    return {k: spark.createDataFrame([tuple(r[c] for c in manifests.COLUMNS[k]) for r in rows], ", ".join(f"{c} string" for c in manifests.COLUMNS[k])) for k, rows in content.items()}
 
 
 def test_manifest_bundle(spark, tmp_path):
