@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,6 +200,18 @@ def anchor_places(rule: Rule, anchor: np.ndarray, content: list[bytes]) -> Place
     return Places(raw, at, unit[some], position[some], low[some], high[some])
 
 
+def _contexts(tokens: np.ndarray, base: np.ndarray, before: np.ndarray, after: np.ndarray, ahead: int, back: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens from each place on, and those before it going backwards, as bytes; zero beyond the place's unit, which
+    has so many tokens before and after it. Read through a sliding view: a place takes its own bytes and no index."""
+    size = tokens.shape[1]
+    padded = np.concatenate([np.zeros((back, size), np.uint8), tokens, np.zeros((ahead, size), np.uint8)])
+    right = np.moveaxis(sliding_window_view(padded, ahead, axis=0)[base + back], 1, 2)
+    right[np.arange(ahead)[None] >= after[:, None]] = 0
+    left = np.moveaxis(sliding_window_view(padded, back, axis=0)[base], 1, 2)[:, ::-1]
+    left[np.arange(back)[None] >= before[:, None]] = 0
+    return right.reshape(len(base), -1), left.reshape(len(base), -1)
+
+
 def repeated_windows(rule: Rule, seed: np.ndarray, anchor: np.ndarray, weight: np.ndarray, content: list[bytes]) -> list[list[tuple[int, int]]]:
     """For each unit the runs (first, last) of its windows that repeat among the units of its seed.
 
@@ -215,11 +228,7 @@ def repeated_windows(rule: Rule, seed: np.ndarray, anchor: np.ndarray, weight: n
     base, end = (at[unit] + position).astype(np.int32), at[unit] + lengths[unit]
     tokens = rule.compared(raw)
     size = tokens.shape[1]
-    step = np.arange(rule.window, dtype=np.int32)
-    places = base[:, None] + step
-    right = np.where((places < end[:, None])[..., None], tokens[np.minimum(places, len(tokens) - 1)], 0).astype(np.uint8).reshape(len(unit), -1)
-    places = base[:, None] - 1 - step[: max(reach - 1, 1)]
-    left = np.where((places >= at[unit][:, None])[..., None], tokens[np.maximum(places, 0)], 0).astype(np.uint8).reshape(len(unit), -1)
+    right, left = _contexts(tokens, base, base - at[unit], end - base, rule.window, max(reach - 1, 1))
     (ro, rs), (lo, ls) = deep_shallow(bucket, right), deep_shallow(bucket, left)
     rs, ls = rs // size, ls // size  # -1 stays below zero
     rank_r, rank_l = np.empty(len(unit), dtype=np.int64), np.empty(len(unit), dtype=np.int64)
@@ -245,6 +254,22 @@ def repeated_windows(rule: Rule, seed: np.ndarray, anchor: np.ndarray, weight: n
     return out
 
 
+PLACES = 1 << 14  # of anchors that are ordered together
+
+
+def _pieces(rule: Rule, seed: np.ndarray, anchor: np.ndarray, content: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of whole seeds with at most so many places of anchors together; a seed with more is a run of its own. In text
+    of a short period a unit has its anchor at many places, so that bytes alone bound nothing."""
+    places = np.r_[0, np.cumsum(np.bincount(anchor_places(rule, anchor, content).unit, minlength=len(seed)))]
+    heads = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
+    a = 0
+    for k, b in enumerate(np.r_[heads[1:], len(seed)].tolist()):
+        if places[b] - places[a] > PLACES and heads[k] > a:
+            yield a, int(heads[k])
+            a = int(heads[k])
+    yield a, len(seed)
+
+
 def _decide(rule: Rule, most: int = 2 << 20):
     """Runs repeated_windows over whole seeds; input is sorted by seed within a partition."""
 
@@ -255,7 +280,8 @@ def _decide(rule: Rule, most: int = 2 << 20):
         def solve(rows: pa.Table) -> pa.RecordBatch:
             seed, anchor = (rows.column(c).to_numpy().astype(np.int64) for c in ("seed", "anchor"))
             weight, base = rows.column("doc_id" if rule.earlier else "n").to_numpy(), rows.column("base").to_numpy()
-            runs = repeated_windows(rule, seed, anchor, weight, rows.column("content").to_pylist())
+            content = rows.column("content").to_pylist()
+            runs = [r for a, b in _pieces(rule, seed, anchor, content) for r in repeated_windows(rule, seed[a:b], anchor[a:b], weight[a:b], content[a:b])]
             which = [k for k, r in enumerate(runs) if r]
             pick = lambda c: pa.array(rows.column(c).to_numpy()[which].astype(np.int64))
             sides = [pa.array([[x[s] + int(base[k]) for x in runs[k]] for k in which], pa.list_(pa.int32())) for s in (0, 1)]
