@@ -19,19 +19,26 @@ CHUNK_BYTES = 32 << 20
 
 
 def nearest(query: np.ndarray, bank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest bank rows of each query, nearest first; the bank's order breaks ties."""
+    """Places and distances of the k nearest bank rows of each query, nearest first; the bank's order breaks ties.
+
+    Products find the candidates: all rows whose squared distance, by the square of norms less the product, lies within
+    rounding of the k-th. Their distances are then summed component by component, and these alone decide.
+    """
     k = min(k, len(bank))
-    step = max(1, CHUNK_BYTES // (8 * max(1, bank.size)))
+    step = max(1, CHUNK_BYTES // (16 * max(1, len(bank))))
     places, distances = np.empty((len(query), k), dtype=np.int64), np.empty((len(query), k))
+    own = (bank**2).sum(axis=1)
     for a in range(0, len(query), step):
-        d2 = np.zeros((len(query[a : a + step]), len(bank)))
-        for j in range(bank.shape[1]):
-            d2 += (query[a : a + step, j, None] - bank[None, :, j]) ** 2
-        bar = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        for i, row in enumerate(d2):
-            near = np.flatnonzero(row <= bar[i])
-            near = near[np.argsort(row[near], kind="stable")][:k]
-            places[a + i], distances[a + i] = near, np.sqrt(row[near])
+        part = query[a : a + step]
+        norms = (part**2).sum(axis=1)
+        about = norms[:, None] + own - 2 * (part @ bank.T)
+        slack = 8 * (bank.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(norms) + np.sqrt(own.max(initial=0.0))) ** 2
+        bars = np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * slack
+        for i, row in enumerate(about):
+            near = np.flatnonzero(row <= bars[i])
+            d2 = np.add.accumulate((part[i] - bank[near]) ** 2, axis=1)[:, -1]
+            order = np.argsort(d2, kind="stable")[:k]
+            places[a + i], distances[a + i] = near[order], np.sqrt(d2[order])
     return places, distances
 
 

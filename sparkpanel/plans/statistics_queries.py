@@ -188,12 +188,13 @@ a AS (SELECT view, patient_id, specimen_id, cell_type, avg(w1) AS w1, avg(me) AS
 c AS (SELECT view, patient_id, avg(w1) AS w1, avg(me) AS me, count(*) AS s, sum(n) AS n FROM b GROUP BY ALL),
 r AS (SELECT view, marker, rank() OVER (PARTITION BY view, marker ORDER BY pm) + (count(*) OVER (PARTITION BY view, marker, pm) - 1) / 2 AS x, rank() OVER (PARTITION BY view, marker ORDER BY tm) + (count(*) OVER (PARTITION BY view, marker, tm) - 1) / 2 AS y, pm, tm FROM strata),
 rho AS (SELECT view, avg(rho) AS rho FROM (SELECT view, marker, CASE WHEN min(pm) < max(pm) AND min(tm) < max(tm) THEN corr(x, y) END AS rho FROM r GROUP BY view, marker) GROUP BY view)
-SELECT view, round(avg(w1), 6) AS patient_first_w1, round(avg(me), 6) AS patient_first_median_error, round(any_value(rho), 6) AS macro_marker_median_spearman, CAST(sum(s) AS BIGINT) AS n_specimens, count(*) AS n_patients, CAST(sum(n) AS BIGINT) AS n_strata
+SELECT view, round(avg(w1), 6) AS patient_first_w1, round(avg(me), 6) AS patient_first_median_error, round(any_value(rho), 6) + 0.0 AS macro_marker_median_spearman, CAST(sum(s) AS BIGINT) AS n_specimens, count(*) AS n_patients, CAST(sum(n) AS BIGINT) AS n_strata
 FROM c JOIN rho USING (view) GROUP BY view""")
 def evaluation_views(spark, sf_dir):
     """Population metrics by specimen and label, without labels, pooled, and both, from one count of the cells."""
     rows = long(cells(spark, sf_dir))
-    return rounded(distance.evaluation_views(_sides(rows), _target_scales(rows)), "patient_first_w1", "patient_first_median_error", "macro_marker_median_spearman")
+    out = rounded(distance.evaluation_views(_sides(rows), _target_scales(rows)), "patient_first_w1", "patient_first_median_error", "macro_marker_median_spearman")
+    return out.withColumn("macro_marker_median_spearman", F.col("macro_marker_median_spearman") + 0.0)  # of few strata it may be zero, of either sign
 
 
 SPEARMAN_SQL = """r AS (SELECT {g}, {a}, {b}, rank() OVER (PARTITION BY {g} ORDER BY {a}) + (count(*) OVER (PARTITION BY {g}, {a}) - 1) / 2 AS x,
