@@ -1,6 +1,6 @@
 """Optional streaming front: specimen label events arrive as files and feed the same tables as batch reads.
 
-Counts per window and label tolerate late rows up to a watermark; balances (latest visit of a patient) keep state per key.
+Counts per window and label tolerate late rows up to a watermark. What keeps state between runs is a job (jobs/specimen_bank.py).
 """
 
 from __future__ import annotations

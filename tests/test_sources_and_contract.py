@@ -245,7 +245,7 @@ def test_plans(spark, tmp_path):
 
 
 def test_entry_points_with_and_without_text_operators(tmp_path):
-    for name in ("__spark_entry__.py", "sparkpanel", "corpus_pipeline.py"):
+    for name in ("__spark_entry__.py", "sparkpanel", "jobs", "corpus_pipeline.py"):
         source = f"{ROOT}/{name}"
         if os.path.isdir(source):
             shutil.copytree(source, f"{tmp_path}/{name}")
