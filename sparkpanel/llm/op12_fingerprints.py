@@ -7,13 +7,13 @@ sets (standard error at most 0.045). Bands of full signature values are joined i
 verified by exact Jaccard similarity (near.py): near_class is the least doc_id that a document reaches over links of
 similarity SIMILAR or more.
 
-Documents go once, by ranges of doc_id, to sorted partitions. A document's successor is the next row there; the first
+Documents go once, compressed and by ranges of doc_id, to sorted partitions. A document's successor is the next row there; the first
 document of a range is copied to the range before it (that of the first range to the last), one row a range.
 
 Defined results: null text is the empty text; words are [^\\x20\\x09-\\x0D]+ and keep their case; fewer words than a
 shingle make one shingle; a text without words has all ones, is equal to others like it and unlike all else; rows
 without doc_id have no place in the order and are left out; rows that share a doc_id follow each other by a hash of
-their text and then the text, and one class is made of what any of them links to; the only row of a table is its own
+their text, and one class is made of what any of them links to; the only row of a table is its own
 successor; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,6 +24,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -73,6 +74,13 @@ class Printed:
         return (self.doc_id, len(self.text), sha256(raw).hexdigest(), self.pieces.tobytes().hex(), other.tobytes().hex(), likeness(self.pieces, other), likeness(self.pieces, following.pieces), self.near_class)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = pa.array([squeeze(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), packed], names=["doc_id", "mark", "packed"])
+
+
 def _successive(words: int):
     names = [field.split()[0] for field in RESULT.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
@@ -81,17 +89,18 @@ def _successive(words: int):
         """Rows come sorted by range, copies from the next range last, and then in order; a row without text brings the
         class of the document that follows it."""
         part, before, near_class = None, None, (None, None)
+        opened = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for at, extra, doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("part", "extra", "doc_id", "text", "near_class")), strict=True):
+            for at, extra, doc_id, packed, found in zip(*(batch.column(c).to_pylist() for c in ("part", "extra", "doc_id", "packed", "near_class")), strict=True):
                 if at != part:
                     part, before = at, None
                 elif extra and before is None:
                     continue  # the successor of this range is known
-                if text is None:
+                if packed is None:
                     near_class = doc_id, found
                     continue
-                here = Printed(doc_id, text, words, near_class[1] if near_class[0] == doc_id else None)
+                here = Printed(doc_id, opened(packed).decode(), words, near_class[1] if near_class[0] == doc_id else None)
                 if before is not None:
                     rows.append(before.row(here, words))
                 before = None if extra else here
@@ -114,18 +123,18 @@ def in_order(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     def dealt(frame: DataFrame, *columns: str) -> DataFrame:
         return ranges.transform(frame.withColumn("__at", F.col("doc_id").cast("double"))).select("doc_id", *columns, F.col("__part").cast("int").alias("part"))
 
-    texts = dealt(docs, "text")
-    firsts = texts.groupBy("part").agg(F.min("doc_id").alias("first"))  # a row a range
+    firsts = dealt(docs).groupBy("part").agg(F.min("doc_id").alias("first"))  # a row a range
     order = W.orderBy("part")
     last = F.max("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     firsts = firsts.select("first", F.coalesce(F.lag("part").over(order), last).alias("before"))
-    copied = texts.join(F.broadcast(firsts), F.col("doc_id") == F.col("first"), "left")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_packed, "doc_id long, mark long, packed binary")
+    copied = dealt(texts, "mark", "packed").join(F.broadcast(firsts), F.col("doc_id") == F.col("first"), "left")
     own = F.struct("part", F.lit(False).alias("extra"))
     to = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("extra"))))
-    rows = copied.select("doc_id", "text", F.lit(None).cast("long").alias("near_class"), F.explode(to).alias("to")).select("to.part", "to.extra", "doc_id", "text", "near_class")
+    rows = copied.select("doc_id", "mark", "packed", F.lit(None).cast("long").alias("near_class"), F.explode(to).alias("to")).select("to.part", "to.extra", "doc_id", "mark", "packed", "near_class")
     if classes is not None:
-        rows = rows.unionByName(dealt(classes, "near_class").select("part", F.lit(False).alias("extra"), "doc_id", F.lit(None).cast("string").alias("text"), "near_class"))
-    return rows.repartitionById(len(splits) - 1, "part").sortWithinPartitions("part", "extra", "doc_id", F.col("text").isNotNull(), F.xxhash64("text"), "text")
+        rows = rows.unionByName(dealt(classes, "near_class").select("part", F.lit(False).alias("extra"), "doc_id", F.lit(None).cast("long").alias("mark"), F.lit(None).cast("binary").alias("packed"), "near_class"))
+    return rows.repartitionById(len(splits) - 1, "part").sortWithinPartitions("part", "extra", "doc_id", F.col("packed").isNotNull(), "mark", "packed")
 
 
 def fingerprints(docs: DataFrame, classes: DataFrame | None = None, words: int = WORDS) -> DataFrame:
