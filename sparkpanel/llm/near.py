@@ -24,6 +24,7 @@ from .repeats import _not_null
 U = np.uint64
 BLOCK = 4096  # texts of a block
 BLOCK_BYTES = 8 << 20  # and their bytes
+FEW = 500_000  # candidates (of some 40 bytes) that are sent to the texts
 STRIP = 512  # codes that are permuted at a time
 
 
@@ -188,6 +189,8 @@ def near_copies(
     sized = candidates.join(nodes.select("code", "least", "size"), F.col("node") == F.col("code"))
     large = sized.groupBy(F.col("root").alias("top")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_BYTES)).alias("blocks"))
     asked = sized.join(large, F.col("root") == F.col("top")).select("code", "root", F.col("least").alias("id"), "blocks")
+    if candidates.count() <= FEW:
+        asked = F.broadcast(asked)  # of checked size; beyond it, texts move to their candidates
     asked = docs.join(asked, F.col("doc_id") == F.col("id")).withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = asked.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "code", "text")
     edges = dealt.repartition("leaf").sortWithinPartitions("leaf", "code").mapInArrow(_verified(words, fold, least), "u long, v long")
