@@ -22,7 +22,7 @@ from ..functions.names import coarse_label
 from ..operators import audit, bootstrap, models, som, splits, summaries
 from ..sources import specimens
 from ..sources.cells import MARKERS, cells
-from ..sources.config import load, write_json
+from ..sources.config import load, write_json, write_splits
 from . import runs, saved, translation
 
 KEYS = runs.KEYS
@@ -180,14 +180,67 @@ def audit_tables(rows: DataFrame, least: int, low: int, n_splits: int, seed: int
     return {"specimens": pairing, "modalities": audit.modality_rollup(events, pairing), "labels": labels, "splits": folds, "violations": splits.violations(folds, n_splits)}
 
 
+def read_annotations(spark: SparkSession, sources: dict[str, str], endpoints: list[str]) -> DataFrame:
+    """source, specimen_id, endpoint, value of annotation tables, by name of the source: CSV files with specimen_id and a
+    column an endpoint; an endpoint that a source lacks has no rows of it."""
+    out = None
+    for name, path in sources.items():
+        table = spark.read.option("header", True).csv(path)
+        held = [e for e in endpoints if e in table.columns]
+        part = table.select(F.trim("specimen_id").alias("specimen_id"), *held).unpivot(["specimen_id"], held, "endpoint", "value")
+        part = part.select(F.lit(name).alias("source"), "specimen_id", "endpoint", F.trim("value").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def endpoint_tables(annotations: DataFrame, specimens_: DataFrame, folds: DataFrame, options: dict) -> dict[str, DataFrame]:
+    """endpoint_records, endpoint_support (with eligibility) and endpoint_conflicts: values that sources or specimens of a
+    patient disagree about, and specimens that a source names twice."""
+    positive, negative = options.get("positive", "1"), options.get("negative", "0")
+    found = audit.reconcile(annotations, specimens_, options["names"])
+    status = audit.patient_status(found)
+    support = audit.endpoint_support(status, folds, positive, negative)
+    eligible = audit.endpoint_eligibility(support, status, positive, negative, options.get("least_total", 10), options.get("least_test", 1))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    no = lambda c: F.lit(None).cast("string").alias(c)
+    clashes = found.where(F.col("value") == audit.CONFLICT).select(F.lit("sources_disagree").alias("conflict"), text("patient_id"), text("specimen_id"), text("endpoint"))
+    patients = status.where(F.col("status") == audit.CONFLICT).select(F.lit("patient_disagrees").alias("conflict"), text("patient_id"), no("specimen_id"), text("endpoint"))
+    wide = annotations.groupBy("source", "specimen_id", "endpoint").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = wide.select(F.concat(F.lit("named_twice_by_"), "source").alias("conflict"), no("patient_id"), text("specimen_id"), text("endpoint"))
+    return {"endpoint_records": audit.endpoint_records(found, status), "endpoint_support": support.join(eligible, "endpoint", "left"), "endpoint_conflicts": clashes.unionByName(patients).unionByName(twice)}
+
+
 def _audit(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """audit_tables, each written as CSV beside the document, with a digest of every file of the bundle."""
-    o, out = config.get("options", {}), config["output"]["root"]
-    tables = audit_tables(read_cells(spark, config), o.get("least_events", 1), o.get("low_events", 100), o.get("n_splits", 5), config["experiment"]["seed"])
+    """All tables of an audit, each written as CSV beside the document, with the nested split manifest, a summary of what
+    blocks a frozen protocol, and a digest of every file of the bundle.
+
+    options: source and target (modalities: marker roles and banks), bank_cap, seeds; endpoints (sources, names, positive,
+    negative, least_total, least_test).
+    """
+    o, out, seed = config.get("options", {}), config["output"]["root"], config["experiment"]["seed"]
+    rows = read_cells(spark, config)
+    n_splits = o.get("n_splits", 5)
+    tables = audit_tables(rows, o.get("least_events", 1), o.get("low_events", 100), n_splits, seed)
+    if "source" in o:
+        sides = [o["source"], o["target"]]
+        columns = [c for c in rows.columns if c not in ("patient_id", "specimen_id", "modality", "cell_id", "cell_type")]
+        panels = spark.createDataFrame([(m, c, k) for m in sides for k, c in enumerate(o.get("channels", {}).get(m, columns))], "modality string, original_channel string, ordinal int")
+        events = rows.groupBy("modality", "specimen_id").agg(F.count(F.lit(1)).alias("eligible_events"))
+        tables["markers"] = audit.marker_roles(panels, *sides)
+        tables["marker_duplicates"] = audit.duplicate_markers(panels)
+        tables["banks"] = audit.reference_banks(tables["splits"], events, [tuple(sides), tuple(sides[::-1])], o.get("seeds", [seed]), o.get("bank_cap", 50_000))
+    if "endpoints" in o:
+        people = rows.select("specimen_id", "patient_id").distinct()
+        tables |= endpoint_tables(read_annotations(spark, o["endpoints"]["sources"], o["endpoints"]["names"]), people, tables["splits"], o["endpoints"])
     for name, frame in tables.items():
         specimens.write_csv(frame.withColumns({c: F.array_join(c, "|") for c, kind in frame.dtypes if kind.startswith("array")}), f"{out}/audit/{name}")
-    files = specimens.file_digests(spark, f"{out}/audit").where("path like '%.csv'")
-    return {"modalities": tables["modalities"], "bundle": audit.bundle_digest(files.withColumn("path", F.regexp_extract("path", "audit/(.*)$", 1)))}
+    write_splits([tuple(r) for r in tables["splits"].select("fold", "role", "patient_id", "specimen_id").collect()], f"{out}/audit/split_manifest.json")  # a row a fold and specimen
+    sizes = {name: spark.read.option("header", True).csv(f"{out}/audit/{name}").count() for name in tables}
+    blockers = [name for name in ("violations", "marker_duplicates", "endpoint_conflicts") if sizes.get(name)]
+    write_json({"tables": sizes, "unresolved_blockers": blockers}, f"{out}/audit/audit_summary.json")
+    files = specimens.file_digests(spark, f"{out}/audit").where("path like '%.csv' or path like '%.json'")
+    summary = spark.createDataFrame(list(sizes.items()), "name string, rows long")
+    return {"modalities": tables["modalities"], "tables": summary, "bundle": audit.bundle_digest(files.withColumn("path", F.regexp_extract("path", "audit/(.*)$", 1)))}
 
 
 RUNNERS: dict[str, Callable[[SparkSession, dict], dict[str, DataFrame]]] = {

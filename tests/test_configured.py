@@ -66,6 +66,28 @@ def test_sweep_literature_and_audit(spark, tables, tmp_path):
     assert (tmp_path / "out/audit/splits").exists() and told["git_commit"] is None
 
 
+def test_audit_in_full(spark, tables, tmp_path):
+    """Endpoints of two sources that disagree, banks, marker roles, the split manifest and what blocks a frozen protocol."""
+    first, second = tmp_path / "first.csv", tmp_path / "second.csv"
+    first.write_text("specimen_id,response,relapse\n" + "".join(f"s{k},{k // 2 % 2},{'' if k == 3 else 1}\n" for k in range(16)) + "s4,0,1\n")
+    second.write_text("specimen_id,response\n" + "".join(f"s{k},{1 if k == 8 else k // 2 % 2}\n" for k in range(16)))
+    options = {"source": "O", "target": "F", "channels": {"O": ["quantity", "tax", "Quantity"]}, "n_splits": 4, "bank_cap": 20, "seeds": [1, 2], "endpoints": {"sources": {"a": str(first), "b": str(second)}, "names": ["response", "relapse"], "least_total": 2}}
+    configured.run(spark, config(tmp_path, tables, "audit", options, "full"))
+    out = tmp_path / "out/audit"
+    summary = json.loads((out / "audit_summary.json").read_text())
+    assert {"specimens", "modalities", "labels", "splits", "violations", "markers", "banks", "endpoint_records", "endpoint_support", "endpoint_conflicts"} <= set(summary["tables"])
+    assert summary["tables"]["endpoint_records"] == 32 and summary["tables"]["splits"] == 64 and summary["tables"]["violations"] == 0
+    assert {"endpoint_conflicts", "marker_duplicates"} == set(summary["unresolved_blockers"])
+    read = lambda name: spark.read.option("header", True).csv(str(out / name))
+    conflicts = {(r.conflict, r.specimen_id) for r in read("endpoint_conflicts").collect()}
+    assert ("sources_disagree", "s8") in conflicts and ("named_twice_by_a", "s4") in conflicts
+    assert {r.fold for r in read("banks").select("fold").distinct().collect()} == {"0", "1", "2", "3"}
+    assert {r.role for r in read("markers").collect()} >= {"H"}
+    document = json.loads((tmp_path / "out/full/fold_0/seed_4207/result.json").read_text())
+    assert len(document["results"]["bundle"][0]["digest"]) == 64 and document["results"]["bundle"][0]["files"] >= len(summary["tables"])
+    assert len(json.loads((out / "split_manifest.json").read_text())["folds"]) == 4
+
+
 CROSS = {"source": "O", "target": "F", "shared": ["quantity", "discount"], "source_only": ["tax"], "target_only": ["extendedprice"], "n_splits": 4, "least": 5, "epochs": 3, "classes": ["A", "N", "R"]}
 
 
