@@ -89,7 +89,8 @@ def _spec(config: dict) -> runs.SameCell:
 
 
 def _same_cell(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Every method of the grid on the same test cells: fit medians, neighbours, and a network."""
+    """Every method of the grid on the same test cells: fit medians, neighbours, and a network. With options.classes, what a
+    classifier of cell types makes of true and of hybrid cells besides."""
     rows, spec, fold = read_cells(spark, config), _spec(config), config["experiment"]["fold"]
     predicted, scales = runs.predictions(rows, spec, fold)
     methods = {"knn": predicted, "median": predicted.withColumns({f"predicted_{m}": F.col(f"null_{m}") for m in spec.hidden})}
@@ -102,7 +103,12 @@ def _same_cell(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     out = None
     for one in scored.values():
         out = one if out is None else out.unionByName(one)
-    return {"markers": out.withColumn("panel", F.lit(config["options"].get("panel", "panel")))}
+    panel = F.lit(config["options"].get("panel", "panel"))
+    tables = {"markers": out.withColumn("panel", panel)}
+    if spec.classes:
+        per, overall = runs.biology_of(rows, predicted, spec, ["modality"])
+        tables |= {"biology": overall.withColumn("panel", panel), "biology_per_class": per.withColumn("panel", panel)}
+    return tables
 
 
 def _sweep(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
@@ -291,7 +297,8 @@ def summarize(spark: SparkSession, kind: str, root: str, folds: int | None = Non
         return {"runs": found.groupBy("name", "runner").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("elapsed_seconds").alias("elapsed_seconds_mean"))}
     if kind == "same_cell":
         per = summaries.patient_means(results(found, "markers").withColumnRenamed("patient_id", "patient"), ["modality", "panel", "representation", "marker", "patient"], ["skill", "spearman", "normalized_mae"])
-        return {"markers": bootstrap.summarize(per, ["modality", "panel", "representation", "marker"], ["skill", "spearman", "normalized_mae"], replicates=replicates)}
+        out = {"markers": bootstrap.summarize(per, ["modality", "panel", "representation", "marker"], ["skill", "spearman", "normalized_mae"], replicates=replicates)}
+        return out | biology_summary(found, replicates) if "biology" in found.select("results.*").columns else out
     if kind == "addback_sweep":
         rows = results(found, "panels")
         rows = rows if "added_marker" in rows.columns else rows.withColumn("added_marker", F.lit(None).cast("string"))
@@ -312,6 +319,17 @@ def summarize(spark: SparkSession, kind: str, root: str, folds: int | None = Non
     raise ValueError(f"no such summary: {kind}")
 
 
+BIOLOGY = ["accuracy", "balanced_accuracy", "macro_f1", "macro_auprc"]
+
+
+def biology_summary(found: DataFrame, replicates: int) -> dict[str, DataFrame]:
+    """biology: patient-first means of each representation with intervals; retention: how much of what true cells have over
+    cells with medians the predictions keep."""
+    rows = results(found, "biology").withColumnRenamed("patient_id", "patient")
+    per = summaries.patient_means(rows, ["modality", "panel", "representation", "patient"], BIOLOGY)
+    return {"biology": bootstrap.summarize(per, ["modality", "panel", "representation"], BIOLOGY, replicates=replicates), "retention": summaries.retention(per, ["knn"], BIOLOGY)}
+
+
 def paired_curve_summary(found: DataFrame) -> dict[str, DataFrame]:
     """Over runs with paired counts, on their stratified view: the score by count, its trend, the least count that beats
     each method without pairs, and whether the paired specimens of every run are nested. Counts are numbers of specimens.

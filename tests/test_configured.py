@@ -53,6 +53,19 @@ def test_same_cell_grid_and_its_summary(spark, tables, tmp_path, capsys):
     assert configured.summarize(spark, "runs", str(tmp_path / "out"))["runs"].first().n_runs == 2
 
 
+def test_biology_of_a_run_and_its_retention(spark, tables, tmp_path):
+    configured.run(spark, config(tmp_path, tables, "same_cell", {**SAME, "methods": ["median", "knn"], "classes": ["A", "N", "R"]}, "bio"))
+    found = configured.documents(spark, str(tmp_path / "out"))
+    per = configured.results(found, "biology_per_class")
+    assert {r["class"] for r in per.select("class").distinct().collect()} == {"A", "N", "R"}
+    out = configured.summarize(spark, "same_cell", str(tmp_path / "out"), replicates=20)
+    means = {(r.modality, r.representation): r for r in out["biology"].collect()}
+    assert {k[1] for k in means} == {"full_true", "full_hybrid_knn", "full_hybrid_median"} and all(0 <= r.macro_f1_mean <= 1 for r in means.values())
+    kept = {(r.modality, r.metric): r for r in out["retention"].where("probe = 'full'").collect()}
+    one = kept["O", "macro_f1"]
+    assert one.true_mean == pytest.approx(means["O", "full_true"].macro_f1_mean) and one.method_mean == pytest.approx(means["O", "full_hybrid_knn"].macro_f1_mean)
+
+
 def test_sweep_literature_and_audit(spark, tables, tmp_path):
     configured.run(spark, config(tmp_path, tables, "addback_sweep", {"markers": ["quantity", "discount", "tax", "extendedprice"], "base": ["discount"], "upper": ["quantity", "discount", "tax"], "added": ["quantity"], "n_splits": 2, "bank": 200, "k": 5}, "sweep"))
     effects = configured.summarize(spark, "addback_sweep", str(tmp_path / "out/sweep"), replicates=20)["effects"]
