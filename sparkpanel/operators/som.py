@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,11 +37,19 @@ class Map:
     def node(self) -> Column:
         """The nearest node of a row, the first of several; null where a feature is null. By squared distances less the
         row's own square, summed in one order."""
-        z = F.array(*((F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(self.features, self.mean, self.scale, strict=True)))
-        book = F.array(*(F.array(*(F.lit(float(v)) for v in w)) for w in self.book))
-        away = F.transform(book, lambda w: F.aggregate(F.zip_with(w, z, lambda v, x: v * v - 2.0 * v * x), F.lit(0.0), lambda s, t: s + t))
-        known = F.array_position(away, F.array_min(away)) - 1
-        return F.when(known >= 0, known).cast("int")
+        return F.when(reduce(and_, (F.col(f).isNotNull() for f in self.features)), _nearest(self.mean, self.scale, self.book)(*(F.col(f).cast("double") for f in self.features)))
+
+
+def _nearest(mean: np.ndarray, scale: np.ndarray, book: np.ndarray):
+    @F.pandas_udf("int")
+    def nearest(*columns: pd.Series) -> pd.Series:
+        away = np.zeros((len(columns[0]), len(book)))
+        for x, m, s, v in zip(columns, mean, scale, book.T, strict=True):
+            z = (x.to_numpy(dtype=float) - m) / s
+            away += v * v - (2.0 * v) * z[:, None]
+        return pd.Series(away.argmin(axis=1).astype(np.int32))
+
+    return nearest
 
 
 def nodes(x: np.ndarray, book: np.ndarray) -> np.ndarray:

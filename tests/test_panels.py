@@ -342,3 +342,12 @@ def test_small_groups_are_answered_where_they_are_found(spark):
         assert "CoGroup" not in whole._jdf.queryExecution().optimizedPlan().toString()
         got, want = ([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.collect()] for t in (whole, ask(ball=20, shard=15, slice_=11)))
         assert sorted(got, key=str) == sorted(want, key=str), name
+
+
+def test_nodes_of_a_map_are_found_in_batches(spark):
+    """The nearest node, the first of equals, null where a feature is null; not by one expression a node and row."""
+    fitted = som.Map(["a", "b"], np.array([1.0, 0.0]), np.array([2.0, 1.0]), np.array([[0.0, 0.0], [1.0, 1.0], [0.0, 0.0], [-1.0, 2.0]]))
+    rows = [(1.0, 0.0), (3.0, 1.0), (-1.0, 2.5), (None, 1.0), (2, None)]
+    frame = spark.createDataFrame([(k, *(None if v is None else float(v) for v in r)) for k, r in enumerate(rows)], "k int, a double, b double").select("k", fitted.node().alias("node"))
+    assert [r.node for r in frame.orderBy("k").collect()] == [0, 1, 3, None, None]
+    assert "transform" not in frame._jdf.queryExecution().optimizedPlan().toString()
