@@ -438,3 +438,13 @@ def test_runs_score_every_test_cell(spark):
     assert got[0] == got[1]
     folds = {r.fold for r in model_queries.shuffled_recovery_control(spark, "/root/testdata/sf0.001").select("fold").distinct().collect()}
     assert len(folds) == model_queries.SPEC.n_splits
+
+
+def test_a_sampled_bank_goes_to_the_queries(spark):
+    """Queries of a small bank are answered without a shuffle, null and fallback rows too."""
+    asked = spark.createDataFrame([(1, "a", 0.1), (2, "b", 0.1), (3, None, 2.0), (4, "a", 0.1)], "q int, label string, x double")
+    bank = spark.createDataFrame([(k, "a" if k < 4 else "c", float(k), 10.0 * k) for k in range(8)], "k int, label string, x double, y double")
+    out = knn.impute(asked, bank, ["x"], ["y"], ["k"], k=2, label="label")
+    assert "CoGroup" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.orderBy("q").select("q", "predicted_y", "mad_y", "effective_k", "used_fallback").collect()] == [(1, 0.0, 0.0, 2, False), (2, 0.0, 0.0, 2, True), (3, 10.0, 0.0, 2, True), (4, 0.0, 0.0, 2, False)]
+    assert out.columns == ["q", "label", "x", "predicted_y", "mad_y", "mean_distance", "effective_k", "used_fallback"]
