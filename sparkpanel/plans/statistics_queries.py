@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scales as S
 from ..operators import distance, metrics, percentiles, ranks
 from ..operators.sampling import derangement_by_hash
-from ..sources.cells import CELLS_SQL, LONG_SQL, cells, long
+from ..sources.cells import CELLS_SQL, LONG_SQL, MARKERS, cells, long
 from .registry import query
 
 
@@ -329,9 +329,10 @@ CURVE_SQL = f"""{SCALE_SQL}, grid AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 1.0
 
 
 def _curve(spark, sf_dir) -> DataFrame:
-    rows = long(cells(spark, sf_dir))
-    sides = _sides(rows.where("cell_type <> 'N'")).withColumn("baseline", F.col("value") * 0.9).withColumn("residual", F.col("value") * 0.2)
-    return metrics.residual_curve(sides, ["specimen_id", "cell_type", "marker"], _target_scales(rows), ALPHAS)
+    wide = cells(spark, sf_dir)
+    dealt = wide.where("cell_type <> 'N'").select("specimen_id", "modality", "cell_type", *MARKERS).repartition("specimen_id")
+    sides = _sides(long(dealt)).withColumn("baseline", F.col("value") * 0.9).withColumn("residual", F.col("value") * 0.2)
+    return metrics.residual_curve(sides, ["specimen_id", "cell_type", "marker"], _target_scales(long(wide)), ALPHAS)
 
 
 @query(f"""WITH {LONG_SQL}, {CURVE_SQL}, means AS (SELECT marker, alpha, avg(error) AS error FROM curve WHERE error IS NOT NULL GROUP BY marker, alpha)
