@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpanel.operators import metrics
+from sparkpanel.operators import metrics, percentiles, sampling
 from sparkpanel.sources.cells import long
 
 
@@ -41,3 +41,21 @@ def test_units_come_from_one_pass(spark):
     units = metrics.uncertainty_units(curve, ["g"], 0.6)
     assert exchanges(units) == 1
     assert {tuple(r) for r in units.collect()} == {("a", 3.0, 2.0, 2.0, 0.5, 1), ("b", 2.0, 0.0, -2.0, 0.0, 0)}
+
+
+def test_reservoir_moves_large_groups_alone(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1800, "big").when(F.col("id") < 2900, "small").alias("g"), "id")
+    key = lambda f: sorted((r.g or "", r.id) for r in f.collect())
+    assert exchanges(sampling.reservoir(rows, ["g"], 2000, ["id"], 1)) == 0
+    got = sampling.reservoir(rows, ["g"], 1200, ["id"], 1)
+    assert key(got) == key(sampling._first(rows, ["g"], 1200, ["id"], 1)) and got.count() == 1200 + 1100 + 100
+
+
+def test_columns_are_placed_where_they_stand(spark):
+    rows = wide(spark).withColumn("m", F.when(F.col("cell_id") != "c7", F.col("m")))
+    knots = percentiles.knots(long(rows, ("m",)).where("value < 14"), ["marker"], n=9)
+    placed = percentiles.transform_columns(rows, knots, ["m", "n"])
+    assert exchanges(placed) == 0 and placed.columns == rows.columns
+    want = {r.cell_id: r.value for r in percentiles.transform(long(rows, ("m",)), knots).collect()}
+    got = {r.cell_id: (r.m, r.n) for r in placed.collect()}
+    assert {c: m for c, (m, _) in got.items()} == pytest.approx(want, nan_ok=True) and all(n != n for _, n in got.values())
