@@ -59,3 +59,16 @@ def test_columns_are_placed_where_they_stand(spark):
     want = {r.cell_id: r.value for r in percentiles.transform(long(rows, ("m",)), knots).collect()}
     got = {r.cell_id: (r.m, r.n) for r in placed.collect()}
     assert {c: m for c, (m, _) in got.items()} == pytest.approx(want, nan_ok=True) and all(n != n for _, n in got.values())
+
+
+def test_classifiers_read_kept_training_cells(spark, tmp_path, monkeypatch):
+    from sparkpanel.operators import models
+    from sparkpanel.plans import probe
+
+    seen, whole = [], models.fit_classifier
+    monkeypatch.setattr(models, "fit_classifier", lambda rows, *rest: seen.append(rows) or whole(rows, *rest))
+    rows = wide(spark)
+    probe.probe(rows, rows, {"one": ["m"], "two": ["m", "n"]}, "cell_type", ["A", "B"])
+    plans = [r._jdf.queryExecution().executedPlan().toString() for r in seen]
+    assert len(plans) == 2 and all("Window" not in p and "FileScan parquet" in p for p in plans)
+    assert [r.count() for r in seen] == [200, 200]
