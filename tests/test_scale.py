@@ -72,3 +72,18 @@ def test_classifiers_read_kept_training_cells(spark, tmp_path, monkeypatch):
     plans = [r._jdf.queryExecution().executedPlan().toString() for r in seen]
     assert len(plans) == 2 and all("Window" not in p and "FileScan parquet" in p for p in plans)
     assert [r.count() for r in seen] == [200, 200]
+
+
+def test_strata_of_dealt_points_are_not_moved_again(spark, monkeypatch):
+    from sparkpanel.operators import distance
+
+    rows = wide(spark).withColumn("side", (F.col("n") > 2).cast("int"))
+    dealt, plain = long(rows.repartition("specimen_id"), ("m", "n")), long(rows, ("m", "n"))
+    unit = spark.createDataFrame([("m", 1.0), ("n", 1.0)], "marker string, scale double")
+    assert exchanges(distance.strata(dealt, unit, 1)) == 1
+    key = lambda f: sorted((r.specimen_id, r.cell_type, r.marker, r.w1) for r in f.collect())
+    assert key(distance.strata(dealt, unit, 1)) == key(distance.strata(plain, unit, 1))
+    kept, plans = distance.kept, []
+    monkeypatch.setattr(distance, "kept", lambda frame, name: plans.append(exchanges(frame)) or kept(frame, name))
+    distance.evaluation_views(dealt, unit, 1)
+    assert len(plans) == 2 and plans[0] == 2  # pooled counts, of cells dealt before
