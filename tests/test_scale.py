@@ -87,3 +87,11 @@ def test_strata_of_dealt_points_are_not_moved_again(spark, monkeypatch):
     monkeypatch.setattr(distance, "kept", lambda frame, name: plans.append(exchanges(frame)) or kept(frame, name))
     distance.evaluation_views(dealt, unit, 1)
     assert len(plans) == 2 and plans[0] == 2  # pooled counts, of cells dealt before
+
+
+def test_ranks_sort_once_a_side(spark):
+    from sparkpanel.operators import ranks
+
+    rows = wide(spark).where("n is not null")
+    plan = ranks.spearman(rows, ["specimen_id"], "m", "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2
