@@ -1,5 +1,7 @@
 """How much a step moves: exchanges of plans, and equal results of steps that were made lighter."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,61 @@ def test_ranks_sort_once_a_side(spark):
     rows = wide(spark).where("n is not null")
     plan = ranks.spearman(rows, ["specimen_id"], "m", "n")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 2
+
+
+def test_weights_meet_patients_after_they_are_summed(spark):
+    from sparkpanel.operators import distance
+
+    rows = long(wide(spark), ("m", "n"))
+    maps = spark.createDataFrame([(0, "p0", "p1"), (0, "p1", "p0")], "derangement int, patient_id string, wrong_patient string")
+    unit = spark.createDataFrame([("m", 1.0), ("n", 2.0)], "marker string, scale double")
+    key = lambda f: {(r.patient_id, r.marker): (r.matched_error, r.wrong_patient_error) for r in f.collect()}
+    weighed = distance.mixture_weights(wide(spark)).transform(lambda x: long(x, ("m", "n")))
+    got, want = (key(distance.patient_gain(a, a, maps, unit)) for a in (weighed, rows))
+    assert len(got) == 4 and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "weight" in weighed.columns and exchanges(weighed) < exchanges(distance.mixture_weights(rows, extra=["marker"])) + 1
+    plan = distance.patient_gain(weighed, weighed, maps, unit)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [patient_id#") >= 2  # a sum by patient below the join with pairs
+
+
+def test_waves_of_many_groups(spark):
+    from sparkpanel.operators import joint
+
+    rows = spark.range(20000).select((F.col("id") % 9000).alias("g"), (F.col("id") % 2).cast("int").alias("side"), (F.col("id") % 7).cast("double").alias("m"))
+    omega = np.array([[0.5], [1.5]])
+    got = {(r.group, r.side): r.value for r in joint.embeddings(rows, "g", ["m"], omega).where("k = 4").collect()}
+    assert len(got) == 9000
+    assert got["8", 0] == pytest.approx(sum(np.sin(1.5 * (i % 7)) for i in (8, 9008, 18008)))
+    out = next(joint._waves(omega, ["m"])(iter([pa.RecordBatch.from_pydict({"group": ["a", "b", "a"], "side": pa.array([0, 1, 0], pa.int32()), "m": [1.0, 2.0, 3.0]})])))
+    assert out.num_rows == 2  # sums leave with their batch
+
+
+def test_prior_draws_number_asked_specimens_alone(spark):
+    bank = wide(spark)
+    asked = spark.range(3).select(F.col("id").alias("q"))
+    drawn = sampling.prior_draw(bank, asked, ["q"], 1, ["cell_id"])
+    assert "LeftSemi" in drawn._jdf.queryExecution().optimizedPlan().toString() and drawn.count() == 3
+
+
+def test_network_rows_are_picked_by_ranges(spark, monkeypatch):
+    from sparkpanel.operators import models
+
+    seen = {}
+    monkeypatch.setattr(models.Network, "fit", lambda self, x, y, groups: seen.update(x=x[:, 0].tolist(), y=y[:, 0].tolist()) or self)
+    plain = wide(spark, 3000).withColumn("m", F.col("m") + F.substring("cell_id", 2, 9).cast("double"))
+    want = plain.select("m", "n", "patient_id").orderBy(F.xxhash64("m", "n", "patient_id")).limit(70).collect()
+    sent, limit = [], type(plain).limit
+    monkeypatch.setattr(type(plain), "limit", lambda frame, n: sent.append(frame.count()) or limit(frame, n))
+    models.fit_network(plain, ["m"], ["n"], "patient_id", most=70)
+    assert seen == {"x": [r.m for r in want], "y": [r.n for r in want]} and 70 <= sent[0] < 90
+
+
+def test_numbered_rows_are_bucketed_where_they_stand(spark):
+    from pyspark.sql import Window as W
+
+    from sparkpanel.sources import bucketed
+
+    dealt = wide(spark).repartition(4, "patient_id", "specimen_id")
+    rows = dealt.withColumn("row_idx", F.row_number().over(W.partitionBy("patient_id", "specimen_id").orderBy("cell_id")))
+    assert exchanges(rows.repartition(4, "patient_id", "specimen_id")) == 1
+    assert bucketed.bucketed(rows, ["patient_id", "specimen_id"], 4).count() == 200
