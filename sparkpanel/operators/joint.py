@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from . import gramian
 
+BLOCK = 200  # sums of one aggregate
+
 
 def frequencies(markers: int, n: int, bandwidth: float, seed: int) -> np.ndarray:
     """n random frequencies of the Gaussian kernel exp(-|x - y|**2 / (2 bandwidth**2)), one a row."""
@@ -19,19 +21,18 @@ def frequencies(markers: int, n: int, bandwidth: float, seed: int) -> np.ndarray
 
 def _waves(omega: np.ndarray, markers: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
         for batch in batches:
             x = np.column_stack([batch.column(m).to_numpy(zero_copy_only=False) for m in markers]).astype(float)
-            groups, sides = batch.column("group").to_pylist(), batch.column("side").to_numpy(zero_copy_only=False)
-            phase = x @ omega.T
-            waves = np.column_stack([np.ones(len(x)), np.cos(phase), np.sin(phase)])
-            names, at = np.unique(np.array([f"{s}{g}" for g, s in zip(groups, sides, strict=True)]), return_inverse=True)
-            for k, name in enumerate(names.tolist()):
-                key = (name[1:], int(name[0]))
-                held[key] = held.get(key, 0.0) + waves[at == k].sum(axis=0)
-        for (group, side), sums in held.items():
-            n = len(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([group] * n, pa.string()), pa.array([side] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(sums)], names=["group", "side", "k", "value"])
+            if not len(x):
+                continue
+            names = batch.column("group").dictionary_encode()
+            codes = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64) * 2 + batch.column("side").to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            own, first = np.unique(codes[order], return_index=True)
+            phase = x[order] @ omega.T
+            sums = np.add.reduceat(np.column_stack([np.ones(len(x)), np.cos(phase), np.sin(phase)]), first, axis=0)
+            of = np.array([*names.dictionary.to_pylist(), None], dtype=object)[own // 2]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array((own % 2).astype(np.int32)), *(pa.array(np.ascontiguousarray(s)) for s in sums.T)], names=["group", "side", *(f"s{k}" for k in range(sums.shape[1]))])
 
     return run
 
@@ -39,11 +40,18 @@ def _waves(omega: np.ndarray, markers: list[str]):
 def embeddings(points: DataFrame, group: str, markers: list[str], omega: np.ndarray) -> DataFrame:
     """group, side, k, value: sums over cells of 1 (k = 0) and of the cosines and sines of each frequency.
 
-    Tasks sum their own cells; what moves is a row a group, side and frequency. points: group, side (0 or 1), markers;
-    cells with a null marker are left out.
+    Batches sum their own cells, all groups of a batch at once and none held beyond it; a row a group and side of a batch
+    goes on, with up to BLOCK sums side by side. points: group, side (0 or 1), markers; cells with a null
+    marker are left out.
     """
-    picked = points.select(F.col(group).cast("string").alias("group"), F.col("side").cast("int").alias("side"), *(F.col(m).cast("double").alias(m) for m in markers)).dropna()
-    return picked.mapInArrow(_waves(omega, markers), "group string, side int, k int, value double").groupBy("group", "side", "k").agg(F.sum("value").alias("value"))
+    picked = points.select(F.col(group).cast("string").alias("group"), F.col("side").cast("int").alias("side"), *(F.col(m).cast("double").alias(m) for m in markers)).dropna(subset=markers)
+    names = [f"s{k}" for k in range(1 + 2 * len(omega))]
+    summed = picked.where("group is not null and side is not null").mapInArrow(_waves(omega, markers), ", ".join(["group string", "side int", *(f"{c} double" for c in names)]))
+    if len(names) <= BLOCK:
+        wide = summed.groupBy("group", "side").agg(*(F.sum(c).alias(c) for c in names))
+        return wide.select("group", "side", F.posexplode(F.array(*names)).alias("k", "value"))
+    each = summed.select("group", "side", F.posexplode(F.array(*names)).alias("k", "value"))
+    return each.groupBy("group", "side", "k").agg(F.sum("value").alias("value"))
 
 
 def mmd(points: DataFrame, group: str, markers: list[str], omega: np.ndarray) -> DataFrame:
