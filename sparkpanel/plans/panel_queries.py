@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curves, joint, metrics, sampling
 from ..sources.cells import CELLS_SQL, MARKERS, cells
+from ..sources.shared import kept
 from .registry import query
 from .statistics_queries import rounded
 
@@ -114,7 +115,7 @@ UNION ALL SELECT 'deranged_to_itself', 'patient_deranged', patient_id FROM enoug
 def pairing_violations(spark, sf_dir):
     """Of conditions in which two faults are planted, those two and nothing else."""
     target = cells(spark, sf_dir).where("modality = 'F'")
-    rows = sampling.pairing_conditions(target, BUDGET, "41")
+    rows = kept(sampling.pairing_conditions(target, BUDGET, "41"), "pairings")
     ends = rows.agg(F.min("patient_id").alias("low"), F.max("patient_id").alias("high"))
     own = rows.where("condition = 'patient_matched'").select(F.col("patient_id").alias("__p"), F.col("specimen_id").alias("__s"), F.col("cell_id").alias("__c"), F.row_number().over(W.partitionBy("patient_id").orderBy("cell_id")).alias("__k"))
     marked = rows.crossJoin(F.broadcast(ends)).withColumn("__k", F.row_number().over(W.partitionBy("condition", "derangement", "patient_id").orderBy("cell_id")))
@@ -123,4 +124,4 @@ def pairing_violations(spark, sf_dir):
     other = F.when(swap, F.col("high"))
     planted = marked.withColumn("__o", other).join(own.withColumnRenamed("__k", "__j"), (F.col("__o") == F.col("__p")) & (F.col("__k") == F.col("__j")), "left")
     planted = planted.select("condition", "derangement", "patient_id", F.coalesce("__o", "reference_patient").alias("reference_patient"), F.coalesce("__s", "specimen_id").alias("specimen_id"), F.coalesce("__c", "cell_id").alias("cell_id"))
-    return sampling.pairing_violations(planted, target, BUDGET)
+    return sampling.pairing_violations(kept(planted, "planted"), target, BUDGET)
