@@ -75,3 +75,22 @@ def test_scan_aligns_quoted_labels(spark, tmp_path, small_splits):
     got = specimens.scan(spark, str(tmp_path), "cytof", ["CD3"], drop_unmapped=False).orderBy("row_idx").collect()
     assert [(r.row_idx, r.CD3, r.fine_cell_type) for r in got] == [(k, k / 2, "Blast" if k % 2 else 'T cell, "x"') for k in range(900)]
     assert specimens.row_mismatches(spark, str(tmp_path), "cytof").count() == 0
+
+
+def test_known_headers_are_not_looked_for(spark, tmp_path, monkeypatch):
+    for s in ("a", "b"):
+        (tmp_path / f"{s}.csv").write_text("x,y\n1,2\n3,4\n")
+    jobs = []
+    tracker, group = spark.sparkContext.statusTracker(), "known-header"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        numbered.counts(spark, str(tmp_path))
+        jobs = list(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert jobs == []
+    assert sorted(tuple(r) for r in numbered.counts(spark, str(tmp_path)).collect()) == [("a", 2), ("b", 2)]
+    rows = numbered.rows(spark, str(tmp_path), ["y"], header=["x", "y"])
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", 0, "2"), ("a", 1, "4"), ("b", 0, "2"), ("b", 1, "4")]
+    with pytest.raises(Exception, match="(?i)header"):
+        numbered.rows(spark, str(tmp_path), ["z"], header=["x", "z"]).collect()
