@@ -155,3 +155,13 @@ def test_numbered_rows_are_bucketed_where_they_stand(spark):
     rows = dealt.withColumn("row_idx", F.row_number().over(W.partitionBy("patient_id", "specimen_id").orderBy("cell_id")))
     assert exchanges(rows.repartition(4, "patient_id", "specimen_id")) == 1
     assert bucketed.bucketed(rows, ["patient_id", "specimen_id"], 4).count() == 200
+
+
+def test_blocks_of_the_teacher_come_as_arrow_tables(spark):
+    from sparkpanel.operators import transport
+
+    rows = wide(spark)
+    found = transport.teacher(rows, rows, ["specimen_id", "cell_type"], ["cell_id"], ["m"], ["n"], most=20, least=17)
+    assert "InArrow" in found._jdf.queryExecution().executedPlan().toString()
+    sizes = {(r.specimen_id, r.cell_type): r["count"] for r in found.groupBy("specimen_id", "cell_type").count().collect()}
+    assert sizes == {**{(f"s{k}", "A"): 20 for k in range(4)}, **{(r.specimen_id, "B"): r["count"] for r in rows.where("cell_type = 'B'").groupBy("specimen_id").count().collect() if 17 <= r["count"] < 20}}
