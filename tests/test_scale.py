@@ -1,11 +1,13 @@
 """How much a step moves: exchanges of plans, and equal results of steps that were made lighter."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkpanel.operators import metrics, percentiles, sampling
+from sparkpanel.operators import knn, metrics, percentiles, sampling
 from sparkpanel.sources.cells import long
 
 
@@ -165,3 +167,64 @@ def test_blocks_of_the_teacher_come_as_arrow_tables(spark):
     assert "InArrow" in found._jdf.queryExecution().executedPlan().toString()
     sizes = {(r.specimen_id, r.cell_type): r["count"] for r in found.groupBy("specimen_id", "cell_type").count().collect()}
     assert sizes == {**{(f"s{k}", "A"): 20 for k in range(4)}, **{(r.specimen_id, "B"): r["count"] for r in rows.where("cell_type = 'B'").groupBy("specimen_id").count().collect() if 17 <= r["count"] < 20}}
+
+
+def test_a_shard_passes_a_task_in_pieces(spark, monkeypatch):
+    """A task holds its queries and their nearest so far: what it holds does not grow with the shard."""
+    passed = getattr(knn, "_passed", None)
+    assert passed, "a whole shard goes to a task"
+    rng = np.random.default_rng(0)
+
+    def batches(n: int):
+        for side, first, size in [(0, 0, 50), *((1, a, 2000) for a in range(0, n, 2000))]:
+            x = pa.FixedSizeListArray.from_arrays(rng.normal(size=size * 20), 20).cast(pa.list_(pa.float64()))
+            names = ["__side", "__id", "__label", "__x", "__k0", "__y0"]
+            ids = pa.array([f"q{i}" if side == 0 else None for i in range(size)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([side] * size, pa.int32()), ids, pa.nulls(size, pa.string()), x, pa.array(range(first, first + size)), pa.array(rng.normal(size=size))], names=names)
+
+    peaks = []
+    for n in (2000, 20_000, 100_000):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in passed(20, ["__k0", "__y0"], 5)(batches(n))) == 250
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < 1.2 * peaks[1]
+    bank = spark.range(40).selectExpr("id AS k", "cast(id AS double) AS x", "cast(id AS double) AS y")
+    monkeypatch.setattr(knn, "MOST", 10)
+    plan = knn.impute(bank, bank, ["x"], ["y"], ["k"], k=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("MapInArrow") == 1  # and it is asked once
+
+
+def test_neighbours_of_shards_meet_by_squared_distance(spark, monkeypatch):
+    """Squares that differ in the last bit have one root: the nearer row wins, whichever shard it is in."""
+    bank = spark.createDataFrame([(k, 1.0, 2.0**-26 if k < 7 else 0.0, float(k)) for k in range(8)], "k int, a double, b double, y double")
+    asked = spark.createDataFrame([(0.0, 0.0)], "a double, b double")
+    for most in (100_000, 1):
+        monkeypatch.setattr(knn, "MOST", most)
+        assert knn.impute(asked, bank, ["a", "b"], ["y"], ["k"], k=1).first().predicted_y == 7.0
+
+
+def test_neighbours_over_pieces_equal_brute_force(spark, monkeypatch):
+    """Ties, copies, string keys, labels, rows without a distance and null targets, in pieces of two rows."""
+    rng = np.random.default_rng(5)
+    rows = [(f"k{k:03d}", "abc"[k % 3] if k % 7 else None, [None, float("nan"), float("inf")][k % 3] if k % 31 == 30 else float(rng.integers(0, 6)), float(rng.integers(0, 3)), None if k % 11 == 0 else float(k)) for k in range(240)]
+    frame = spark.createDataFrame(rows, "k string, label string, a double, b double, y double")
+    asked, bank = rows[::4], [r for i, r in enumerate(rows) if i % 4 and r[1] != "c"]
+    fine = lambda r: r[2] is not None and np.isfinite(r[2])
+    known = {r[1] for r in bank if r[1]}
+    want = {}
+    for q in asked:
+        near = sorted(((r[2] - q[2]) ** 2 + (r[3] - q[3]) ** 2, r[0], r[4]) for r in bank if fine(r) and (q[1] not in known or r[1] == q[1]))[:6] if fine(q) else []
+        ys = sorted(y for _, _, y in near if y is not None)
+        want[q[0]] = (ys[(len(ys) - 1) // 2] if ys else None, len(near), q[1] not in known)
+    monkeypatch.setattr(knn, "PIECE", 2, raising=False)
+    for most in (100, 30):
+        monkeypatch.setattr(knn, "MOST", most)
+        out = knn.impute(frame.where("int(substr(k, 2)) % 4 = 0"), frame.where("int(substr(k, 2)) % 4 <> 0 AND (label IS NULL OR label <> 'c')"), ["a", "b"], ["y"], ["k"], k=6, label="label")
+        assert {r.k: (r.predicted_y, r.effective_k, r.used_fallback) for r in out.collect()} == want
+    few = []
+    for most in (100_000, 10):  # gathered, in shards
+        monkeypatch.setattr(knn, "MOST", most)
+        out = knn.impute(frame.where("k < 'k100'"), frame.where("y > 100 AND y < 140"), ["a", "b"], ["y"], ["k"], k=3)
+        few.append(out.orderBy("k").select("predicted_y", "effective_k").collect())
+    assert few[0] == few[1] and {r.effective_k for r in few[0]} == {0, 3}
