@@ -228,3 +228,13 @@ def test_neighbours_over_pieces_equal_brute_force(spark, monkeypatch):
         out = knn.impute(frame.where("k < 'k100'"), frame.where("y > 100 AND y < 140"), ["a", "b"], ["y"], ["k"], k=3)
         few.append(out.orderBy("k").select("predicted_y", "effective_k").collect())
     assert few[0] == few[1] and {r.effective_k for r in few[0]} == {0, 3}
+
+
+def test_candidates_of_many_copies_are_compared_in_parts():
+    """Where every row of a label is as near as the next, what is compared at a time stays bounded."""
+    query, bank = np.zeros((400, 62)), np.ones((10_000, 62))
+    tracemalloc.start()
+    places, _ = knn.nearest(query, bank, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (places == np.arange(10)).all() and peak < 60 << 20
