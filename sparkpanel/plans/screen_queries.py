@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import neighbours, screen
+from ..operators import neighbours, screen, splits
 from ..sources.cells import CELLS_SQL, LONG_SQL, cells, long, read
-from . import probe, runs
+from . import probe
 from .registry import query
 from .statistics_queries import _sides, rounded
 
@@ -92,6 +92,7 @@ def local_density(spark, sf_dir):
 
 @query()
 def cell_type_probe(spark, sf_dir):
-    rows = runs.sampled(cells(spark, sf_dir), runs.SameCell([], [], cells_per_specimen=50_000))
-    shown = {"source_h": ["quantity", "discount"], "source_h_plus_x": ["quantity", "discount", "tax"]}
-    return probe.in_order([probe.probe(rows.where("modality = 'O'"), rows.where("modality = 'F'"), shown, "cell_type", ["A", "N", "R"])[1]])
+    """Probes of the source's own representations, every patient scored by the fold that holds it out."""
+    rows = cells(spark, sf_dir)
+    source = rows.where("modality = 'O'").select("patient_id", "specimen_id", "cell_id", "cell_type", "quantity", "discount", "tax")
+    return probe.in_order([probe.held_out(source, splits.hashed_folds(rows, 5, 5), ["quantity", "discount"], ["tax"], "cell_type", ["A", "N", "R"])[1]])
