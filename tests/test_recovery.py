@@ -60,3 +60,13 @@ def test_a_sweep_fits_scales_and_bank_once(spark, monkeypatch):
     one = runs.SameCell(["a", "b"], ["c"], n_splits=3, bank=60, k=5)
     want = {r.patient_id: r.skill for r in runs.scored(*runs.predictions(rows, one), one).groupBy("patient_id").agg(F.avg("skill").alias("skill")).collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_a_replay_predicts_once(spark):
+    spec = runs.SameCell(["a", "b"], ["c"], n_splits=3, bank=60, k=5, classes=["A", "B"])
+    rows = cohort(spark)
+    _, overall = runs.biology(rows, spec, 0)
+    assert "ArrowEvalPython" not in overall._jdf.queryExecution().executedPlan().toString()  # neighbours are not asked again
+    _, want = runs.biology_of(rows, runs.predictions(rows, spec, 0)[0], spec)
+    key = lambda f: sorted((r.representation, r.patient_id, r.accuracy, r.macro_f1, r.macro_auprc) for r in f.collect())
+    assert key(overall) == key(want) and len(key(want)) == 6
